@@ -131,3 +131,24 @@ def group_excerpts(hits: DataFrame, groups: int = 5, each: int = 2, chars: int =
     seen = hits.withColumn("first", F.min("rank").over(w)).withColumn("n", F.row_number().over(w.orderBy("rank")))
     seen = seen.where(F.col("n") <= each).withColumn("g", F.dense_rank().over(Window.partitionBy("query_id").orderBy("first")))
     return seen.where(F.col("g") <= groups).select("query_id", "file_name", F.col("g").alias("paper_no"), F.col("n").alias("excerpt_no"), F.substring("text", 1, chars).alias("excerpt"))
+
+
+def occurrence_index(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds n: which occurrence of its key a row is, from 0."""
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+
+
+def random_rows(rows: DataFrame, k: int, ident: str, seed: int = 0) -> DataFrame:
+    """k rows that only the id and the seed decide."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(ident)), ident).limit(k)
+
+
+def index_stats(chunks: DataFrame, dim: int, metric: str = "cosine") -> DataFrame:
+    return chunks.agg(F.count("*").alias("row_count")).withColumn("dim", F.lit(dim)).withColumn("metric", F.lit(metric)).withColumn("empty", F.col("row_count") == 0)
+
+
+def list_documents(chunks: DataFrame, k: int = 20) -> DataFrame:
+    """The first k files with their chunk counts; one placeholder row if there are none."""
+    rows = chunks.groupBy("file_name").agg(F.count("*").alias("chunk_count"), F.min("added_time").alias("added_time")).orderBy("file_name").limit(k)
+    none = chunks.limit(1).agg(F.count("*").alias("n")).where("n = 0").select(F.lit("No documents").alias("file_name"), F.lit(0).cast("long").alias("chunk_count"), F.lit("").alias("added_time"))
+    return rows.unionByName(none)
