@@ -40,6 +40,14 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.unique(grams[a : b - k + 1]) if b - a >= k else tokens.rolling(h[a:b], b - a) ^ U(b - a) if b > a else grams[:0]
 
 
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that equal sets share."""
+    if not len(s):
+        return 0, 0
+    both = np.array([np.add.reduce(tokens.mix(s)), np.bitwise_xor.reduce(tokens.mix(s + U(0x632BE59BD9B4E019)))], U)
+    return tuple(both.view(np.int64).tolist())
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     x = (s >> U(32)).astype(np.uint32)[None, :]
     return np.minimum.reduce([(x[:, i : i + 2048] * _A + _B).min(axis=1) for i in range(0, x.shape[1], 2048)])
@@ -54,14 +62,15 @@ def _sign(k: int):
             n, one, two, sigs = [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
-                one.append(np.add.reduce(tokens.mix(s)) if len(s) else U(0))
-                two.append(np.bitwise_xor.reduce(tokens.mix(s + U(0x632BE59BD9B4E019))) if len(s) else U(0))
+                a, b = set_hash(s)
+                one.append(a)
+                two.append(b)
                 sigs.append(signature(s) if len(s) else np.zeros(BANDS * ROWS, np.uint32))
             sig = np.array(sigs, np.uint32).reshape(-1, BANDS * ROWS)
             keys = tokens.mix(np.add.reduce(sig.reshape(-1, BANDS, ROWS).astype(U) * _FOLD, axis=2) + offset).view(np.int64)
             low = (tokens.mix(sig[:, :COMPARED].astype(U)) & U(0xFFFF)).astype(np.uint16)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(np.array(one, U).view(np.int64)), pa.array(np.array(two, U).view(np.int64)), bands, pa.array([x.tobytes() for x in low], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), bands, pa.array([x.tobytes() for x in low], pa.binary())], names=names)
 
     return sign
 
@@ -149,8 +158,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
 
     Returns doc_id, n_shingles, component_id (smallest id reachable, itself included) and kept (doc_id = component_id)
     for every input row. A text of fewer than k words is one shingle of all its words; a text without words, or null, has
-    none and is linked with nothing. Rows that repeat an id are one document if their texts have the same shingles; if
-    not, all of them are linked through the id. A null id is an id of its own and comes back as null. Other columns are not read.
+    none and is linked with nothing. Rows that repeat an id are one document: where their texts differ, the one
+    of the smallest set hash stands for all of them (each keeps its own n_shingles). A null id is an id of its own and comes back as null. Other columns are not read.
 
     Equal sets count as one class. Candidates share one of 40 bands; each is first held against the smallest id of its
     bucket (so a bucket of n sends n pairs). Buckets whose members then still lie in several components are put together
@@ -159,20 +168,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
     source = docs.select(id_key(id_col).alias("doc"), F.col(text_col).alias("text"))
     signed = stage(source.mapInArrow(_sign(k), "doc long, n int, s1 long, s2 long, bands array<long>, sig binary"), "signed")
     plain = signed.select("doc", "n", "s1", "s2")
-    classes = stage(plain.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
+    ids = plain.groupBy("doc").agg(F.min(F.struct("s1", "s2", "n")).alias("k")).select("doc", "k.*")
+    classes = stage(ids.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = signed.join(classes.select(F.col("rep").alias("doc"), "s1", "s2", "n"), ["doc", "s1", "s2", "n"], "left_semi")
     members = reps.select("doc", F.posexplode("bands").alias("band", "key"))
     heads = members.groupBy("band", "key").agg(F.min("doc").alias("head"), F.count("*").alias("many")).where("many > 1")
     members = stage(members.join(heads, ["band", "key"]), "members")
     stars = stage(members.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct(), "stars")
-    ids = stage(members.select("doc").distinct(), "candidates")
-    chosen = small(ids, 16)
+    chosen = small(stage(members.select("doc").distinct(), "candidates"), 16)
+    marks = signed.join(chosen, "doc", "left_semi").join(classes.select(F.col("rep").alias("doc"), "s1", "s2", "n"), ["doc", "s1", "s2", "n"], "left_semi").select("doc", "s1", "s2", "sig")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["doc", "items"])
+            items = list(shingle_sets(batch.column(1), k))
+            one, two = zip(*map(set_hash, items), strict=True) if items else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([s.tobytes() for s in items], pa.binary())], names=["doc", "s1", "s2", "items"])
 
-    wide = stage(source.join(chosen, "doc", "left_semi").mapInArrow(sets, "doc long, items binary").join(signed.join(chosen, "doc", "left_semi").select("doc", "sig"), "doc").dropDuplicates(["doc"]), "sets")
+    wide = source.join(chosen, "doc", "left_semi").mapInArrow(sets, "doc long, s1 long, s2 long, items binary").join(marks, ["doc", "s1", "s2"])
+    wide = stage(wide.select("doc", "sig", "items").dropDuplicates(["doc"]), "sets")
     pairs = stars.join(wide.select(F.col("doc").alias("a"), F.col("sig").alias("p"), F.col("items").alias("s")), "a").join(wide.select(F.col("doc").alias("b"), F.col("sig").alias("q"), F.col("items").alias("t")), "b")
     links = stage(pairs.select("a", "b", "p", "q", "s", "t").mapInArrow(_verify(num, den), "a long, b long"), "links")
     roots = stage(components(links), "roots")
@@ -192,10 +205,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
         found = cast.join(wide, "doc").select("cluster", "x", "y", "side", "doc", "root", "sig", "items").repartition(n, "cluster", "x", "y").groupBy("cluster", "x", "y").applyInPandas(_block_links(num, den), "a long, b long")
         more = stage(links.unionByName(found), "links")
         roots = stage(components(more), "roots")
-    # rows that repeat an id with another text tie their classes together
-    tie = plain.where("n > 0").join(classes, ["s1", "s2", "n"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
-    empty = plain.where("n = 0").select("doc", "n", F.col("doc").alias("rep"))
-    out = tie.unionByName(empty).join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("root", "rep"))
+    # classes of one document need no join back
+    kin = ids.where("n > 0").join(classes.where("copies > 1").drop("copies"), ["s1", "s2", "n"], "left").select("doc", F.coalesce("rep", "doc").alias("rep"))
+    every = plain.select("doc", "n").join(kin, "doc", "left").withColumn("rep", F.coalesce("rep", "doc"))
+    out = every.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("root", "rep"))
     return out.select(
         F.when(F.col("doc") != F.lit(-(1 << 63)), F.col("doc")).alias("doc_id"),
         F.col("n").cast("long").alias("n_shingles"),

@@ -63,6 +63,13 @@ def test_odd_rows(odd):
     assert by[None][1] is None and by[4] == (56, None) and by[8] == (56, None)  # a null id sorts first
 
 
+def test_one_id_two_texts(frame):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    got = near_duplicates(frame([(1, a), (2, a), (2, b), (3, b), (4, "other words here")]), 2).collect()
+    by = {r.doc_id: r.component_id for r in got}
+    assert len(got) == 5 and by[4] == 4 and ((by[2], by[3]) == (1, 3) or (by[1], by[2], by[3]) == (1, 2, 2))
+
+
 def test_empty(empty):
     assert near_duplicates(empty).collect() == []
 
