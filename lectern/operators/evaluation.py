@@ -62,8 +62,7 @@ def dataset_stats(papers: DataFrame) -> DataFrame:
 
 def token_f1(pred: Column, gold: Column) -> Column:
     """F1 of the multisets of normalised tokens."""
-    bag = lambda x: F.filter(F.split(tx.normalize_answer(x), " "), lambda t: t != "")
-    p, g = bag(pred), bag(gold)
+    p, g = _bag(pred), _bag(gold)
     same = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, t: n + F.least(F.size(F.filter(p, lambda x: x == t)), F.size(F.filter(g, lambda x: x == t))))
     return F.when(same == 0, 0.0).otherwise(2.0 * same / (F.size(p) + F.size(g)))
 
@@ -75,12 +74,22 @@ def evidence_f1(pred: Column, gold: Column) -> Column:
     return F.when((F.size(pred) == 0) & (F.size(gold) == 0), 1.0).when((F.size(pred) == 0) | (F.size(gold) == 0) | (same == 0), 0.0).otherwise(2.0 * same / (F.size(pred) + F.size(gold)))
 
 
+def _bag(x: Column) -> Column:
+    return F.filter(F.split(tx.normalize_answer(x), " "), lambda t: t != "")
+
+
 def best_scores(gold: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Per question the best answer F1, the type of the first annotation that reaches it, the best evidence F1, missing."""
-    p = predictions.select("question_id", "predicted_answer", "predicted_evidence", F.lit(True).alias("given"))
-    j = gold.join(p, "question_id", "left")
-    missing = F.col("given").isNull()
-    a = F.when(missing, 0.0).otherwise(token_f1(F.coalesce("predicted_answer", F.lit("")), F.coalesce("answer", F.lit(""))))
+    """Per question the best answer F1, the type of the first annotation that reaches it, the best evidence F1, missing.
+
+    Token overlaps are counted by a join on (question, token), so long answers cost in proportion to their length."""
+    p = predictions.select("question_id", _bag(F.coalesce("predicted_answer", F.lit(""))).alias("p"), "predicted_evidence")
+    g = gold.select("question_id", "n", "type", "evidence", _bag(F.coalesce("answer", F.lit(""))).alias("g"))
+    pc = p.select("question_id", F.explode("p").alias("token")).groupBy("question_id", "token").agg(F.count("*").alias("cp"))
+    gc = g.select("question_id", "n", F.explode("g").alias("token")).groupBy("question_id", "n", "token").agg(F.count("*").alias("cg"))
+    same = gc.join(pc, ["question_id", "token"]).groupBy("question_id", "n").agg(F.sum(F.least("cg", "cp")).alias("same"))
+    j = g.select("question_id", "n", "type", "evidence", F.size("g").alias("ng")).join(p.select("question_id", F.size("p").alias("np"), "predicted_evidence"), "question_id", "left").join(same, ["question_id", "n"], "left")
+    missing = F.col("np").isNull()
+    a = F.when(F.col("same").isNull(), 0.0).otherwise(2.0 * F.col("same") / (F.col("np") + F.col("ng")))
     e = F.when(missing, 0.0).otherwise(evidence_f1(F.col("predicted_evidence"), F.col("evidence")))
     j = j.select("question_id", "n", "type", missing.alias("missing"), a.alias("a"), e.alias("e"))
     return j.groupBy("question_id").agg(F.max("a").alias("answer_f1"), F.max_by("type", F.struct("a", -F.col("n"))).alias("type"), F.max("e").alias("evidence_f1"), F.bool_or("missing").alias("missing"))

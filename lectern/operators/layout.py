@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,24 +41,10 @@ def overlaps(boxes: DataFrame, over: float = 0.5) -> DataFrame:
 
 def suppress(boxes: DataFrame, over: float = 0.5) -> DataFrame:
     """Greedy non-maximum suppression per page: larger boxes first, a box that overlaps a kept one goes."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        box = {r.idx: (r.bbox["x0"], r.bbox["y0"], r.bbox["x1"], r.bbox["y1"]) for r in pdf.itertuples()}
-        size = {i: (b[2] - b[0]) * (b[3] - b[1]) for i, b in box.items()}
-        kept: list[int] = []
-        for i in sorted(box, key=lambda i: (-size[i], i)):
-            a = box[i]
-            for k in kept:
-                b = box[k]
-                inter = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
-                if (union := size[i] + size[k] - inter) > 0 and inter / union > over:
-                    break
-            else:
-                kept.append(i)
-        return pdf[pdf["idx"].isin(kept)][["doc_id", "page", "idx"]]
-
-    kind = boxes.schema["doc_id"].dataType.simpleString()
-    return boxes.select("doc_id", "page", "idx", "bbox").groupBy("doc_id", "page").applyInPandas(run, f"doc_id {kind}, page int, idx int")
+    item = F.struct((-area(F.col("bbox"))).alias("less"), F.col("idx").alias("idx"), F.col("bbox").alias("bbox"))
+    pages = boxes.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(item)).alias("all"))
+    fold = F.aggregate("all", F.slice("all", 1, 0), lambda kept, b: F.when(F.exists(kept, lambda k: iou(k["bbox"], b["bbox"]) > over), kept).otherwise(F.concat(kept, F.array(b))))
+    return pages.select("doc_id", "page", F.explode(fold).alias("k")).select("doc_id", "page", "k.idx")
 
 
 def merged_box(boxes: DataFrame, by: list[str]) -> DataFrame:
