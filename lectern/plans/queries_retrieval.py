@@ -33,7 +33,7 @@ def benchmark_queries(t: Tables) -> DataFrame:
 
 
 def text_scores(t: Tables, queries: DataFrame | None = None) -> DataFrame:
-    return r.bm25(queries or benchmark_queries(t), t.documents.select("doc_id", "text"), "doc_id").withColumn("score", F.round("score", 6))
+    return r.bm25_search(queries or benchmark_queries(t), t.documents.select("doc_id", "text"), 20, "doc_id").withColumn("score", F.round("score", 6))
 
 
 def vector_queries(t: Tables) -> DataFrame:

@@ -23,6 +23,14 @@ def test_bm25_matches_formula(spark):
         assert got.get(i, 0) == pytest.approx(want)
 
 
+def test_bm25_search_is_bm25(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(i % 23))) for i in range(200)], "chunk_id long, text string")
+    q = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i} w3", 0.5 + i) for i in range(9)], "query_id long, text string, weight double")
+    best = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 6)) for r in retrieval.top_k(df.withColumn("score", F.round("score", 6)), 7).collect())
+    assert best(retrieval.bm25_search(q, docs.repartition(3), 7)) == best(retrieval.bm25(q, docs))
+    assert retrieval.bm25_search(q.limit(0), docs, 7).collect() == [] and retrieval.bm25_search(q, docs.limit(0), 7).collect() == []
+
+
 def hits(spark, rows):
     return spark.createDataFrame(rows, "query_id long, chunk_id string, score double")
 
