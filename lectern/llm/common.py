@@ -36,11 +36,6 @@ def small(df: DataFrame, width: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if df.count() * width <= limit else df
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The planner's size of df's plan (file bytes for a table scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def id_key(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import tokens
-from lectern.llm.common import id_key, input_bytes, small, stage
+from lectern.llm.common import id_key
 
 CHUNK_WORDS = 2_000_000
-_SENT = "bucket int, payload binary, doc long, starts binary"
-_HITS = pa.schema([("doc", pa.int64()), ("starts", pa.binary())])
+_SENT = "bucket int, payload binary, hits binary"
+_HITS = pa.schema([("group", pa.int32()), ("hits", pa.binary())])
 
 
 def pack(rising: np.ndarray) -> bytes:
@@ -37,19 +37,23 @@ def unplanes(data: memoryview, at: int) -> tuple[np.ndarray, int]:
     return out.reshape(-1).view(np.uint64), at + 16 + int(size * n)
 
 
-def _hits(doc: np.ndarray, start: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """One row a document of the starts of its repeated windows."""
-    if not len(doc):
-        return [], []
+def pack_hits(doc: np.ndarray, start: np.ndarray) -> bytes:
+    """Places (document, start) in their order."""
     order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order].astype(np.int32)
-    cut = np.flatnonzero(np.diff(doc)) + 1
-    return doc[np.r_[0, cut]].tolist(), [x.tobytes() for x in np.split(start, cut)]
+    ids, count = np.unique(doc, return_counts=True)
+    return planes(np.diff(ids.astype(np.uint64), prepend=np.zeros(1, np.uint64))) + planes(count) + planes(start[order])
+
+
+def unpack_hits(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids, at = unplanes(data, 0)
+    count, at = unplanes(data, at)
+    start, _ = unplanes(data, at)
+    return np.repeat(np.cumsum(ids, dtype=np.uint64).astype(np.int64), count.astype(np.int64)), start.astype(np.int64)
 
 
 def _sender(width: int, buckets: int):
     shift = np.uint64(64 - (buckets.bit_length() - 1))
-    schema = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("doc", pa.int64()), ("starts", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("hits", pa.binary())])
 
     def flush(held: list) -> pa.RecordBatch:
         ids = np.concatenate([x[0] for x in held])
@@ -69,14 +73,14 @@ def _sender(width: int, buckets: int):
         keep = by[new]
         docs = planes(np.diff(ids.astype(np.uint64), prepend=np.zeros(1, np.uint64))) + pack(first_window)
         at_bucket = np.searchsorted((h[keep] >> shift) if buckets > 1 else np.zeros(len(keep), np.uint64), np.arange(buckets + 1))
-        rows: list[list] = [[], [], [], []]
+        rows: list[list] = [[], [], []]
         for b in range(buckets):
             own = keep[at_bucket[b] : at_bucket[b + 1]]
             if len(own):
-                for column, x in zip(rows, (b, pack(h[own]) + planes(own) + docs, None, None), strict=True):
+                for column, x in zip(rows, (b, pack(h[own]) + planes(own) + docs, None), strict=True):
                     column.append(x)
-        for d, s in zip(*_hits(doc[later], start[later]), strict=True):
-            for column, x in zip(rows, (hash(d) % buckets, None, d, s), strict=True):
+        if len(later):
+            for column, x in zip(rows, (int(ids[0]) % buckets, None, pack_hits(doc[later], start[later])), strict=True):
                 column.append(x)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, schema.types, strict=True)], schema=schema)
 
@@ -102,8 +106,9 @@ def _sender(width: int, buckets: int):
     return send
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one partition, sorted by bucket: all places of a window but the first are repeats."""
+def _judge(groups: int):
+    """Rows of one partition, sorted by bucket: all places of a window but the first are repeats. They go on by document
+    group, packed, so that a document's places do not become a row for every bucket."""
 
     def judged(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         hs, docs, starts = [], [], []
@@ -129,38 +134,65 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later = by[(doc[by] != doc[lead]) | (start[by] != start[lead])]
         return doc[later], start[later]
 
-    now, held, found, size = None, [], [], 0
-
     def out(found: list) -> pa.RecordBatch:
-        docs, starts = _hits(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.binary())], schema=_HITS)
+        doc, start = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+        group = (tokens.mix(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+        by = np.argsort(group, kind="stable")
+        cut = np.flatnonzero(np.diff(group[by])) + 1
+        parts = np.split(by, cut) if len(by) else []
+        return pa.RecordBatch.from_arrays([pa.array([group[x[0]] for x in parts], pa.int32()), pa.array([pack_hits(doc[x], start[x]) for x in parts], pa.binary())], schema=_HITS)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, found, size = None, [], [], 0
+        for batch in batches:
+            for bucket, payload, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if payload is None:
+                    found.append(unpack_hits(hits))
+                    size += len(found[-1][0])
+                else:
+                    if bucket != now and held:
+                        found.append(judged(held))
+                        size += len(found[-1][0])
+                        held = []
+                    now = bucket
+                    held.append(payload)
+                if size >= CHUNK_WORDS:
+                    yield out(found)
+                    found, size = [], 0
+        if held:
+            found.append(judged(held))
+        if found:
+            yield out(found)
+
+    return judge
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one partition, sorted by group: one row a document, with all of its places."""
+    now, held = None, []
+
+    def out() -> pa.RecordBatch:
+        doc, start = (np.concatenate(x) for x in zip(*map(unpack_hits, held), strict=True))
+        by = np.argsort(doc, kind="stable")
+        cut = np.flatnonzero(np.diff(doc[by])) + 1
+        parts = np.split(by, cut)
+        return pa.RecordBatch.from_arrays([pa.array([doc[x[0]] for x in parts], pa.int64()), pa.array([planes(start[x]) for x in parts], pa.binary())], names=["doc", "starts"])
 
     for batch in batches:
-        for bucket, payload, doc, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if payload is None:
-                s = np.frombuffer(starts, np.int32)
-                found.append((np.full(len(s), doc), s))
-                size += len(s)
-            else:
-                if bucket != now and held:
-                    found.append(judged(held))
-                    size += len(found[-1][0])
-                    held = []
-                now = bucket
-                held.append(payload)
-            if size >= CHUNK_WORDS:
-                yield out(found)
-                found, size = [], 0
+        for group, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if group != now and held:
+                yield out()
+                held = []
+            now = group
+            held.append(hits)
     if held:
-        found.append(judged(held))
-    if found:
-        yield out(found)
+        yield out()
 
 
-def _spans(starts: list[bytes], width: int, n: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def _spans(starts: bytes, width: int, n: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """The words that stay, and the maximal intervals of those that go."""
     edge = np.zeros(n + 1, np.int32)
-    s = np.concatenate([np.frombuffer(x, np.int32) for x in starts])
+    s = unplanes(starts, 0)[0].astype(np.int64)
     s = np.unique(s[s + width <= n])
     np.add.at(edge, s, 1)
     np.add.at(edge, s + width, -1)
@@ -181,12 +213,13 @@ def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
     range; so a window that stands in a third of all documents arrives once a chunk, not once a document.
     """
     source = docs.select(id_key(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    buckets = 1 << max(4, (input_bytes(source) // (4 << 20)).bit_length())
+    size = source.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    buckets = 1 << max(4, (size // (6 << 20)).bit_length())
+    parts = max(1, min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     sent = source.mapInArrow(_sender(width, buckets), _SENT)
-    judged = sent.repartition(max(1, min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "bucket").sortWithinPartitions("bucket").mapInArrow(_judge, "doc long, starts binary")
-    hits = stage(judged.groupBy("doc").agg(F.collect_list("starts").alias("starts")), "substring")
-    width_of = hits.agg(F.sum(F.expr("16 + aggregate(starts, 0L, (a, x) -> a + octet_length(x))"))).first()[0] or 0
-    joined = source.join(F.broadcast(hits) if width_of <= 48 << 20 else hits, F.col("__id") == F.col("doc"), "left").select("__id", "__text", "starts")
+    judged = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(buckets), "group int, hits binary")
+    hits = judged.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_gather, "doc long, starts binary")
+    joined = source.join(hits, F.col("__id") == F.col("doc"), "left").select("__id", "__text", "starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
