@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from lectern.functions import text as tx
 
 #: Queries are broadcast up to this many bytes of text, and joined by shuffle beyond.
 QUERY_BYTES = 16 << 20
+#: A block of queries that is scored as one matrix: its queries and bytes bound the matrix (about 50 MB).
+BLOCK_QUERIES, BLOCK_BYTES = 256, 128 << 10
 
 
 def _small(df: DataFrame, text: str) -> DataFrame:
@@ -54,7 +57,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, ident: str = "chunk_id", k1: flo
 
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, ident: str = "chunk_id", text: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, tolerance: float = 1e-6) -> DataFrame:
     """The same scores as bm25(), but in one scan and only the best k of each query (and all within `tolerance` of them)
-    from each slice of chunks: for a stated query set, in blocks of QUERY_BYTES, without a join row for each hit.
+    from each slice of chunks: for a stated query set, in blocks of 256 (BLOCK_BYTES of text), without a join row for each hit.
 
     Document frequencies are one pre-aggregated count; a slice's term counts meet the block's weights as a matrix product."""
     spark = chunks.sparkSession
@@ -62,20 +65,24 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, ident: str = "chu
     q = queries.select("query_id", weight.cast("double").alias("w"), F.explode(tx.bm25_tokens("text")).alias("token")).groupBy("query_id", "token").agg(F.sum("w").alias("w"))
     tokens = chunks.select(F.col(ident).alias("id"), tx.bm25_tokens(text).alias("tokens"))
     n, avgdl = tokens.agg(F.count("*"), F.avg(F.size("tokens"))).first()
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    df = df.join(q.select("token").distinct().withColumn("asked", F.lit(True)), "token", "left")
-    mean = df.agg(F.avg("raw")).first()[0]
-    known = df.where("asked").select("token", F.when(F.col("raw") < 0, F.lit((mean or 0.0) * epsilon)).otherwise(F.col("raw")).alias("idf"))
-    size = queries.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-size // QUERY_BYTES))
+    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    size, many = queries.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    blocks = max(1, -(-size // BLOCK_BYTES), -(-many // BLOCK_QUERIES))
     out = None
     for i in range(blocks):
-        rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).join(known, "token").select("query_id", "token", (F.col("w") * F.col("idf")).alias("w")).collect()
-        names, ids = sorted({r.token for r in rows}), sorted({r.query_id for r in rows})
+        asked = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
+        words = spark.createDataFrame([(t,) for t in sorted({r.token for r in asked})], "asked string")
+        # one pass: the frequency of each asked token, and how many other tokens have each frequency
+        counts = df.join(F.broadcast(words), F.col("token") == F.col("asked"), "left").groupBy("asked", "df").agg(F.count("*").alias("many")).collect()
+        raw = lambda c: math.log(n - c + 0.5) - math.log(c + 0.5)
+        floor = epsilon * sum(raw(r.df) * r.many for r in counts) / max(1, sum(r.many for r in counts))
+        idf = {r.asked: x if (x := raw(r.df)) >= 0 else floor for r in counts if r.asked is not None}
+        rows = [(r.query_id, r.token, r.w * idf[r.token]) for r in asked if r.token in idf]
+        names, ids = sorted({t for _, t, _ in rows}), sorted({x for x, _, _ in rows})
         at, row = {t: j for j, t in enumerate(names)}, {x: j for j, x in enumerate(ids)}
         matrix = np.zeros((len(names), len(ids)))
-        for r in rows:
-            matrix[at[r.token], row[r.query_id]] = r.w
+        for x, t, w in rows:
+            matrix[at[t], row[x]] = w
         shared = spark.sparkContext.broadcast((pa.array(names, pa.string()), np.array(ids), matrix))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
