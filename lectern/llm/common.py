@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side whose rows, at the given width, take more than this is shuffled and not broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 256
 #: Stands for a null document id in keys; sorts before every other id.
 NULL_ID = -(1 << 63)
 
@@ -31,6 +33,13 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows in an Arrow batch bound the memory of a Python worker: texts are long, so far fewer than Spark's 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def small(df: DataFrame, width: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its counted rows of `width` bytes stay under `limit`, else df as it is."""
     return F.broadcast(df) if df.count() * width <= limit else df

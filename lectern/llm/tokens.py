@@ -43,7 +43,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` bytes; a longer text stands alone."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
@@ -52,6 +52,19 @@ def blocks(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]
         lo = min(hi, n)
 
 
+def regrouped(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about `most` bytes of the text column."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def words(buf: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, starts and ends (bytes in buf) and, for each text, its first word (one entry more than texts)."""
     inside = ~BLANK[buf]
