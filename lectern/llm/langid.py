@@ -52,10 +52,13 @@ def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarra
 
 
 def emissions(model_weights: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """(words, languages) scores; equal words are worked out once."""
+    """(words, languages) scores; equal words are worked out once, a few thousand at a time to bound memory."""
     _, at, of = np.unique(h, return_index=True, return_inverse=True)
-    grams, frame, own = features(buf, starts[at], ends[at], h[at])
-    score = np.add.reduceat(model_weights[grams[:, 0]] + model_weights[grams[:, 1]], frame, axis=0) + model_weights[own].sum(axis=1)
+    score = np.empty((len(at), model_weights.shape[1]), np.float32)
+    for lo in range(0, len(at), 8192):
+        some = at[lo : lo + 8192]
+        grams, frame, own = features(buf, starts[some], ends[some], h[some])
+        score[lo : lo + 8192] = np.add.reduceat(model_weights[grams[:, 0]] + model_weights[grams[:, 1]], frame, axis=0) + model_weights[own].sum(axis=1)
     return score[of]
 
 
@@ -184,10 +187,10 @@ def _classify(shared):
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
-        for batch in tokens.regrouped(batches, 1, 4 << 20):
+        for batch in tokens.regrouped(batches, 1, 3 << 20):
             buf, offsets = tokens.utf8(batch.column(1))
             pred, score, shares, switches = [], [], [], []
-            for lo, hi in tokens.blocks(offsets, 4 << 20):
+            for lo, hi in tokens.blocks(offsets, 3 << 20):
                 part = offsets[lo : hi + 1]
                 own, base = buf[part[0] : part[-1]], part - part[0]
                 h, starts, ends, first = tokens.words(own, base, lower=True)
