@@ -17,8 +17,8 @@ from lectern.llm.common import bounded_batches, stage
 CLASSES, WITHIN, RARE = 64, 64, 64
 VOCAB = CLASSES * WITHIN
 WINDOW, DIM, HIDDEN = 2, 16, 32
-#: Rounds of local training and averaging; in each, every STRIDE-th word of every document is a training target.
-ROUNDS, STRIDE, BATCH, RATE = 2, 12, 2048, 0.08
+#: Rounds of local training and averaging; over all of them, every word of every document is a training target once.
+ROUNDS, BATCH, RATE = 2, 2048, 0.08
 #: Models that one task averages.
 FAN_IN = 32
 SLICES = 8
@@ -217,37 +217,45 @@ def _average(rows: DataFrame, tasks: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["model"], np.float32) for r in sorted(rows.collect(), key=lambda r: r["slice"])])
 
 
+def _fit(batches: Iterator[pa.RecordBatch], known: np.ndarray, rank: np.ndarray, flat: np.ndarray, turn: int, rounds: int) -> Trainer:
+    """Trains on the words of the batches whose place in their text is `turn` modulo `rounds`: on all of them, once."""
+    trainer = Trainer(flat)
+    ctx, y, size = [], [], 0
+    for batch in batches:
+        for _, _, h, first in _texts(batch, 0):
+            ids = _ids(known, rank, h)
+            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            at = np.arange(len(h))
+            at = at[(at - first[doc]) % rounds == turn]
+            for lo in range(0, len(at), 16 * BATCH):
+                own = at[lo : lo + 16 * BATCH]
+                ctx.append(contexts(ids, first, own, doc[own]))
+                y.append(ids[own])
+                size += len(own)
+                if size >= 16 * BATCH:
+                    c, t = np.concatenate(ctx), np.concatenate(y)
+                    by = np.random.default_rng(trainer.seen).permutation(len(t))
+                    whole = len(t) // BATCH * BATCH
+                    for i in range(0, whole, BATCH):
+                        trainer.batch(c[by[i : i + BATCH]], t[by[i : i + BATCH]])
+                    ctx, y, size = [c[by[whole:]]], [t[by[whole:]]], len(t) - whole  # goes into the next group
+    if size:
+        c, t = np.concatenate(ctx), np.concatenate(y)
+        for lo in range(0, len(t), BATCH):
+            trainer.batch(c[lo : lo + BATCH], t[lo : lo + BATCH])
+    return trainer
+
+
 def train(texts: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Known words (sorted hashes), their ids, the flat model, and the spread of each id. Words are counted over all texts; in each round every
-    task trains from the common model on every STRIDE-th word of each of its texts, and the models are averaged."""
+    """Known words (sorted hashes), their ids, the flat model, and the spread of each id. Words are counted over all texts; in each of n rounds
+    every task trains from the common model on every n-th word of each of its texts, one place further in each round, and the models are averaged."""
     known, rank, count, spread = vocabulary(texts)
     flat = pack(start(count))
     for turn in range(rounds):
         shared = texts.sparkSession.sparkContext.broadcast((known, rank, flat))  # at most VOCAB words, one model
 
         def fit(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            known, rank, flat = shared.value
-            trainer = Trainer(flat)
-            ctx, y, size = [], [], 0
-            for batch in batches:
-                for _, _, h, first in _texts(batch, 0):
-                    ids = _ids(known, rank, h)
-                    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                    at = np.arange(len(h))
-                    at = at[(at - first[doc]) % STRIDE == (turn * 5) % STRIDE]
-                    ctx.append(contexts(ids, first, at, doc[at]))
-                    y.append(ids[at])
-                    size += len(at)
-                    if size >= 16 * BATCH:
-                        c, t = np.concatenate(ctx), np.concatenate(y)
-                        by = np.random.default_rng(trainer.seen).permutation(len(t))
-                        for lo in range(0, len(t) - BATCH + 1, BATCH):
-                            trainer.batch(c[by[lo : lo + BATCH]], t[by[lo : lo + BATCH]])
-                        ctx, y, size = [], [], 0
-            if size:
-                c, t = np.concatenate(ctx), np.concatenate(y)
-                for lo in range(0, len(t), BATCH):
-                    trainer.batch(c[lo : lo + BATCH], t[lo : lo + BATCH])
+            trainer = _fit(batches, *shared.value, turn, rounds)
             if trainer.seen:
                 parts = np.array_split(pack(trainer.p), SLICES)
                 task = TaskContext.get().partitionId()
@@ -256,7 +264,7 @@ def train(texts: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarra
         models = stage(texts.mapInArrow(fit, "task long, slice int, seen double, model binary"), "models")
         tasks = models.agg(F.max("task")).first()[0]
         if tasks is None:
-            break
+            continue  # texts of one word have no target in later rounds, empty ones in none
         flat = _average(models, max(2, tasks + 1))
     return known, rank, flat, spread
 

@@ -1,6 +1,7 @@
 """The masked model: gradients, normalised probabilities, learning, whole texts."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.llm import masked_lm as lm
@@ -67,3 +68,22 @@ def test_odd_rows(odd, empty):
     assert len(got) == odd.count()
     assert all((r.n_words, r.log_likelihood, r.mean_log_prob) == (0, 0.0, None) for r in got if r.doc_id in (1, 2, 3))
     assert lm.score(empty).collect() == []
+
+
+def test_every_word_is_a_target_once(monkeypatch):
+    texts = [" ".join(f"w{i}" for i in range(lo, lo + n)) for lo, n in ((0, 90_001), (90_001, 1), (90_002, 5), (90_007, 40_000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    h = np.concatenate([x for _, _, x, _ in lm._texts(batch, 0)])
+    known, rank = np.sort(h), np.argsort(h)  # every word has an id of its own: its place
+    seen = []
+
+    def record(self, ctx, y):
+        seen.append(y)
+        self.seen += len(y)
+
+    monkeypatch.setattr(lm.Trainer, "batch", record)
+    flat = lm.pack(lm.start(np.ones(lm.VOCAB)))
+    for turn in range(lm.ROUNDS):
+        lm._fit([batch, batch.slice(0, 0)], known, rank, flat, turn, lm.ROUNDS)
+    assert (np.sort(np.concatenate(seen)) == np.arange(len(h))).all()
+    assert all(len(y) <= lm.BATCH for y in seen)
