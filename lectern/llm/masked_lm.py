@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from lectern.llm import tokens
 from lectern.llm.common import bounded_batches, stage
 
-#: Words predicted as themselves; all others fall into RARE classes by their hash. Together CLASSES * WITHIN.
+#: Words predicted as themselves; all others, the last class, are spelled byte by byte. As context, and in training, they
+#: fall into RARE ids by their hash. Together CLASSES * WITHIN.
 CLASSES, WITHIN, RARE = 64, 64, 64
 VOCAB = CLASSES * WITHIN
 WINDOW, DIM, HIDDEN = 2, 16, 32
@@ -21,6 +22,9 @@ WINDOW, DIM, HIDDEN = 2, 16, 32
 ROUNDS, BATCH, RATE = 2, 2048, 0.08
 #: Models that one task averages.
 FAN_IN = 32
+#: Contexts of a byte of a rare word (the two bytes before it, hashed), and the symbol that ends a word.
+PLACES, END = 4096, 0x20
+PLACE = (tokens.mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(PLACES)).astype(np.int64)
 SLICES = 8
 
 
@@ -69,8 +73,9 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def log_probs(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """ln p(word | both sides) for each word: that of its class, plus that of the word within it."""
+def log_probs(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray, spelled: np.ndarray | None = None) -> np.ndarray:
+    """ln p(word | both sides) for each word: that of its class, plus that of the word within it; for words of the last
+    class the latter is their entry in spelled, if that is given."""
     table = [p["embed"] @ p["mixer"][c * DIM : (c + 1) * DIM] for c in range(2 * WINDOW)]
     out = np.empty(len(ids))
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -85,7 +90,9 @@ def log_probs(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray) -> n
         cut = np.searchsorted(k[by], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             rows = by[cut[c] : cut[c + 1]]
-            if len(rows):
+            if len(rows) and c == CLASSES - 1 and spelled is not None:
+                out[at[rows]] += spelled[at[rows]]
+            elif len(rows):
                 own = slice(c * WITHIN, (c + 1) * WITHIN)
                 out[at[rows]] += _log_softmax(h[rows] @ p["word_w"][own].T + p["word_b"][own])[np.arange(len(rows)), y[rows] - c * WITHIN]
     return out
@@ -150,14 +157,68 @@ def _ids(known: np.ndarray, rank: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(known[k] == h, rank[k], VOCAB - RARE + (h % np.uint64(RARE)).astype(np.int64))
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _words(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     buf, offsets = tokens.utf8(batch.column(column))
     for lo, hi in tokens.blocks(offsets):
         part = offsets[lo : hi + 1]
-        h, _, _, first = tokens.words(buf[part[0] : part[-1]], part - part[0], lower=True)
+        own = buf[part[0] : part[-1]]
+        h, starts, ends, first = tokens.words(own, part - part[0], lower=True)
+        yield lo, hi, h, first, tokens.LOWER[own], starts, ends
+
+
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    for lo, hi, h, first, *_ in _words(batch, column):
         yield lo, hi, h, first
 
 
+def _letters(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (context and byte) of all bytes of buf, those of words in their words; and of the end of each word."""
+    b = buf.astype(np.int64)
+    one, two = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+    one[1:], two[2:] = b[:-1], b[:-2]
+    one[starts] = two[starts] = 0
+    two[starts[ends - starts > 1] + 1] = 0
+    last = np.where(ends - starts > 1, b[np.maximum(ends - 2, 0)], 0) if len(starts) else starts
+    return PLACE[two * 256 + one] * 256 + b, PLACE[last * 256 + b[ends - 1]] * 256 + END
+
+
+def spellings(table: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """ln p of each word's bytes and of its end, by a table of PLACES * 256 logarithms."""
+    inner, end = _letters(buf, starts, ends)
+    total = np.r_[0.0, np.cumsum(table[inner], dtype=np.float64)]
+    return total[ends] - total[starts] + table[end]
+
+
+def letter_table(counts: np.ndarray) -> np.ndarray:
+    """ln p(byte | two bytes before it) from counts by key; the shares of all contexts together weigh as one count."""
+    n = counts.reshape(PLACES, 256)
+    every = (n.sum(axis=0) + 1.0) / (n.sum() + 256.0)
+    return np.log((n + every) / (n.sum(axis=1, keepdims=True) + 1.0)).astype(np.float32).ravel()
+
+
+def _count_letters(batches: Iterator[pa.RecordBatch], known: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(PLACES * 256, np.int64)
+    for batch in batches:
+        for _, _, h, _, buf, starts, ends in _words(batch, 0):
+            rare = _ids(known, rank, h) >= VOCAB - RARE
+            inner, end = _letters(buf, starts, ends)
+            edge = np.zeros(len(buf) + 1, np.int32)
+            np.add.at(edge, starts[rare], 1)
+            np.add.at(edge, ends[rare], -1)
+            counts += np.bincount(np.r_[inner[np.cumsum(edge)[:-1] > 0], end[rare]], minlength=len(counts))
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], names=["key", "n"])
+
+
+def spell(texts: DataFrame, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The letter table of all rare words of all texts; at most PLACES * 256 counts come to the driver, as Arrow."""
+    shared = texts.sparkSession.sparkContext.broadcast((known, rank))
+    counted = texts.mapInArrow(lambda batches: _count_letters(batches, *shared.value), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(PLACES * 256)
+    counts[counted["key"].to_numpy()] = counted["n"].to_numpy()
+    return letter_table(counts)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -181,23 +242,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def vocabulary(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of all words of all texts; the most frequent ones (sorted hashes, their ranks), and of each id the count and
-    ln(1 + different words) that a rare class stands for (0 for a word of its own)."""
+def vocabulary(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of all words of all texts; the most frequent ones (sorted hashes, their ranks), and of each id the count."""
     counts = stage(texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     top = counts.orderBy(F.desc("n"), "word").limit(VOCAB - RARE).collect()
-    rare = counts.groupBy(F.expr(f"cast(pmod(pmod(word, {RARE}) + {RARE}, {RARE}) as int)").alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
-    count, types = np.zeros(VOCAB), np.zeros(VOCAB)
+    rare = counts.groupBy(F.expr(f"cast(pmod(pmod(word, {RARE}) + {RARE}, {RARE}) as int)").alias("class")).agg(F.sum("n").alias("n")).collect()
+    count = np.zeros(VOCAB)
     for r in rare:
         count[VOCAB - RARE + r["class"]] += r["n"]
-        types[VOCAB - RARE + r["class"]] += r["types"]
     h = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     for i, r in enumerate(top):
         count[i] = r["n"]
         count[VOCAB - RARE + int(h[i] % np.uint64(RARE))] -= r["n"]
-        types[VOCAB - RARE + int(h[i] % np.uint64(RARE))] -= 1
     by = np.argsort(h)
-    return h[by], by, np.maximum(count, 0), np.log1p(np.maximum(types, 0))
+    return h[by], by, np.maximum(count, 0)
 
 
 def _average(rows: DataFrame, tasks: int) -> np.ndarray:
@@ -247,9 +305,10 @@ def _fit(batches: Iterator[pa.RecordBatch], known: np.ndarray, rank: np.ndarray,
 
 
 def train(texts: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Known words (sorted hashes), their ids, the flat model, and the spread of each id. Words are counted over all texts; in each of n rounds
+    """Known words (sorted hashes), their ids, the flat model, and the letter table of all others. Words are counted over all texts; in each of n rounds
     every task trains from the common model on every n-th word of each of its texts, one place further in each round, and the models are averaged."""
-    known, rank, count, spread = vocabulary(texts)
+    known, rank, count = vocabulary(texts)
+    letters = spell(texts, known, rank)
     flat = pack(start(count))
     for turn in range(rounds):
         shared = texts.sparkSession.sparkContext.broadcast((known, rank, flat))  # at most VOCAB words, one model
@@ -266,12 +325,13 @@ def train(texts: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarra
         if tasks is None:
             continue  # texts of one word have no target in later rounds, empty ones in none
         flat = _average(models, max(2, tasks + 1))
-    return known, rank, flat, spread
+    return known, rank, flat, letters
 
 
 def score(docs: DataFrame, model: tuple | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pseudo-likelihood of every whole text: the sum of ln p(word | two words on either side) over all of its words.
-    A rare word has its class's probability, shared evenly among the different words that the corpus has in the class.
+    A word outside the vocabulary has the probability of the class of such words between its neighbours, times that of its
+    spelling: each byte, and the end of the word, given the two bytes before, as counted over all such words of the corpus.
 
     Returns doc_id, n_words, log_likelihood, mean_log_prob (null without words) and perplexity (exp of its negative).
     Null and empty texts have 0 words and log_likelihood 0. Trained on docs unless a model is given. Rows that repeat an
@@ -282,13 +342,13 @@ def score(docs: DataFrame, model: tuple | None = None, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(model or train(source.select("text")))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank, flat, spread = shared.value
+        known, rank, flat, letters = shared.value
         p = unpack(flat)
         for batch in batches:
             n, total = [], []
-            for _, _, h, first in _texts(batch, 1):
+            for _, _, h, first, buf, starts, ends in _words(batch, 1):
                 ids = _ids(known, rank, h)
-                lp = np.r_[0.0, np.cumsum(log_probs(p, ids, first) - spread[ids])]
+                lp = np.r_[0.0, np.cumsum(log_probs(p, ids, first, spellings(letters, buf, starts, ends)))]
                 n += np.diff(first).tolist()
                 total += (lp[first[1:]] - lp[first[:-1]]).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "n_words", "log_likelihood"])

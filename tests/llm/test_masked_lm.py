@@ -87,3 +87,33 @@ def test_every_word_is_a_target_once(monkeypatch):
         lm._fit([batch, batch.slice(0, 0)], known, rank, flat, turn, lm.ROUNDS)
     assert (np.sort(np.concatenate(seen)) == np.arange(len(h))).all()
     assert all(len(y) <= lm.BATCH for y in seen)
+
+
+def test_spellings_against_plain():
+    texts = ["Ab cé a", "", "zz\tab"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    counts = np.random.default_rng(0).integers(0, 9, lm.PLACES * 256).astype(float)
+    table = lm.letter_table(counts)
+    assert np.exp(table.reshape(lm.PLACES, 256)).sum(axis=1) == pytest.approx(1, abs=1e-4)
+    (_, _, _, _, buf, starts, ends) = next(lm._words(batch, 0))
+    want = []
+    for word in " ".join(texts).lower().split():
+        b = [0, 0, *word.encode(), lm.END]
+        want.append(sum(float(table[lm.PLACE[b[i - 2] * 256 + b[i - 1]] * 256 + b[i]]) for i in range(2, len(b))))
+    assert lm.spellings(table, buf, starts, ends) == pytest.approx(want)
+    rare = np.zeros(lm.PLACES * 256)
+    out = next(lm._count_letters([batch], np.zeros(0, np.uint64), np.zeros(0, np.int64)))  # no known word: all are rare
+    rare[out.column(0)] = out.column(1)
+    assert rare.sum() == sum(len(w.encode()) + 1 for t in texts for w in t.split())
+
+
+def test_rare_words_differ(frame):
+    rng = np.random.default_rng(2)
+    corpus = [" ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(2000)) for _ in range(8)]
+    model = lm.train(frame(list(enumerate(corpus))).select("text"))
+    words = sorted(set(" ".join(corpus).split()))
+    h = next(lm._texts(pa.RecordBatch.from_arrays([pa.array([" ".join(words)])], names=["text"]), 0))[2]
+    ids = lm._ids(model[0], model[1], h)
+    one, other = np.flatnonzero(ids == lm.VOCAB - lm.RARE)[:2]  # of the same rare id
+    s = {r.doc_id: r.log_likelihood for r in lm.score(frame([(1, words[one]), (2, words[other]), (3, "zqxj9")]), model).collect()}
+    assert s[1] != s[2] and s[3] < min(s[1], s[2]) and max(s[1], s[2]) < 0
