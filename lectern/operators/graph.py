@@ -127,17 +127,18 @@ def with_both_ends(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return edges.join(v.withColumnRenamed("id", "src"), "src", "left_semi").join(v.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
-def build(chunks: DataFrame, extract, per_batch: int = 4, least: int = 50, most: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+def build(chunks: DataFrame, extract, per_batch: int = 4, least: int = 50, most: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vertices, edges and counters from chunks (paper_id, chunk_index, chunk_id, text).
 
     extract: a Column of text -> array<struct<head, head_type, relation, relation_type, tail, tail_type, confidence,
-    evidence>> (a model's UDF; functions.boundary has a local one). Chunks of fewer than 50 characters are not read; of each
-    chunk the `most` triplets of highest confidence stay."""
+    evidence>> (a model's UDF; functions.boundary has a local one). Chunks of fewer than 50 characters are not read; all
+    triplets of a chunk stay, by falling confidence. most: only so many of each chunk (for multimodal input)."""
     numbered = chunks.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("paper_id").orderBy("chunk_index", "chunk_id")) - 1) / per_batch))
     read = numbered.withColumn("t", F.when(F.length("text") >= least, extract(F.col("text"))))
-    best = F.slice(F.sort_array(F.transform("t", lambda x: F.struct((-F.coalesce(x["confidence"], F.lit(0.5))).alias("less"), x.alias("x")))), 1, most)
+    best = F.sort_array(F.transform("t", lambda x: F.struct((-F.coalesce(x["confidence"], F.lit(0.5))).alias("less"), x.alias("x"))))
+    best = best if most is None else F.slice(best, 1, most)
     t = read.select("paper_id", "batch", "chunk_id", "chunk_index", F.posexplode(F.transform(best, lambda b: b["x"])).alias("pos", "x"))
-    t = t.select("paper_id", "batch", "chunk_id", (F.col("chunk_index") * 1000 + F.col("pos")).alias("ord"), "x.*")
+    t = t.select("paper_id", "batch", "chunk_id", (F.col("chunk_index").cast("long") * (1 << 28) + F.col("pos")).alias("ord"), "x.*")
     edges = edges_of(t)
     vertices = add_entities(None, triplet_entities(t))
     counters = read.groupBy("paper_id").agg(F.count("*").alias("chunks"), F.sum((F.length("text") < least).cast("long")).alias("skipped"), F.sum((F.coalesce(F.size("t"), F.lit(0)) <= 0).cast("long")).alias("empty"), F.sum(F.greatest(F.coalesce(F.size("t"), F.lit(0)), F.lit(0)).cast("long")).alias("triplets"), F.count_distinct("batch").alias("batches"))

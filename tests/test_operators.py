@@ -229,3 +229,16 @@ def test_graph_build(spark):
     assert {(r.src, r.label, r.dst) for r in e.collect()} == {("modela", "uses", "attention"), ("modela", "improves", "baseline")}
     row = counters.first()
     assert (row.chunks, row.skipped, row.triplets, row.batches) == (2, 1, 2, 1)
+
+
+def test_graph_build_keeps_all_triplets(spark):
+    from lectern.functions.boundary import pattern_triplets
+
+    text = "We see: " + ". ".join(f"Model{i} uses Part{i}" for i in range(1100))
+    c = spark.createDataFrame([("p", 0, "c0", text), ("p", 1, "c1", "Later on we find that MODEL1050 uses Part1050 once more.")], "paper_id string, chunk_index int, chunk_id string, text string")
+    v, e, counters = graph.build(c, pattern_triplets)
+    got = {(r.src, r.label, r.dst): (r.added, r.chunk_id) for r in e.collect()}
+    assert got == {(f"model{i}", "uses", f"part{i}"): (1 + (i == 1050), "c0") for i in range(1100)}
+    assert v.where("id = 'model1050'").first().name == "Model1050" and v.count() == 2200
+    assert counters.first().triplets == 1101
+    assert graph.build(c, pattern_triplets, most=5)[1].count() == 6
