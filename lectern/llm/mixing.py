@@ -95,7 +95,8 @@ def _rake_on_driver(cells: DataFrame, targets: dict, budget: float) -> DataFrame
     return cells.sparkSession.createDataFrame(out, "source string, lang string, topic int, weight double, prob double")
 
 
-def _rake_in_spark(cells: DataFrame, targets: dict, budget: float, sweeps: int = 20) -> DataFrame:
+def _rake_in_spark(cells: DataFrame, targets: dict, budget: float) -> DataFrame:
+    """As on the driver, with the same stop rules."""
     total = cells.agg(F.sum("mass")).first()[0]
     now = cells.withColumn("weight", F.lit(1.0))
     goals = {}
@@ -106,20 +107,27 @@ def _rake_in_spark(cells: DataFrame, targets: dict, budget: float, sweeps: int =
         else:
             share = cells.groupBy(dim).agg(F.pow(F.sum("mass"), F.lit(POWERS[dim])).alias("want"))
         share = stage(share, "share")
-        whole = share.agg(F.sum("want")).first()[0]
-        goals[dim] = share.select(dim, (F.col("want") / whole).alias("want"))
-    for _ in range(sweeps):
+        whole, n = share.agg(F.sum("want"), F.count("*")).first()
+        goals[dim] = share.select(dim, (F.col("want") / whole if whole > 0 else F.lit(1 / n)).alias("want"))
+    for _ in range(SWEEPS):
+        now = now.withColumn("off", F.lit(0.0))
         for dim, goal in goals.items():
-            ratio = now.groupBy(dim).agg((F.sum(F.col("weight") * F.col("mass")) / total).alias("have")).join(goal, dim).select(dim, (F.col("want") / F.col("have")).alias("ratio"))
-            now = now.join(ratio, dim).withColumn("weight", F.col("weight") * F.col("ratio")).select("source", "lang", "topic", "mass", "weight")
+            have = now.groupBy(dim).agg((F.sum(F.col("weight") * F.col("mass")) / total).alias("have")).join(goal, dim)
+            some = F.col("have") > 0
+            ratio = have.select(dim, F.when(some, F.col("want") / F.nullif("have", F.lit(0.0))).otherwise(1.0).alias("ratio"), F.when(some, F.abs(F.col("have") - F.col("want"))).otherwise(0.0).alias("gap"))
+            now = now.join(ratio, dim).select("source", "lang", "topic", "mass", (F.col("weight") * F.col("ratio")).alias("weight"), F.greatest("off", "gap").alias("off"))
         now = stage(now, "raked")
+        if now.agg(F.max("off")).first()[0] < TOLERANCE:
+            break
     whole = now.agg(F.sum(F.col("weight") * F.col("mass"))).first()[0]
     now = now.withColumn("weight", F.col("weight") * total / whole)
     c, goal = budget, budget * total
-    for _ in range(30):
+    for _ in range(60):
         full = F.col("weight") * c >= 1
         part = now.agg(F.sum(F.when(full, F.col("mass")).otherwise(0)), F.sum(F.when(full, 0).otherwise(F.col("weight") * F.col("mass")))).first()
-        new = (goal - part[0]) / part[1] if part[1] else c
+        if part[1] <= 0:
+            break
+        new = (goal - part[0]) / part[1]
         if abs(new - c) <= 1e-12 * c:
             break
         c = new

@@ -42,6 +42,16 @@ def test_two_paths_agree(docs, monkeypatch):
     assert not off
 
 
+def test_paths_equal_where_raking_is_slow(spark):
+    rows = [("a", "x", 0, 100.0), ("a", "y", 0, 1.0), ("b", "x", 1, 2.0), ("b", "y", 1, 90.0), ("b", "y", 0, 9.0)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic int, mass double")
+    goal = {"source": {"a": 0.55, "b": 0.45}, "lang": {"x": 0.45, "y": 0.55}, "topic": {0: 0.6, 1: 0.4}}
+    a, b = ({(r.source, r.lang, r.topic): (r.weight, r.prob) for r in f(cells, goal, 0.6).collect()} for f in (mixing._rake_on_driver, mixing._rake_in_spark))
+    assert len(a) == len(b) == 5
+    for cell, both in a.items():
+        assert b[cell] == pytest.approx(both, rel=1e-9)
+
+
 def test_repeatable_and_odd(odd, empty):
     a, b = (sorted(((r.doc_id, r.selected, r.row.tokens) for r in mixing.mix(odd, keep=True).collect()), key=repr) for _ in range(2))
     assert a == b and len(a) == odd.count()
