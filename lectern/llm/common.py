@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -17,27 +20,59 @@ NULL_ID = -(1 << 63)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new temporary one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a new temporary one in local mode only."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_staged: dict[str, SparkSession] = {}
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
+    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors. The table goes with
+    unstage(), or when the program ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _staged:
+        atexit.register(_clear)
+    _staged[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*dfs: DataFrame) -> None:
+    """Deletes staged tables that no later plan reads."""
+    for df in dfs:
+        path = getattr(df, "_staged_at", None)
+        if spark := _staged.pop(path, None):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Rows in an Arrow batch bound the memory of a Python worker: texts are long, so far fewer than Spark's 10,000."""
+def _clear() -> None:
+    for path, spark in list(_staged.items()):
+        with contextlib.suppress(Exception):  # the session may be gone
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df in a clone of its session in which an Arrow batch has BATCH_ROWS rows: texts are long, so Spark's 10,000 would not
+    bound the memory of a Python worker. The session that the caller goes on using keeps its own setting."""
+    spark = df.sparkSession
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    if 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        return df
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set(key, str(BATCH_ROWS))
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.logicalPlan()), own)
 
 
 def small(df: DataFrame, width: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -65,7 +100,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = rename(both.join(low, "a").where("b > a"), "b", "m").where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         rest = rename(large.join(low, "a").where("b <> m"), "b", "m")
-        edges = stage(rest.unionByName(rename(low, "a", "m")).where("a <> b").distinct(), "cc")
+        old, edges = edges, stage(rest.unionByName(rename(low, "a", "m")).where("a <> b").distinct(), "cc")
+        unstage(old)
         now = mark(edges)
         if now == before:
             break

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import tokens
-from lectern.llm.common import bounded_batches
+from lectern.llm.common import bounded
 
 #: Characters (UTF-8 code units of the normalised text) in a gram; one gram is one 64-bit number.
 Q = 8
@@ -160,8 +160,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     gives no rows. Rows that repeat an id are searched each. Passages are broadcast in blocks of about 4 MB, each held
     against all documents, whose texts are never shuffled. Other columns are not read.
     """
+    docs = bounded(docs)
     spark = docs.sparkSession
-    bounded_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // BLOCK_BYTES))

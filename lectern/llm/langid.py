@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import tokens
-from lectern.llm.common import bounded_batches, whole_rows
+from lectern.llm.common import bounded, whole_rows
 
 #: The training sample: at most so many labelled rows, and of each so many characters from a place its id's hash chooses.
 TRAIN_ROWS, TRAIN_CHARS = 1200, 4000
@@ -228,7 +228,7 @@ def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_co
     best language between neighbouring words); with keep also row, a struct of all columns of docs, whatever their names.
     Rows that repeat an id are labelled each; no documents, no rows.
     """
-    bounded_batches(docs.sparkSession)
+    docs = bounded(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x languages
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *whole_rows(docs, keep))
     schema = T.StructType.fromDDL("doc_id long, lang_pred string, score double, shares map<string, double>, n_switches long")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import tokens
-from lectern.llm.common import bounded_batches, stage
+from lectern.llm.common import bounded, stage
 
 #: Words predicted as themselves; all others, the last class, are spelled byte by byte. As context, and in training, they
 #: fall into RARE ids by their hash. Together CLASSES * WITHIN.
@@ -337,7 +337,7 @@ def score(docs: DataFrame, model: tuple | None = None, id_col: str = "doc_id", t
     Null and empty texts have 0 words and log_likelihood 0. Trained on docs unless a model is given. Rows that repeat an
     id are scored each; no documents, no rows. Other columns are not read.
     """
-    bounded_batches(docs.sparkSession)
+    docs = bounded(docs)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model or train(source.select("text")))
 

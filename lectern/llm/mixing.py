@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import tokens
-from lectern.llm.common import bounded_batches, small, stage, whole_rows
+from lectern.llm.common import bounded, small, stage, whole_rows
 
 TOPICS = 8
 #: Words of fewer bytes say little of a topic.
@@ -154,7 +154,7 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float =
     source or language is a category of its own; null and empty texts have 0 tokens and their cell's probability, a cell
     without tokens weight 1; rows that repeat id and text share their fate; no documents, no rows.
     """
-    bounded_batches(docs.sparkSession)
+    docs = bounded(docs)
     source = docs.select(
         F.col(id_col).cast("long").alias("__id"),
         F.col(text_col).alias("__text"),

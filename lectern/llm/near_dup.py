@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import tokens
-from lectern.llm.common import bounded_batches, components, id_key, small, stage
+from lectern.llm.common import bounded, components, id_key, small, stage
 
 U = np.uint64
 #: 40 bands of 5 rows: a pair at 0.8 shares none with probability 1.3e-7.
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
     bucket (so a bucket of n sends n pairs). Buckets whose members then still lie in several components are put together
     into clusters, and blocks of a cluster are compared in full but for pairs that are connected already.
     """
-    bounded_batches(docs.sparkSession)
+    docs = bounded(docs)
     source = docs.select(id_key(id_col).alias("doc"), F.col(text_col).alias("text"))
     signed = stage(source.mapInArrow(_sign(k), "doc long, n int, s1 long, s2 long, bands array<long>, sig binary"), "signed")
     plain = signed.select("doc", "n", "s1", "s2")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import tokens
-from lectern.llm.common import bounded_batches, id_key
+from lectern.llm.common import bounded, id_key
 
 CHUNK_WORDS = 2_000_000
 _SENT = "bucket int, payload binary, hits binary"
@@ -212,7 +212,7 @@ def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
     Each task hashes the windows of about 2 M words, keeps the first place of each hash and sends one packed row a hash
     range; so a window that stands in a third of all documents arrives once a chunk, not once a document.
     """
-    bounded_batches(docs.sparkSession)
+    docs = bounded(docs)
     source = docs.select(id_key(id_col).alias("__id"), F.col(text_col).alias("__text"))
     size = source.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     buckets = 1 << max(4, (size // (6 << 20)).bit_length())

@@ -14,17 +14,8 @@ BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
-_powers = np.ones(1, U)
-
-
-def powers(n: int) -> np.ndarray:
-    """_BASE**i modulo 2**64 for i < n."""
-    global _powers
-    if len(_powers) < n:
-        table = np.full(max(n, 256), _BASE, U)
-        table[0] = 1
-        _powers = np.multiply.accumulate(table)
-    return _powers
+#: By number of bytes (8 at most): the mask that keeps them in a little-endian block.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -78,11 +69,26 @@ def words(buf: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray
     first = np.searchsorted(starts, offsets)
     if not len(starts):
         return np.zeros(0, U), starts, ends, first
+    return hashes(LOWER[buf] if lower else buf, starts, ends), starts, ends, first
+
+
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word: its blocks of 8 bytes are mixed each, with their place and the word's length, before they are
+    summed; so no two different words share a hash but by chance (a polynomial modulo 2**64 would let some)."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 1,), np.dtype("<u8"), padded, strides=(1,))  # the 8 bytes from each byte on
     lens = ends - starts
-    at = np.cumsum(lens) - lens
-    place = np.arange(at[-1] + lens[-1]) - np.repeat(at, lens)
-    b = (LOWER[buf] if lower else buf)[inside].astype(U) + U(1)
-    return mix(np.add.reduceat(b * powers(int(lens.max()))[place], at)), starts, ends, first
+    out = mix((eight[starts] & _MASKS[np.minimum(lens, 8)]) ^ lens.astype(U) * U(_BASE))
+    long = np.flatnonzero(lens > 8)
+    if len(long):
+        more = (lens[long] - 1) // 8
+        at = np.cumsum(more) - more
+        block = np.arange(int(more.sum())) - np.repeat(at, more) + 1
+        left = np.repeat(lens[long], more) - 8 * block
+        own = eight[np.repeat(starts[long], more) + 8 * block] & _MASKS[np.minimum(left, 8)]
+        out[long] = mix(out[long] + np.add.reduceat(mix(own ^ block.astype(U) * U(0xD6E8FEB86659FD93)), at))
+    return out
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
