@@ -112,3 +112,11 @@ def components(edges: DataFrame) -> DataFrame:
 def whole_rows(df: DataFrame, keep: bool) -> list[Column]:
     """With keep: one struct column `row` of all columns of df, which may bear any names."""
     return [F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")] if keep else []
+
+
+def several_texts(rows: DataFrame, key: str, text_hash: str) -> DataFrame | None:
+    """Keys other than NULL_ID that stand on rows of different texts: (key, __several), or None if there are none."""
+    found = rows.select(key, text_hash).where(F.col(key) != NULL_ID).distinct().groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    found = stage(found.select(key, F.lit(True).alias("__several")), "several")
+    n = found.count()
+    return (F.broadcast(found) if n * 16 <= BROADCAST_BYTES else found) if n else None

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import tokens
-from lectern.llm.common import bounded, id_key
+from lectern.llm.common import NULL_ID, bounded, id_key, several_texts
 
 CHUNK_WORDS = 2_000_000
 _SENT = "bucket int, payload binary, hits binary"
@@ -26,7 +26,7 @@ def pack(rising: np.ndarray) -> bytes:
 
 def planes(values: np.ndarray) -> bytes:
     values = values.astype(np.uint64)
-    n = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    n = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
     return np.array([len(values), n], np.int64).tobytes() + np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
 
 
@@ -37,18 +37,53 @@ def unplanes(data: memoryview, at: int) -> tuple[np.ndarray, int]:
     return out.reshape(-1).view(np.uint64), at + 16 + int(size * n)
 
 
-def pack_hits(doc: np.ndarray, start: np.ndarray) -> bytes:
+def pack_docs(ids: np.ndarray, subs: np.ndarray) -> bytes:
+    """Documents (id, sub) in the order of their ids."""
+    return planes(np.diff(ids.astype(np.uint64), prepend=np.zeros(1, np.uint64))) + planes(subs)
+
+
+def unpack_docs(data: memoryview, at: int) -> tuple[np.ndarray, np.ndarray, int]:
+    ids, at = unplanes(data, at)
+    subs, at = unplanes(data, at)
+    return np.cumsum(ids, dtype=np.uint64).astype(np.int64), subs, at
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before; the first one does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def pack_hits(doc: np.ndarray, sub: np.ndarray, start: np.ndarray) -> bytes:
     """Places (document, start) in their order."""
-    order = np.lexsort((start, doc))
-    ids, count = np.unique(doc, return_counts=True)
-    return planes(np.diff(ids.astype(np.uint64), prepend=np.zeros(1, np.uint64))) + planes(count) + planes(start[order])
+    order = np.lexsort((start, sub, doc))
+    doc, sub, start = doc[order], sub[order], start[order]
+    first = np.flatnonzero(changes(doc, sub))
+    return pack_docs(doc[first], sub[first]) + planes(np.diff(np.append(first, len(doc)))) + planes(start)
 
 
-def unpack_hits(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    ids, at = unplanes(data, 0)
+def unpack_hits(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, subs, at = unpack_docs(data, 0)
     count, at = unplanes(data, at)
     start, _ = unplanes(data, at)
-    return np.repeat(np.cumsum(ids, dtype=np.uint64).astype(np.int64), count.astype(np.int64)), start.astype(np.int64)
+    count = count.astype(np.int64)
+    return np.repeat(ids, count), np.repeat(subs, count), start.astype(np.int64)
+
+
+def repeats(h: np.ndarray, doc: np.ndarray, sub: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of windows in any order: those that stand later than the first place of the same hash."""
+    by = np.argsort(h, kind="stable")
+    same = h[by][1:] == h[by][:-1]
+    by = by[np.r_[same, False] | np.r_[False, same]] if len(by) else by
+    if not len(by):
+        return by
+    by = by[np.lexsort((start[by], sub[by], doc[by], h[by]))]
+    new = changes(h[by])
+    lead = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return by[(doc[by] != doc[lead]) | (sub[by] != sub[lead]) | (start[by] != start[lead])]  # rows that repeat a document have the same place
 
 
 def _sender(width: int, buckets: int):
@@ -56,22 +91,18 @@ def _sender(width: int, buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("hits", pa.binary())])
 
     def flush(held: list) -> pa.RecordBatch:
-        ids = np.concatenate([x[0] for x in held])
-        count = np.concatenate([x[1] for x in held])
-        h = np.concatenate([x[2] for x in held])
-        order = np.argsort(ids, kind="stable")  # windows in the order of document and start
+        ids, subs, count, h = (np.concatenate([x[i] for x in held]) for i in range(4))
+        order = np.lexsort((subs, ids))  # windows in the order of document and start
         at = np.cumsum(count) - count
         take = np.repeat(at[order], count[order]) + np.arange(len(h)) - np.repeat(np.cumsum(count[order]) - count[order], count[order])
-        h, ids, count = h[take], ids[order], count[order]
-        doc = np.repeat(ids, count)
+        h, ids, subs, count = h[take], ids[order], subs[order], count[order]
         first_window = np.cumsum(count) - count
-        start = np.arange(len(h)) - np.repeat(first_window, count)
+        of = np.repeat(np.arange(len(ids)), count)
+        start = np.arange(len(h)) - first_window[of]
+        later = repeats(h, ids[of], subs[of], start)
         by = np.argsort(h, kind="stable")
-        new = np.r_[True, h[by][1:] != h[by][:-1]]
-        lead = by[np.flatnonzero(new)][np.cumsum(new) - 1]
-        later = by[(doc[by] != doc[lead]) | (start[by] != start[lead])]  # rows that repeat a document have the same place
-        keep = by[new]
-        docs = planes(np.diff(ids.astype(np.uint64), prepend=np.zeros(1, np.uint64))) + pack(first_window)
+        keep = by[changes(h[by])]
+        docs = pack_docs(ids, subs) + pack(first_window)
         at_bucket = np.searchsorted((h[keep] >> shift) if buckets > 1 else np.zeros(len(keep), np.uint64), np.arange(buckets + 1))
         rows: list[list] = [[], [], []]
         for b in range(buckets):
@@ -80,22 +111,23 @@ def _sender(width: int, buckets: int):
                 for column, x in zip(rows, (b, pack(h[own]) + planes(own) + docs, None), strict=True):
                     column.append(x)
         if len(later):
-            for column, x in zip(rows, (int(ids[0]) % buckets, None, pack_hits(doc[later], start[later])), strict=True):
+            for column, x in zip(rows, (int(ids[0]) % buckets, None, pack_hits(ids[of[later]], subs[of[later]], start[later])), strict=True):
                 column.append(x)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, schema.types, strict=True)], schema=schema)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            buf, offsets = tokens.utf8(batch.column(1))
+            buf, offsets = tokens.utf8(batch.column(2))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
+            subs = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             for lo, hi in tokens.blocks(offsets):
                 part = offsets[lo : hi + 1]
                 h, _, _, first = tokens.words(buf[part[0] : part[-1]], part - part[0], lower=False)
                 rows, doc, _ = tokens.window_rows(first, width)
                 count = np.bincount(doc, minlength=hi - lo)
                 some = count > 0
-                held.append((ids[lo:hi][some], count[some], tokens.rolling(h, width)[rows]))
+                held.append((ids[lo:hi][some], subs[lo:hi][some], count[some], tokens.rolling(h, width)[rows]))
                 size += len(rows)
                 if size >= CHUNK_WORDS:
                     yield flush(held)
@@ -110,37 +142,27 @@ def _judge(groups: int):
     """Rows of one partition, sorted by bucket: all places of a window but the first are repeats. They go on by document
     group, packed, so that a document's places do not become a row for every bucket."""
 
-    def judged(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        hs, docs, starts = [], [], []
+    def judged(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = []
         for data in held:
             steps, at = unplanes(data, 0)
             own, at = unplanes(data, at)
-            ids, at = unplanes(data, at)
+            ids, subs, at = unpack_docs(data, at)
             first, _ = unplanes(data, at)
             first, own = np.cumsum(first).astype(np.int64), own.astype(np.int64)
             of = np.searchsorted(first, own, "right") - 1
-            hs.append(np.cumsum(steps, dtype=np.uint64))
-            docs.append(np.cumsum(ids, dtype=np.uint64).astype(np.int64)[of])
-            starts.append(own - first[of])
-        h, doc, start = np.concatenate(hs), np.concatenate(docs), np.concatenate(starts)
-        by = np.argsort(h, kind="stable")
-        same = h[by][1:] == h[by][:-1]
-        by = by[np.r_[same, False] | np.r_[False, same]]
-        by = by[np.lexsort((start[by], doc[by], h[by]))]
-        if not len(by):
-            return doc[:0], start[:0]
-        new = np.r_[True, h[by][1:] != h[by][:-1]]
-        lead = by[np.flatnonzero(new)][np.cumsum(new) - 1]
-        later = by[(doc[by] != doc[lead]) | (start[by] != start[lead])]
-        return doc[later], start[later]
+            parts.append((np.cumsum(steps, dtype=np.uint64), ids[of], subs[of], own - first[of]))
+        h, doc, sub, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        later = repeats(h, doc, sub, start)
+        return doc[later], sub[later], start[later]
 
     def out(found: list) -> pa.RecordBatch:
-        doc, start = (np.concatenate([x[i] for x in found]) for i in (0, 1))
-        group = (tokens.mix(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+        doc, sub, start = (np.concatenate([x[i] for x in found]) for i in range(3))
+        group = (tokens.mix(doc.view(np.uint64) ^ sub) % np.uint64(groups)).astype(np.int32)
         by = np.argsort(group, kind="stable")
         cut = np.flatnonzero(np.diff(group[by])) + 1
         parts = np.split(by, cut) if len(by) else []
-        return pa.RecordBatch.from_arrays([pa.array([group[x[0]] for x in parts], pa.int32()), pa.array([pack_hits(doc[x], start[x]) for x in parts], pa.binary())], schema=_HITS)
+        return pa.RecordBatch.from_arrays([pa.array([group[x[0]] for x in parts], pa.int32()), pa.array([pack_hits(doc[x], sub[x], start[x]) for x in parts], pa.binary())], schema=_HITS)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, found, size = None, [], [], 0
@@ -172,11 +194,12 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, held = None, []
 
     def out() -> pa.RecordBatch:
-        doc, start = (np.concatenate(x) for x in zip(*map(unpack_hits, held), strict=True))
-        by = np.argsort(doc, kind="stable")
-        cut = np.flatnonzero(np.diff(doc[by])) + 1
-        parts = np.split(by, cut)
-        return pa.RecordBatch.from_arrays([pa.array([doc[x[0]] for x in parts], pa.int64()), pa.array([planes(start[x]) for x in parts], pa.binary())], names=["doc", "starts"])
+        doc, sub, start = (np.concatenate(x) for x in zip(*map(unpack_hits, held), strict=True))
+        by = np.lexsort((sub, doc))
+        doc, sub, start = doc[by], sub[by], start[by]
+        first = np.flatnonzero(changes(doc, sub))
+        parts = np.split(start, first[1:])
+        return pa.RecordBatch.from_arrays([pa.array(doc[first], pa.int64()), pa.array(sub[first].view(np.int64)), pa.array([planes(x) for x in parts], pa.binary())], names=["doc", "of", "starts"])
 
     for batch in batches:
         for group, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -207,20 +230,28 @@ def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
     Returns doc_id, n_words, n_removed, spans (array of [begin, end) words removed, maximal) and kept_text (the words
     that stay, joined by one space) for every input row. A null text is an empty one; a text of fewer than `width`
     words loses nothing; a null id sorts first. Rows that repeat an id and its text are one document and get the same
-    result. Columns other than the two named are not read.
+    result; rows of one id with different texts are different documents, in the order of their texts' hashes. Columns
+    other than the two named are not read.
 
     Each task hashes the windows of about 2 M words, keeps the first place of each hash and sends one packed row a hash
     range; so a window that stands in a third of all documents arrives once a chunk, not once a document.
     """
     docs = bounded(docs)
-    source = docs.select(id_key(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    size = source.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    source = docs.select(id_key(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("__text"))
+    # texts are told apart by their hash where an id has several; a null id may have any number
+    several = several_texts(source, "__id", "__hash")
+    told = F.col("__id") == NULL_ID
+    if several is not None:
+        source = source.join(several, "__id", "left")
+        told = told | F.col("__several").isNotNull()
+    source = source.select("__id", F.when(told, F.col("__hash")).otherwise(F.lit(0)).cast("long").alias("__sub"), "__text")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = 1 << max(4, (size // (6 << 20)).bit_length())
     parts = max(1, min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     sent = source.mapInArrow(_sender(width, buckets), _SENT)
     judged = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(buckets), "group int, hits binary")
-    hits = judged.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_gather, "doc long, starts binary")
-    joined = source.join(hits, F.col("__id") == F.col("doc"), "left").select("__id", "__text", "starts")
+    hits = judged.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_gather, "doc long, of long, starts binary")
+    joined = source.join(hits, (F.col("__id") == F.col("doc")) & (F.col("__sub") == F.col("of")), "left").select("__id", "__text", "starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -62,3 +62,27 @@ def test_spans_are_maximal(frame):
 
 def test_empty(empty):
     assert dedup_substrings(empty, 20).collect() == []
+
+
+def thue_morse(n, a="a", b="b"):
+    w, v = a, b
+    while len(w) < n:
+        w, v = w + v, v + w
+    return w, v
+
+
+def test_long_words_and_one_id_of_two_texts(frame):
+    one, two = thue_morse(2048)
+    filler = [f"f{i}" for i in range(19)]
+    rows = [(1, " ".join([one, *filler])), (2, " ".join([two, *filler])), (3, "z" * 100_000 + " " + " ".join(filler))]
+    assert [r[2] for r in result(frame(rows), 20)] == [0, 0, 0]
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    got = result(frame([(1, a), (2, a), (2, b), (None, b + " x"), (None, "y " + a)]).repartition(3), 20)
+    gone = {(i, kept.split(" ")[0] if kept else ""): n for i, _, n, kept in got}
+    # null ids come first, so their texts stay (as different documents) and all others go
+    assert gone == {(None, "b0"): 0, (None, "y"): 0, (1, ""): 30, (2, ""): 30} and len(got) == 5
+
+
+def test_unique_text_of_a_repeated_id_stays(frame):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    assert sorted(r[2] for r in result(frame([(1, a), (2, a), (2, b)]), 20)) == [0, 0, 30]

@@ -44,3 +44,15 @@ def test_sliced_arrays():
     buf, offsets = tokens.utf8(a)
     assert tokens.words(buf, offsets, True)[3].tolist() == [0, 2, 2, 2, 3]
     assert list(tokens.blocks(np.array([0, 10, 10, 500, 501]), 100)) == [(0, 2), (2, 3), (3, 4)]
+
+
+def test_no_structural_collisions():
+    a, b = "a", "b"
+    words = []
+    for _ in range(13):
+        a, b = a + b, b + a
+        words += [a, b]
+    words += ["a\0", "a", "\0a", "\0" * 7, "\0" * 8, "\0" * 9, "x" * 16, "x" * 17, "y" * 8 + "x" * 8, "x" * 8 + "y" * 8]
+    buf, offsets = tokens.utf8(pa.array(words))
+    h = tokens.words(buf, offsets, False)[0]
+    assert len(h) == len(words) and len(set(h.tolist())) == len(set(words))
