@@ -12,8 +12,8 @@ from lectern.llm.common import id_key, stage
 
 #: Items that one task combines.
 FAN_IN = 8000
-#: A group of equal texts heavier than this part of a shard is dealt out in pieces.
-PIECE = 0.25
+#: A group heavier than this part of a shard is placed before all others.
+HEAVY = 0.125
 
 
 def difference(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +60,10 @@ def difference(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Puts documents into shards of nearly equal bytes (UTF-8 bytes of the text plus 16); law `bytes`.
 
-    Documents of equal text stay together, but a group heavier than a quarter of a shard is dealt out by a hash of doc_id
-    in pieces of about that weight: undivided, it could not be balanced. Null and empty texts are one group. Returns
+    Documents of equal text stay together; only a group heavier than a whole shard, which no shard could hold, is dealt out
+    by a hash of doc_id in the fewest pieces that fit. Null and empty texts are one group. Groups heavier than an eighth of a
+    shard (at most 8 a shard) are differenced first; every piece of the others then starts from its share of their loads, so
+    that light groups fill up what heavy ones leave. Returns
     doc_id, size, text_crc32, law, shard, slot (gapless from 0 in each shard, by a hash range and then doc_id) and
     grown_shard (null under this law). No documents: no rows. Rows that repeat an id get a slot each; other columns are not read.
     """
@@ -71,24 +73,40 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
     base = stage(base, "sizes").withColumn("size", F.col("bytes") + 16)
     key = ["hash", "crc", "bytes"]
     total = base.agg(F.sum("size"), F.count("*")).first()
-    cap = max(1, int((total[0] or 0) / shards * PIECE))
-    heavy = base.groupBy(*key).agg(F.sum("size").alias("weight")).where(F.col("weight") > cap)
-    heavy = heavy.select(*key, F.ceil(F.col("weight") / cap).alias("pieces"))  # at most 4 for each shard
-    base = base.join(F.broadcast(heavy), key, "left").withColumn("piece", F.when(F.col("pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc", F.lit(7)), "pieces")).cast("int")).drop("pieces")
+    cap = max(1, -(-(total[0] or 0) // shards))
+    large = base.groupBy(*key).agg(F.sum("size").alias("weight")).where(F.col("weight") > cap)
+    large = large.select(*key, F.ceil(F.col("weight") / cap).alias("pieces"))  # fewer than shards
+    base = base.join(F.broadcast(large), key, "left").withColumn("piece", F.when(F.col("pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc", "bytes", F.lit(7)), "pieces")).cast("int")).drop("pieces")
     key.append("piece")
     groups = base.groupBy(*key).agg(F.sum("size").alias("weight"))
     groups = stage(groups.withColumn("item", F.xxhash64(*key)), "groups")
+    # at most shards / HEAVY groups and the pieces come to the driver
+    heavy = sorted(groups.where(F.col("weight") > cap * HEAVY).select("weight", "item", *key).collect(), key=lambda r: (-r["weight"], *r[1:]))
+    loads = np.zeros(shards, np.int64)
+    shard_of: list[int] = []
+    if heavy:
+        sums = np.zeros((len(heavy), shards), np.int64)
+        sums[:, 0] = [r["weight"] for r in heavy]
+        to, loads = difference(sums)
+        shard_of = to[:, 0].tolist()
+        groups = groups.where(F.col("weight") <= cap * HEAVY)
     level = -(-groups.count() // FAN_IN) or 1
+    light = max(1, (total[0] or 0) - int(loads.sum()))
 
     def first(pdf):
         pdf = pdf.sort_values(["weight", "item", *key], ascending=[False, True, True, True, True, True])
-        sums = np.zeros((len(pdf), shards), np.int64)
-        sums[:, 0] = pdf["weight"]
+        sums = np.zeros((len(pdf) + 1, shards), np.int64)
+        sums[0] = loads * (int(pdf["weight"].sum()) / light)  # this piece's share of the heavy groups' loads
+        sums[1:, 0] = pdf["weight"]
         to, _ = difference(sums)
-        return pdf.assign(local=to[:, 0].astype("int32"))
+        shard = np.empty(shards, np.int64)
+        shard[to[0]] = np.arange(shards)
+        return pdf.assign(local=(shard[to[1:, 0]] if loads.any() else to[1:, 0]).astype("int32"))
 
     groups = groups.withColumn("chunk", F.pmod("item", F.lit(level)).cast("long"))
     placed = stage(groups.repartition(max(1, min(n, level)), "chunk").groupBy("chunk").applyInPandas(first, groups.schema.simpleString()[7:-1].replace(":", " ") + ", local int"), "placed")
+    if heavy:
+        level = 1  # the columns of all pieces are the shards already
     column, at = "local", placed.groupBy("chunk", F.col("local").alias("column")).agg(F.sum("weight").alias("weight")).withColumn("below", F.col("chunk"))
     mapping = None
 
@@ -115,6 +133,9 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
         placed = placed.join(mapping.drop("top"), ["chunk", "local"]).select(*key, "shard")
     else:
         placed = placed.select(*key, F.col(column).alias("shard"))
+    if heavy:
+        own = [(*(r[k] for k in key), to) for r, to in zip(heavy, shard_of, strict=True)]
+        placed = placed.unionByName(docs.sparkSession.createDataFrame(own, placed.schema))
     # slots: rank within (shard, hash range of the id) plus the counts of the ranges before
     ranges = max(1, -(-(total[1] or 0) // (shards * 20000)))
     rows = stage(base.join(placed, key).select("doc", "size", "crc", "shard", F.pmod(F.xxhash64("doc", F.lit(11)), F.lit(ranges)).cast("int").alias("range")), "sharded")

@@ -62,3 +62,15 @@ def test_odd_rows(odd):
 
 def test_empty(empty):
     assert rows(empty) == []
+
+
+@pytest.mark.parametrize("share", [0.4, 0.9, 1.7])
+def test_heavy_groups_stay_whole_and_balance(frame, share):
+    light = [(i, f"{i} " + "y" * (i % 97)) for i in range(3000)]
+    rest = sum(len(t) + 16 for _, t in light)
+    many = int(share * rest / (10 - share) / 40)
+    got = rows(frame(light + [(10_000 + i, "h" * 24) for i in range(many)]), shards=10)
+    check(got, 10)
+    weight = [sum(r.size for r in got if r.shard == s) for s in range(10)]
+    assert max(weight) - min(weight) <= 0.02 * sum(weight) / 10
+    assert len({r.shard for r in got if r.doc_id >= 10_000}) == (1 if share < 1 else 2)
