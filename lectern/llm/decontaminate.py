@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm import tokens
-from lectern.llm.common import bounded
+from lectern.llm.common import bounded, whole_rows
 
 #: Characters (UTF-8 code units of the normalised text) in a gram; one gram is one 64-bit number.
 Q = 8
@@ -21,6 +22,8 @@ BLOCK_BYTES = 4 << 20
 #: A gram with more places in the passages of a block is left out where the bound stays useful without it.
 COMMON = 8
 _BITS = 22
+#: Places in passages that are looked at a time.
+SLICE = 1 << 20
 
 
 def normalise(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,14 +112,22 @@ class Index:
         if not len(hit):
             return
         many = self.many[k]
-        at_post = np.repeat(self.first[k], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        item, diagonal = self.item[at_post], np.repeat(hit, many) - self.pos[at_post]
-        # each band has two widths of edits + 1 diagonals, and overlaps the next by one
-        width = self.edits[item] + 1
-        band = np.floor_divide(diagonal, width) + 1  # -1 (before the first byte) upward
-        top = int(np.abs(band).max()) + 3
-        key = np.concatenate([item * (2 * top) + band + top, item * (2 * top) + band - 1 + top])
-        key, count = np.unique(key, return_counts=True)
+        ends = np.cumsum(many)
+        # each band has two widths of edits + 1 diagonals, and overlaps the next by one; the number of the first may be -1
+        top = len(norm) + max(map(len, self.items)) + 3
+        key, count, lo = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        while lo < len(hit):  # so many hits that their places in the passages stay under SLICE (or one hit)
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
+            own = many[lo:hi]
+            at_post = np.repeat(self.first[k[lo:hi]], own) + np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+            item, diagonal = self.item[at_post], np.repeat(hit[lo:hi], own) - self.pos[at_post]
+            band = np.floor_divide(diagonal, self.edits[item] + 1) + 1
+            new, many_new = np.unique(item * (2 * top) + band + top, return_counts=True)
+            key, of = np.unique(np.concatenate([key, new]), return_inverse=True)
+            count = np.bincount(of, np.concatenate([count, many_new]), len(key)).astype(np.int64)
+            lo = hi
+        key, of = np.unique(np.concatenate([key, key - 1]), return_inverse=True)
+        count = np.bincount(of, np.concatenate([count, count]), len(key)).astype(np.int64)
         item, band = key // (2 * top), key % (2 * top) - top - 1
         good = count >= self.least[item]
         item, band = item[good], band[good]
@@ -152,25 +163,31 @@ class Index:
                 yield d, self.ids[i], int(place[a + begin]), int(place[a + last]) + 1, edits
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator:
+    """Broadcast indexes of about BLOCK_BYTES of passages each."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-total // BLOCK_BYTES))
+    for part in range(parts):
+        block = sorted(map(tuple, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()), key=lambda x: (x[0] is None, x))
+        yield spark.sparkContext.broadcast(Index([i for i, _ in block], [t for _, t in block]))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Finds the places in documents that match a benchmark passage up to 8 % edits (case and white space apart).
 
     Returns doc_id, item_id, begin, end (code points of the text), edits, one row for each verified region. Passages of
-    fewer than 8 characters can't be told from chance and are not searched; null texts match nothing; an empty benchmark
+    fewer than 8 bytes can't be told from chance and are not searched; of 8 to 15 bytes they are searched as they are, since
+    an edit can spoil all of their grams; null texts match nothing; an empty benchmark
     gives no rows. Rows that repeat an id are searched each. Passages are broadcast in blocks of about 4 MB, each held
     against all documents, whose texts are never shuffled. Other columns are not read.
     """
     docs = bounded(docs)
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // BLOCK_BYTES))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     schema = "doc_id long, item_id long, begin long, end long, edits int"
     out = None
-    for part in range(parts):
-        block = sorted(map(tuple, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()), key=lambda x: (x[0] is None, x))
-        shared = spark.sparkContext.broadcast(Index([i for i, _ in block], [t for _, t in block]))
+    for shared in _blocks(benchmark, item_col, item_text):
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -191,3 +208,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         found = source.mapInArrow(search, schema)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all of their columns, whose text holds no passage in the sense of find_leaks.
+
+    Each row is judged where it lies: no id is joined, so rows that repeat an id or have none are judged each by its own text.
+    Null texts stay.
+    """
+    docs = bounded(docs)
+    names = docs.columns
+    for shared in _blocks(benchmark, item_col, item_text):
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in batches:
+                buf, offsets = tokens.utf8(batch.column(0))
+                good = np.ones(batch.num_rows, bool)
+                for lo, hi in tokens.blocks(offsets):
+                    part = offsets[lo : hi + 1]
+                    for d, *_ in index.search(buf[part[0] : part[-1]], part - part[0]):
+                        good[lo + d] = False
+                yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(good))], names=["row"])
+
+        source = docs.select(F.col(text_col).alias("text"), *whole_rows(docs, True))
+        docs = source.mapInArrow(clean, T.StructType([source.schema["row"]])).select("row.*")
+    return docs.toDF(*names)
