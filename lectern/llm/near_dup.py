@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import tokens
-from lectern.llm.common import bounded, components, id_key, small, stage
+from lectern.llm.common import bounded, components, id_key, small, stage, unstage
 
 U = np.uint64
 #: 40 bands of 5 rows: a pair at 0.8 shares none with probability 1.3e-7.
@@ -162,8 +162,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
     of the smallest set hash stands for all of them (each keeps its own n_shingles). A null id is an id of its own and comes back as null. Other columns are not read.
 
     Equal sets count as one class. Candidates share one of 40 bands; each is first held against the smallest id of its
-    bucket (so a bucket of n sends n pairs). Buckets whose members then still lie in several components are put together
-    into clusters, and blocks of a cluster are compared in full but for pairs that are connected already.
+    bucket (so a bucket of n sends n pairs). Buckets whose members then still lie in several components form clusters. A
+    cluster of at most BLOCK documents is compared in one task; in a larger one only members of the same bucket are compared,
+    block by block, so that a long chain of buckets costs no more than its buckets do. Pairs that are connected already are
+    passed over.
     """
     docs = bounded(docs)
     source = docs.select(id_key(id_col).alias("doc"), F.col(text_col).alias("text"))
@@ -173,8 +175,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
     classes = stage(ids.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = signed.join(classes.select(F.col("rep").alias("doc"), "s1", "s2", "n"), ["doc", "s1", "s2", "n"], "left_semi")
     members = reps.select("doc", F.posexplode("bands").alias("band", "key"))
-    heads = members.groupBy("band", "key").agg(F.min("doc").alias("head"), F.count("*").alias("many")).where("many > 1")
-    members = stage(members.join(heads, ["band", "key"]), "members")
+    # the heads are written, so the join stands alone and a bucket of any size can be split
+    heads = stage(members.groupBy("band", "key").agg(F.min("doc").alias("head"), F.count("*").alias("many")).where("many > 1"), "heads")
+    members = stage(members.join(small(heads, 40), ["band", "key"]), "members")
     stars = stage(members.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct(), "stars")
     chosen = small(stage(members.select("doc").distinct(), "candidates"), 16)
     marks = signed.join(chosen, "doc", "left_semi").join(classes.select(F.col("rep").alias("doc"), "s1", "s2", "n"), ["doc", "s1", "s2", "n"], "left_semi").select("doc", "s1", "s2", "sig")
@@ -193,19 +196,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
 
     labelled = members.where("many > 2").join(roots.withColumnRenamed("id", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     labelled = stage(labelled.select("band", "key", "doc", "root"), "labelled")
-    open_ = labelled.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").drop("high")
-    ours = stage(labelled.join(open_, ["band", "key"]).select("doc", "root", "low").distinct(), "open")
+    open_ = stage(labelled.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).where("low <> high").drop("high"), "open")
+    ours = stage(labelled.join(small(open_, 40), ["band", "key"]), "ours")
+    spare = [heads, members, stars, links, labelled, open_, ours, wide]
     if not ours.isEmpty():
-        cluster = stage(components(ours.select(F.col("root").alias("a"), F.col("low").alias("b"))), "clusters").select(F.col("id").alias("root"), F.col("root").alias("cluster"))
+        cluster = stage(components(ours.select(F.col("root").alias("a"), F.col("low").alias("b")).distinct()), "clusters").select(F.col("id").alias("root"), F.col("root").alias("cluster"))
         cast = stage(ours.select("doc", "root").distinct().join(cluster, "root"), "cast")
-        sizes = cast.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-        cast = cast.join(sizes, "cluster").withColumn("side", F.pmod(F.xxhash64("doc"), "parts").cast("int"))
-        cast = cast.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        cast = cast.withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other"))
+        large = stage(cast.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("cluster"), "large")
+        none = F.lit(0)
+        whole = cast.join(small(large, 16), "cluster", "left_anti").select("cluster", none.alias("band"), none.cast("long").alias("key"), none.alias("x"), none.alias("y"), none.alias("side"), "doc", "root")
+        # members of one bucket, in blocks by a hash; each block meets every block of its bucket
+        parts = F.ceil(F.col("many") / BLOCK).cast("int")
+        local = ours.join(cluster, "root").join(small(large, 16), "cluster", "left_semi").withColumn("side", F.pmod(F.xxhash64("doc"), parts).cast("int"))
+        local = local.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        local = local.select("cluster", "band", "key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "doc", "root")
         n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        found = cast.join(wide, "doc").select("cluster", "x", "y", "side", "doc", "root", "sig", "items").repartition(n, "cluster", "x", "y").groupBy("cluster", "x", "y").applyInPandas(_block_links(num, den), "a long, b long")
+        group = ["cluster", "band", "key", "x", "y"]
+        found = whole.unionByName(local).join(wide, "doc").select(*group, "side", "doc", "root", "sig", "items").repartition(n, *group).groupBy(*group).applyInPandas(_block_links(num, den), "a long, b long")
         more = stage(links.unionByName(found), "links")
-        roots = stage(components(more), "roots")
+        old, roots = roots, stage(components(more), "roots")
+        spare += [old, cast, large, more]
+    unstage(*spare)
     # classes of one document need no join back
     kin = ids.where("n > 0").join(classes.where("copies > 1").drop("copies"), ["s1", "s2", "n"], "left").select("doc", F.coalesce("rep", "doc").alias("rep"))
     every = plain.select("doc", "n").join(kin, "doc", "left").withColumn("rep", F.coalesce("rep", "doc"))

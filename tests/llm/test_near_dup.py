@@ -96,3 +96,10 @@ def test_components(spark):
         p, q = sorted((find(a), find(b)))
         root[q] = p
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_long_words_are_told_apart(frame):
+    one, two = "a", "b"
+    for _ in range(11):
+        one, two = one + two, two + one
+    assert {r.doc_id: r.component_id for r in near_duplicates(frame([(1, one), (2, two), (3, one)]), 2).collect()} == {1: 1, 2: 2, 3: 1}
