@@ -32,3 +32,22 @@ def test_odd_rows(spark, sf_dir, odd, empty):
     for df in (odd, empty):
         for _, step in corpus_pipeline.STAGES[:4]:
             assert step(spark, df, sf_dir).columns == df.columns
+
+
+def test_repeated_rows_and_null_ids(spark, sf_dir, frame):
+    t, u = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
+    docs = frame([(1, t), (1, t), (2, t), (None, t + " x"), (None, u), (None, u), (3, "a b c"), (3, "d e f"), (4, None)])
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()]
+    assert sorted(got, key=repr) == sorted([(1, t), (None, u), (3, "a b c"), (3, "d e f"), (4, None)], key=repr)
+    passage = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    docs = frame([(None, u), (None, "so " + passage + " it is"), (1, u), (1, passage), (2, None)])
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, docs, sf_dir).collect()]
+    assert sorted(got, key=repr) == sorted([(None, u), (1, u), (2, None)], key=repr)
+
+
+def test_session_keeps_its_batches(spark, sf_dir, frame):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for _, step in corpus_pipeline.STAGES:
+        step(spark, frame([(1, "one two three")]), sf_dir).collect()
+    assert spark.conf.get(key) == before
