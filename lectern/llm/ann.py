@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import stage
 
-#: Queries whose vectors and probes are broadcast at a time.
-QUERY_BLOCK = 2048
+#: Queries in a block, about; blocks that are broadcast for one scan of the index (some 40 MB of probes each).
+QUERY_BLOCK, SCAN_BLOCKS = 1600, 2
+#: Rows that are searched at a time.
+ROWS = 4096
 
 
 @dataclass(frozen=True)
 class Params:
-    tables: int = 24
-    hashes: int = 8
-    width: float = 1.5
-    probes: int = 150
+    tables: int = 32
+    hashes: int = 12
+    width: float = 2.0
+    probes: int = 200
     seed: int = 3
 
 
@@ -33,12 +35,12 @@ def projections(dim: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _codes(cells: np.ndarray, p: Params) -> np.ndarray:
-    """One 64-bit code a table for (..., tables, hashes) cell numbers."""
+    """One 32-bit code a table for (..., tables, hashes) cell numbers; cells that share one by chance only add candidates."""
     h = np.zeros(cells.shape[:-1], np.uint64)
     for i in range(p.hashes):
         h = (h ^ cells[..., i].astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return h
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
 def codes(unit: np.ndarray, p: Params) -> np.ndarray:
@@ -94,23 +96,52 @@ def reached(query_probes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return hit
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, which brings the largest component near 1: no digit changes, no square overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision and one fixed order of summing."""
-    q, x = q.astype(np.float64), x.astype(np.float64)
+    """Row by row, in double precision and one fixed order of summing, of scaled vectors."""
     return np.clip((q * x).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1))), -1, 1)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def rerank(block: tuple, x: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine) of each query's candidates among the rows that can be of its k + 1 best; only rows in a bucket that
+    the query probes are scored (all rows, for a block without probes)."""
+    _, q, unit, probes = block
+    y = _unit(x)
+    hit = None if probes is None else reached(probes, codes)
+    at, of = [], []
+    for i in range(len(q)):
+        rows = np.arange(len(x)) if hit is None else np.flatnonzero(hit[i])
+        if len(rows) > k + 1:
+            near = y[rows] @ unit[i]
+            # all within rounding of the last of the best
+            rows = rows[near >= np.partition(near, len(near) - k - 1)[-k - 1] - 1e-12]
+        at.append(np.full(len(rows), i))
+        of.append(rows)
+    at, of = np.concatenate(at), np.concatenate(of)
+    return at, of, cosines(q[at], x[of])
+
+
 def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, params: Params = Params(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:  # noqa: B008
     """For each query row its k nearest found rows other than itself by largest cosine.
 
     Returns query_id, rank (from 1), vec_id, score; nearest first, ties to the smaller vec_id. queries: rows of the same
     table, by default those whose id divides by 50. Vectors that are null, empty, zero, or hold null or non-finite
-    components take no part, neither do rows of a null id. All vectors must have the length of the first query's; others
-    take no part. Rows that repeat an id count once per different vector. Fewer candidates: fewer rows. Other columns are not read.
+    components take no part, neither do rows of a null id. A vector is compared with those of its own length. Rows that
+    repeat an id count once per different vector. Other columns are not read.
 
     Equal vectors are one class, of which the k + 1 smallest ids are kept (more can't be reported), so a vector that a
-    third of all rows share is searched once. Every class is hashed into all tables; each task finds the classes of its
-    rows that a block of at most 2048 queries probes, and returns each query's best of them.
+    third of all rows share is searched once. Every class is hashed into all tables. Each task joins the buckets of its rows
+    to the buckets that the queries probe, merges the candidates of all tables, scores these only and returns each query's
+    best of them; a scan of the index serves several thousand queries. A query that all probes together bring fewer than k
+    rows is held against all rows, so fewer than k come back only where there are no more.
     """
     spark = vectors.sparkSession
     c = F.col(vec_col).cast("array<double>")
@@ -121,66 +152,69 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, pa
     first = Window.partitionBy("v").orderBy("id")
     classes = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
+    def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places and scaled vectors of each length."""
+        lens = column.value_lengths().to_numpy(zero_copy_only=False)
+        for dim in np.unique(lens):
+            own = np.flatnonzero(lens == dim)
+            yield own, scaled(column.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), dim))
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), dtype=object)
-            for dim in sorted({len(v) for v in x}):
-                own = [i for i, v in enumerate(x) if len(v) == dim]
-                m = np.array([x[i] for i in own], np.float64)
-                m /= np.abs(m).max(axis=1)[:, None]
-                code = codes(m / np.linalg.norm(m, axis=1)[:, None], params)
+            for own, x in by_length(batch.column(0)):
                 part = batch.take(pa.array(own))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in code], pa.binary())], names=["v", "ids", "codes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes(_unit(x), params)], pa.binary())], names=["v", "ids", "codes"])
 
     indexed = stage(classes.mapInArrow(index, "v array<double>, ids array<long>, codes binary"), "index")
     # query classes, numbered in blocks; every query id keeps its own class's number
-    groups = stage(asked.groupBy("v").agg(F.min("id").alias("qid"), F.count("*").alias("many")), "queries")
-    n = groups.count()
-    parts = max(1, math.ceil(n / (QUERY_BLOCK * 0.8)))
-    found = None
-    for part in range(parts):
-        block = groups.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).select("qid", "v").collect()  # about 1600 rows
-        by_dim: dict[int, list] = {}
-        for r in block:
-            by_dim.setdefault(len(r.v), []).append(r)
-        for dim, own in by_dim.items():
-            q = np.array([r.v for r in own], np.float64)
-            unit = q / np.abs(q).max(axis=1)[:, None]
-            unit /= np.linalg.norm(unit, axis=1)[:, None]
-            shared = spark.sparkContext.broadcast((np.array([r.qid for r in own]), q, unit, probe_codes(unit, params)))
-
-            def search(batches: Iterator[pa.RecordBatch], shared=shared, dim=dim) -> Iterator[pa.RecordBatch]:
-                ids, q, unit, probes = shared.value
+    groups = stage(asked.groupBy("v").agg(F.min("id").alias("qid")), "queries")
+
+    def search(wanted: DataFrame, probing: bool) -> DataFrame:
+        """The lists of the k + 1 best found rows of each wanted query class."""
+        parts = max(1, math.ceil(wanted.count() / QUERY_BLOCK))
+        found, sent = None, []
+        for lo in range(0, parts, SCAN_BLOCKS):
+            blocks: dict[int, list] = {}
+            for part in range(lo, min(lo + SCAN_BLOCKS, parts)):
+                by_dim: dict[int, list] = {}
+                for r in wanted.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).select("qid", "v").collect():  # about QUERY_BLOCK rows
+                    by_dim.setdefault(len(r.v), []).append(r)
+                for dim, own in by_dim.items():
+                    q = scaled(np.array([r.v for r in own], np.float64))
+                    sent.append(spark.sparkContext.broadcast((np.array([r.qid for r in own]), q, _unit(q), probe_codes(_unit(q), params) if probing else None)))
+                    blocks.setdefault(dim, []).append(sent[-1])
+
+            def task(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    pick = [i for i, v in enumerate(batch.column(0)) if len(v) == dim]
-                    for lo in range(0, len(pick), 2000):
-                        own = pick[lo : lo + 2000]
-                        sub = batch.take(pa.array(own))
-                        x = np.array(sub.column(0).to_pylist(), np.float64)
-                        y = x / np.abs(x).max(axis=1)[:, None]
-                        near = unit @ (y / np.linalg.norm(y, axis=1)[:, None]).T
-                        near[~reached(probes, np.frombuffer(b"".join(sub.column(2).to_pylist()), np.uint64).reshape(len(own), -1))] = -9
-                        top = min(k + 1, len(own))
-                        # all within rounding of the last of the best
-                        least = -np.partition(-near, top - 1, axis=1)[:, top - 1]
-                        at, of = np.nonzero((near >= least[:, None] - 1e-12) & (near > -9))
-                        smallest = np.array([v[0].as_py() for v in sub.column(1)])
-                        score = cosines(q[at], x[of])
-                        order = np.lexsort((smallest[of], -score, at))
-                        at, of, score = at[order], of[order], score[order]
-                        within = np.arange(len(at)) - np.searchsorted(at, at)
-                        at, of, score = at[within <= k], of[within <= k], score[within <= k]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(score, pa.float64()), sub.column(1).take(pa.array(of))], names=["qid", "score", "ids"])
-
-            hits = indexed.mapInArrow(search, "qid long, score double, ids array<long>")
+                    for own, x in by_length(batch.column(0)):
+                        for at in range(0, len(own) if x.shape[1] in blocks else 0, ROWS):
+                            sub = batch.take(pa.array(own[at : at + ROWS]))
+                            code = np.frombuffer(b"".join(sub.column(2).to_pylist()), np.uint32).reshape(sub.num_rows, -1)
+                            smallest = sub.column(1).flatten().to_numpy()[np.r_[0, np.cumsum(sub.column(1).value_lengths().to_numpy())[:-1]]]
+                            for shared in blocks[x.shape[1]]:
+                                block = shared.value
+                                q, of, score = rerank(block, x[at : at + ROWS], code, k)
+                                order = np.lexsort((smallest[of], -score, q))
+                                q, of, score = q[order], of[order], score[order]
+                                best = np.arange(len(q)) - np.searchsorted(q, q) <= k
+                                q, of, score = q[best], of[best], score[best]
+                                yield pa.RecordBatch.from_arrays([pa.array(block[0][q], pa.int64()), pa.array(score, pa.float64()), sub.column(1).take(pa.array(of, pa.int64()))], names=["qid", "score", "ids"])
+
+            hits = indexed.mapInArrow(task, "qid long, score double, ids array<long>")
             found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = spark.createDataFrame([], "qid long, score double, ids array<long>")
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("ids")[0])
-    top = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("qid", "score", F.explode("ids").alias("vec_id"))
-    ranked = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    top = top.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1).drop("n")
-    lists = stage(top.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))).alias("list")), "lists")
+        best = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("ids")[0])
+        top = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("qid", "score", F.explode("ids").alias("vec_id"))
+        ranked = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
+        top = top.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1).drop("n")
+        lists = stage(top.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))).alias("list")), "lists")
+        for shared in sent:
+            shared.destroy()
+        return lists
+
+    lists = search(groups, True)
+    few = stage(groups.join(lists.where(F.size("list") > k).select("qid"), "qid", "left_anti"), "few")
+    if not few.isEmpty():
+        lists = lists.join(few.select("qid"), "qid", "left_anti").unionByName(search(few, False))
     every = asked.join(groups.select("v", "qid"), "v").select(F.col("id").alias("query_id"), "qid").join(lists, "qid")
     own = F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return every.select("query_id", F.posexplode(own).alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.less")).alias("score"))

@@ -60,3 +60,35 @@ def test_probe_order():
     unit = np.eye(4)[:1]
     p = ann.Params(tables=3, hashes=4, probes=10)
     assert (ann.probe_codes(unit, p)[:, :, 0] == ann.codes(unit, p)).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 6, 7])
+def test_all_candidates_if_fewer(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 6))
+    x[-1] = -x[0] if n > 1 else x[0]  # as far as can be
+    df = spark.createDataFrame([(i * 50, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute([i * 50 for i in range(n)], x, [i * 50 for i in range(n)]) if n > 1 else {}
+    assert {q: [v for v, _ in r] for q, r in search(df).items()} == {q: [v for v, _ in r] for q, r in want.items()}
+
+
+def test_extreme_components_and_lengths(spark):
+    rows = [(0, [1e200, 0.0, 0.0]), (1, [1e200, 1e200, 0.0]), (2, [1e-200, 0.0, 1e-200]), (3, [-1e-310, 0.0, 0.0]), (4, [5.0]), (50, [3.0])]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert [v for v, _ in got[0]] == [1, 2, 3] and [s for _, s in got[0]] == pytest.approx([0.5**0.5, 0.5**0.5, -1])
+    assert got[50] == [(4, 1.0)]
+
+
+def test_only_probed_rows_are_scored():
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 32))
+    x = ann.scaled(np.repeat(centres, 50, axis=0) + 0.15 * rng.standard_normal((2000, 32)))
+    p = ann.Params(probes=20)
+    code, unit = ann.codes(ann._unit(x), p), ann._unit(x[:40])
+    probes = ann.probe_codes(unit, p)
+    hit = ann.reached(probes, code)
+    assert hit.mean() < 0.5  # of rows that cluster, most are never scored
+    at, of, _ = ann.rerank((np.arange(40), x[:40], unit, probes), x, code, 5)
+    assert hit[at, of].all()
+    best = np.argsort(-(unit @ ann._unit(x).T), axis=1)[:, :6]
+    assert np.mean([np.isin(best[i], of[at == i]).mean() for i in range(40)]) > 0.95

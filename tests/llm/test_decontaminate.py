@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.llm import decontaminate as dc
+from lectern.llm import tokens
 
 ITEM = "The quick brown fox jumps over the lazy dog while seventeen grumpy wizards quietly brew a potent elixir of youth."
 
@@ -72,3 +74,15 @@ def test_lemma_bound_holds():
 def test_odd_rows(odd, empty, bench):
     assert dc.find_leaks(odd, bench).collect() == [] and dc.find_leaks(empty, bench).collect() == []
     assert dc.find_leaks(odd, bench.limit(0)).collect() == []
+
+
+def test_repetitive_text_takes_bounded_memory():
+    import tracemalloc
+
+    index = dc.Index([1], [("abcdefgh ijk " * 80)[:900]])
+    buf, offsets = tokens.utf8(pa.array([("abcdefgh ijk " * 20_000)[: 240 << 10]]))
+    tracemalloc.start()
+    found = list(index.search(buf, offsets))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and most < 150e6
