@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import tokens
-from lectern.llm.common import bounded, stage
+from lectern.llm.common import bounded, stage, unstage
 
 #: Words predicted as themselves; all others, the last class, are spelled byte by byte. As context, and in training, they
 #: fall into RARE ids by their hash. Together CLASSES * WITHIN.
@@ -19,12 +19,16 @@ CLASSES, WITHIN, RARE = 64, 64, 64
 VOCAB = CLASSES * WITHIN
 WINDOW, DIM, HIDDEN = 2, 16, 32
 #: Rounds of local training and averaging; over all of them, every word of every document is a training target once.
-ROUNDS, BATCH, RATE = 2, 2048, 0.08
+ROUNDS, BATCH, RATE = 2, 2048, 0.16
+#: Targets of a batch at most, and words that are scored at a time.
+MOST, STEP = 4096, 8192
+#: Targets that are gathered and mixed before they are trained on.
+GROUP = 16 * BATCH
 #: Models that one task averages.
 FAN_IN = 32
 #: Contexts of a byte of a rare word (the two bytes before it, hashed), and the symbol that ends a word.
 PLACES, END = 4096, 0x20
-PLACE = (tokens.mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(PLACES)).astype(np.int64)
+PLACE = (tokens.mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(PLACES)).astype(np.int32)
 SLICES = 8
 
 
@@ -68,9 +72,26 @@ def contexts(ids: np.ndarray, first: np.ndarray, at: np.ndarray, doc: np.ndarray
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _lower(x: np.ndarray) -> np.ndarray:
+    """Takes a maximum off x, in place: that of all where no row can underflow by it, else each row's."""
+    if x.size:
+        top = x.max()
+        x -= top if top - x.min() < 80 else x.max(axis=1, keepdims=True)
+    return x
+
+
+def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log softmax of column at[i] of each row i; x is overwritten."""
+    own = _lower(x)[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    return own - np.log(x @ np.ones(x.shape[1], x.dtype))
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.exp(_lower(x), out=x)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+    return x
 
 
 def log_probs(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray, spelled: np.ndarray | None = None) -> np.ndarray:
@@ -79,22 +100,27 @@ def log_probs(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray, spel
     table = [p["embed"] @ p["mixer"][c * DIM : (c + 1) * DIM] for c in range(2 * WINDOW)]
     out = np.empty(len(ids))
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    for lo in range(0, len(ids), 65536):
-        at = np.arange(lo, min(lo + 65536, len(ids)))
+    for lo in range(0, len(ids), STEP):
+        at = np.arange(lo, min(lo + STEP, len(ids)))
         ctx = contexts(ids, first, at, doc[at])
-        h = np.tanh(sum(table[c][ctx[:, c]] for c in range(2 * WINDOW)) + p["bias"])
+        h = table[0][ctx[:, 0]]
+        for c in range(1, 2 * WINDOW):
+            h += table[c][ctx[:, c]]
+        h += p["bias"]
+        np.tanh(h, out=h)
         y = ids[at]
         k = y // WITHIN
-        out[at] = _log_softmax(h @ p["class_w"] + p["class_b"])[np.arange(len(at)), k]
-        by = np.argsort(k, kind="stable")
+        got = _picked(h @ p["class_w"] + p["class_b"], k).astype(np.float64)
+        by = np.argsort(k.astype(np.int16), kind="stable")
         cut = np.searchsorted(k[by], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             rows = by[cut[c] : cut[c + 1]]
             if len(rows) and c == CLASSES - 1 and spelled is not None:
-                out[at[rows]] += spelled[at[rows]]
+                got[rows] += spelled[at[rows]]
             elif len(rows):
                 own = slice(c * WITHIN, (c + 1) * WITHIN)
-                out[at[rows]] += _log_softmax(h[rows] @ p["word_w"][own].T + p["word_b"][own])[np.arange(len(rows)), y[rows] - c * WITHIN]
+                got[rows] += _picked(h[rows] @ p["word_w"][own].T + p["word_b"][own], y[rows] - c * WITHIN)
+        out[at] = got
     return out
 
 
@@ -106,49 +132,52 @@ class Trainer:
         self.sq = {k: np.full(v.shape, 1e-4, np.float32) for k, v in self.p.items()}
         self.seen = 0
 
-    def _step(self, k: str, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
-        if rows is None:
-            self.sq[k] += grad * grad
-            self.p[k] -= RATE * grad / np.sqrt(self.sq[k])
-        else:
-            self.sq[k][rows] += grad * grad
-            self.p[k][rows] -= RATE * grad / np.sqrt(self.sq[k][rows])
+    def _step(self, k: str, grad: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+        sq = self.sq[k][rows] + grad * grad
+        self.sq[k][rows] = sq
+        self.p[k][rows] -= RATE * grad / np.sqrt(sq)
 
     def batch(self, ctx: np.ndarray, y: np.ndarray) -> None:
         p, n = self.p, len(y)
         x = p["embed"][ctx].reshape(n, -1)
         h = np.tanh(x @ p["mixer"] + p["bias"])
         k = y // WITHIN
-        d_class = np.exp(_log_softmax(h @ p["class_w"] + p["class_b"]))
+        d_class = _softmax(h @ p["class_w"] + p["class_b"])
         d_class[np.arange(n), k] -= 1
         d_class /= n
         d_h = d_class @ p["class_w"].T
-        by = np.argsort(k, kind="stable")
+        by = np.argsort(k.astype(np.int16), kind="stable")
         cut = np.searchsorted(k[by], np.arange(CLASSES + 1))
         words = []
-        for c in np.unique(k):
+        for c in np.flatnonzero(np.diff(cut[:CLASSES])):  # words of the last class are spelled, not told apart by it
             rows = by[cut[c] : cut[c + 1]]
-            own = np.arange(c * WITHIN, (c + 1) * WITHIN)
-            d = np.exp(_log_softmax(h[rows] @ p["word_w"][own].T + p["word_b"][own]))
+            own = slice(c * WITHIN, (c + 1) * WITHIN)
+            mine = h[rows]
+            d = _softmax(mine @ p["word_w"][own].T + p["word_b"][own])
             d[np.arange(len(rows)), y[rows] - c * WITHIN] -= 1
             d /= n
             d_h[rows] += d @ p["word_w"][own]
-            words.append((own, d.T @ h[rows], d.sum(axis=0)))
+            words.append((own, d.T @ mine, d.sum(axis=0)))
         d_z = d_h * (1 - h * h)
         d_x = (d_z @ p["mixer"].T).reshape(-1, DIM)
-        rows, of = np.unique(ctx, return_inverse=True)
-        of = of.ravel()
-        d_embed = np.stack([np.bincount(of, d_x[:, j], len(rows)) for j in range(DIM)], 1).astype(np.float32)
+        flat = ctx.ravel().astype(np.int16)  # sorted by radix
+        by = np.argsort(flat, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(flat[by]) != 0])
+        d_embed = np.add.reduceat(d_x[by], cut, axis=0)
         self._step("class_w", h.T @ d_class)
         self._step("class_b", d_class.sum(axis=0))
         self._step("mixer", x.T @ d_z)
         self._step("bias", d_z.sum(axis=0))
-        self._step("embed", d_embed, rows)
+        self._step("embed", d_embed, flat[by[cut]].astype(np.int64))
         for own, w, b in words:
             self._step("word_w", w, own)
             self._step("word_b", b, own)
         self.seen += n
 
+    def size(self) -> int:
+        """Targets of the next batch: few at first, more as the model settles."""
+        return int(min(MOST, max(BATCH, self.seen // 16 // BATCH * BATCH)))
+
 
 def _ids(known: np.ndarray, rank: np.ndarray, h: np.ndarray) -> np.ndarray:
     if not len(known):
@@ -172,21 +201,32 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.nd
 
 
 def _letters(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (context and byte) of all bytes of buf, those of words in their words; and of the end of each word."""
-    b = buf.astype(np.int64)
-    one, two = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+    """Keys (context and byte) of the bytes of each word and of its end, and where each word's begin."""
+    lens = ends - starts + 1
+    at = np.cumsum(lens) - lens
+    place = np.arange(int(lens.sum())) + np.repeat(starts - at, lens)
+    b = buf[np.minimum(place, len(buf) - 1)].astype(np.int32)
+    b[at + lens - 1] = END
+    one, two = np.zeros(len(b), np.int32), np.zeros(len(b), np.int32)
     one[1:], two[2:] = b[:-1], b[:-2]
-    one[starts] = two[starts] = 0
-    two[starts[ends - starts > 1] + 1] = 0
-    last = np.where(ends - starts > 1, b[np.maximum(ends - 2, 0)], 0) if len(starts) else starts
-    return PLACE[two * 256 + one] * 256 + b, PLACE[last * 256 + b[ends - 1]] * 256 + END
+    one[at] = two[at] = two[at + 1] = 0
+    return PLACE[two * 256 + one] * 256 + b, at
+
+
+def spellings(table: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """ln p of each word's bytes and of its end, by a table of PLACES * 256 logarithms; equal words (hashes h) are worked out once."""
+    if not len(starts):
+        return np.zeros(0)
+    _, some, of = np.unique(h, return_index=True, return_inverse=True)
+    keys, at = _letters(buf, starts[some], ends[some])
+    return np.add.reduceat(table[keys], at, dtype=np.float64)[of]
 
 
-def spellings(table: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """ln p of each word's bytes and of its end, by a table of PLACES * 256 logarithms."""
-    inner, end = _letters(buf, starts, ends)
-    total = np.r_[0.0, np.cumsum(table[inner], dtype=np.float64)]
-    return total[ends] - total[starts] + table[end]
+def _spelled(table: np.ndarray, ids: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """spellings() of the words outside the vocabulary, 0 for the others."""
+    out, rare = np.zeros(len(ids)), np.flatnonzero(ids >= VOCAB - RARE)
+    out[rare] = spellings(table, buf, starts[rare], ends[rare], h[rare])
+    return out
 
 
 def letter_table(counts: np.ndarray) -> np.ndarray:
@@ -196,27 +236,12 @@ def letter_table(counts: np.ndarray) -> np.ndarray:
     return np.log((n + every) / (n.sum(axis=1, keepdims=True) + 1.0)).astype(np.float32).ravel()
 
 
-def _count_letters(batches: Iterator[pa.RecordBatch], known: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(PLACES * 256, np.int64)
-    for batch in batches:
-        for _, _, h, _, buf, starts, ends in _words(batch, 0):
-            rare = _ids(known, rank, h) >= VOCAB - RARE
-            inner, end = _letters(buf, starts, ends)
-            edge = np.zeros(len(buf) + 1, np.int32)
-            np.add.at(edge, starts[rare], 1)
-            np.add.at(edge, ends[rare], -1)
-            counts += np.bincount(np.r_[inner[np.cumsum(edge)[:-1] > 0], end[rare]], minlength=len(counts))
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], names=["key", "n"])
-
-
-def spell(texts: DataFrame, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The letter table of all rare words of all texts; at most PLACES * 256 counts come to the driver, as Arrow."""
-    shared = texts.sparkSession.sparkContext.broadcast((known, rank))
-    counted = texts.mapInArrow(lambda batches: _count_letters(batches, *shared.value), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(PLACES * 256)
-    counts[counted["key"].to_numpy()] = counted["n"].to_numpy()
-    return letter_table(counts)
+def _count_letters(counts: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> None:
+    """Adds the keys of all of these words."""
+    if len(h):
+        _, some, many = np.unique(h, return_index=True, return_counts=True)
+        keys, at = _letters(buf, starts[some], ends[some])
+        counts += np.bincount(keys, np.repeat(many, np.diff(np.append(at, len(keys)))), len(counts))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,57 +300,75 @@ def _average(rows: DataFrame, tasks: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["model"], np.float32) for r in sorted(rows.collect(), key=lambda r: r["slice"])])
 
 
-def _fit(batches: Iterator[pa.RecordBatch], known: np.ndarray, rank: np.ndarray, flat: np.ndarray, turn: int, rounds: int) -> Trainer:
-    """Trains on the words of the batches whose place in their text is `turn` modulo `rounds`: on all of them, once."""
+def _fit(batches: Iterator[pa.RecordBatch], known: np.ndarray, rank: np.ndarray, flat: np.ndarray, turn: int, rounds: int, letters: np.ndarray | None = None) -> Trainer:
+    """Trains on the words of the batches whose place in their text is `turn` modulo `rounds`: on all of them, once. letters:
+    gets the counts of all words that are spelled."""
     trainer = Trainer(flat)
     ctx, y, size = [], [], 0
+
+    def learn(least: int) -> None:
+        nonlocal ctx, y, size
+        c, t = np.concatenate(ctx), np.concatenate(y)
+        by = np.random.default_rng(trainer.seen).permutation(len(t)) if least else np.arange(len(t))
+        lo = 0
+        while len(t) - lo > (least and trainer.size() - 1):
+            own = by[lo : lo + trainer.size()]
+            trainer.batch(c[own], t[own])
+            lo += len(own)
+        ctx, y, size = [c[by[lo:]]], [t[by[lo:]]], len(t) - lo  # goes into the next group
+
     for batch in batches:
-        for _, _, h, first in _texts(batch, 0):
+        for _, _, h, first, buf, starts, ends in _words(batch, 0):
             ids = _ids(known, rank, h)
+            if letters is not None:
+                rare = np.flatnonzero(ids >= VOCAB - RARE)
+                _count_letters(letters, buf, starts[rare], ends[rare], h[rare])
             doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
             at = np.arange(len(h))
             at = at[(at - first[doc]) % rounds == turn]
-            for lo in range(0, len(at), 16 * BATCH):
-                own = at[lo : lo + 16 * BATCH]
+            for lo in range(0, len(at), GROUP):
+                own = at[lo : lo + GROUP]
                 ctx.append(contexts(ids, first, own, doc[own]))
                 y.append(ids[own])
                 size += len(own)
-                if size >= 16 * BATCH:
-                    c, t = np.concatenate(ctx), np.concatenate(y)
-                    by = np.random.default_rng(trainer.seen).permutation(len(t))
-                    whole = len(t) // BATCH * BATCH
-                    for i in range(0, whole, BATCH):
-                        trainer.batch(c[by[i : i + BATCH]], t[by[i : i + BATCH]])
-                    ctx, y, size = [c[by[whole:]]], [t[by[whole:]]], len(t) - whole  # goes into the next group
+                if size >= GROUP:
+                    learn(1)
     if size:
-        c, t = np.concatenate(ctx), np.concatenate(y)
-        for lo in range(0, len(t), BATCH):
-            trainer.batch(c[lo : lo + BATCH], t[lo : lo + BATCH])
+        learn(0)
     return trainer
 
 
 def train(texts: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Known words (sorted hashes), their ids, the flat model, and the letter table of all others. Words are counted over all texts; in each of n rounds
-    every task trains from the common model on every n-th word of each of its texts, one place further in each round, and the models are averaged."""
+    every task trains from the common model on every n-th word of each of its texts, one place further in each round, and the models are averaged.
+    The first round also counts the letters of all words outside the vocabulary (PLACES * 256 counts come to the driver, as Arrow)."""
     known, rank, count = vocabulary(texts)
-    letters = spell(texts, known, rank)
-    flat = pack(start(count))
+    flat, letters = pack(start(count)), np.zeros(PLACES * 256)
     for turn in range(rounds):
         shared = texts.sparkSession.sparkContext.broadcast((known, rank, flat))  # at most VOCAB words, one model
 
         def fit(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            trainer = _fit(batches, *shared.value, turn, rounds)
+            counts = None if turn else np.zeros(PLACES * 256)
+            trainer = _fit(batches, *shared.value, turn, rounds, counts)
+            task, names = TaskContext.get().partitionId(), ["task", "slice", "seen", "model", "key", "n"]
             if trainer.seen:
-                parts = np.array_split(pack(trainer.p), SLICES)
-                task = TaskContext.get().partitionId()
-                yield pa.RecordBatch.from_arrays([pa.array([task] * SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([float(trainer.seen)] * SLICES), pa.array([x.tobytes() for x in parts], pa.binary())], names=["task", "slice", "seen", "model"])
-
-        models = stage(texts.mapInArrow(fit, "task long, slice int, seen double, model binary"), "models")
+                parts, none = np.array_split(pack(trainer.p), SLICES), pa.nulls(SLICES, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([task] * SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([float(trainer.seen)] * SLICES), pa.array([x.tobytes() for x in parts], pa.binary()), none, none], names=names)
+            if counts is not None and len(some := np.flatnonzero(counts)):
+                none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int32(), pa.float64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(some, pa.int64()), pa.array(counts[some].astype(np.int64))], names=names)
+
+        rows = stage(texts.mapInArrow(fit, "task long, slice int, seen double, model binary, key long, n long"), "models")
+        if not turn:
+            counted = rows.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+            letters[counted["key"].to_numpy()] = counted["n"].to_numpy()
+        models = rows.where("task is not null").select("task", "slice", "seen", "model")
         tasks = models.agg(F.max("task")).first()[0]
         if tasks is None:
             continue  # texts of one word have no target in later rounds, empty ones in none
         flat = _average(models, max(2, tasks + 1))
-    return known, rank, flat, letters
+        unstage(rows)
+    return known, rank, flat, letter_table(letters)
 
 
 def score(docs: DataFrame, model: tuple | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,7 +377,8 @@ def score(docs: DataFrame, model: tuple | None = None, id_col: str = "doc_id", t
     spelling: each byte, and the end of the word, given the two bytes before, as counted over all such words of the corpus.
 
     Returns doc_id, n_words, log_likelihood, mean_log_prob (null without words) and perplexity (exp of its negative).
-    Null and empty texts have 0 words and log_likelihood 0. Trained on docs unless a model is given. Rows that repeat an
+    Null and empty texts have 0 words and log_likelihood 0. Trained on docs unless a model is given: each task trains on the
+    rows of its partition and the models are averaged, so scores also depend (by a percent or two) on how docs is partitioned. Rows that repeat an
     id are scored each; no documents, no rows. Other columns are not read.
     """
     docs = bounded(docs)
@@ -348,7 +392,7 @@ def score(docs: DataFrame, model: tuple | None = None, id_col: str = "doc_id", t
             n, total = [], []
             for _, _, h, first, buf, starts, ends in _words(batch, 1):
                 ids = _ids(known, rank, h)
-                lp = np.r_[0.0, np.cumsum(log_probs(p, ids, first, spellings(letters, buf, starts, ends)))]
+                lp = np.r_[0.0, np.cumsum(log_probs(p, ids, first, _spelled(letters, ids, buf, starts, ends, h)))]
                 n += np.diff(first).tolist()
                 total += (lp[first[1:]] - lp[first[:-1]]).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "n_words", "log_likelihood"])

@@ -86,7 +86,7 @@ def test_every_word_is_a_target_once(monkeypatch):
     for turn in range(lm.ROUNDS):
         lm._fit([batch, batch.slice(0, 0)], known, rank, flat, turn, lm.ROUNDS)
     assert (np.sort(np.concatenate(seen)) == np.arange(len(h))).all()
-    assert all(len(y) <= lm.BATCH for y in seen)
+    assert all(len(y) <= lm.MOST for y in seen)
 
 
 def test_spellings_against_plain():
@@ -95,15 +95,14 @@ def test_spellings_against_plain():
     counts = np.random.default_rng(0).integers(0, 9, lm.PLACES * 256).astype(float)
     table = lm.letter_table(counts)
     assert np.exp(table.reshape(lm.PLACES, 256)).sum(axis=1) == pytest.approx(1, abs=1e-4)
-    (_, _, _, _, buf, starts, ends) = next(lm._words(batch, 0))
+    (_, _, h, _, buf, starts, ends) = next(lm._words(batch, 0))
     want = []
     for word in " ".join(texts).lower().split():
         b = [0, 0, *word.encode(), lm.END]
         want.append(sum(float(table[lm.PLACE[b[i - 2] * 256 + b[i - 1]] * 256 + b[i]]) for i in range(2, len(b))))
-    assert lm.spellings(table, buf, starts, ends) == pytest.approx(want)
+    assert lm.spellings(table, buf, starts, ends, h) == pytest.approx(want)
     rare = np.zeros(lm.PLACES * 256)
-    out = next(lm._count_letters([batch], np.zeros(0, np.uint64), np.zeros(0, np.int64)))  # no known word: all are rare
-    rare[out.column(0)] = out.column(1)
+    lm._count_letters(rare, buf, starts, ends, h)
     assert rare.sum() == sum(len(w.encode()) + 1 for t in texts for w in t.split())
 
 
@@ -117,3 +116,45 @@ def test_rare_words_differ(frame):
     one, other = np.flatnonzero(ids == lm.VOCAB - lm.RARE)[:2]  # of the same rare id
     s = {r.doc_id: r.log_likelihood for r in lm.score(frame([(1, words[one]), (2, words[other]), (3, "zqxj9")]), model).collect()}
     assert s[1] != s[2] and s[3] < min(s[1], s[2]) and max(s[1], s[2]) < 0
+
+
+def test_gradients_against_differences(monkeypatch):
+    rng = np.random.default_rng(3)
+    flat = lm.pack(lm.start(rng.integers(1, 50, lm.VOCAB).astype(float)))
+    ids = rng.integers(0, lm.VOCAB - lm.WITHIN, 40)
+    first, at, doc = np.array([0, 40]), np.arange(40), np.zeros(40, int)
+    grads = {}
+
+    def keep(self, k, grad, rows=slice(None)):
+        whole = grads.setdefault(k, np.zeros(self.p[k].shape))
+        whole[rows] += grad
+
+    monkeypatch.setattr(lm.Trainer, "_step", keep)
+    lm.Trainer(flat).batch(lm.contexts(ids, first, at, doc), ids)
+
+    def loss(p):
+        return -lm.log_probs(p, ids, first).mean()
+
+    for k in ("embed", "mixer", "bias", "class_w", "class_b", "word_w", "word_b"):
+        place = np.unravel_index(np.abs(grads[k]).argmax(), grads[k].shape)
+        up, down = ({n: v.astype(np.float64) for n, v in lm.unpack(flat).items()} for _ in range(2))
+        up[k][place] += 1e-4
+        down[k][place] -= 1e-4
+        assert (loss(up) - loss(down)) / 2e-4 == pytest.approx(grads[k][place], rel=2e-2), k
+
+
+def test_scores_against_plain():
+    """One word at a time, over the whole softmax."""
+    rng = np.random.default_rng(5)
+    p = {k: v.astype(np.float64) for k, v in lm.unpack(lm.pack(lm.start(rng.integers(1, 50, lm.VOCAB).astype(float)))).items()}
+    ids, first = rng.integers(0, lm.VOCAB, 30), np.array([0, 12, 12, 30])
+    got = lm.log_probs(p, ids, first)
+    for lo, hi in zip(first[:-1], first[1:], strict=True):
+        for i in range(lo, hi):
+            x = np.concatenate([p["embed"][ids[j] if lo <= j < hi else lm.VOCAB] for j in (i - 2, i - 1, i + 1, i + 2)])
+            h = np.tanh(x @ p["mixer"] + p["bias"])
+            k = ids[i] // lm.WITHIN
+            c = h @ p["class_w"] + p["class_b"]
+            w = p["word_w"][k * lm.WITHIN : (k + 1) * lm.WITHIN] @ h + p["word_b"][k * lm.WITHIN : (k + 1) * lm.WITHIN]
+            want = c[k] - np.log(np.exp(c).sum()) + w[ids[i] % lm.WITHIN] - np.log(np.exp(w).sum())
+            assert got[i] == pytest.approx(want, abs=1e-9)
