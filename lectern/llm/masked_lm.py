@@ -94,6 +94,20 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _groups(k: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Classes before the last, put together by about equal numbers of words: the classes, (classes, most) rows of their
+    words and which of these are real."""
+    by = np.argsort(k.astype(np.int16), kind="stable")
+    cut = np.searchsorted(k[by], np.arange(CLASSES))
+    many = np.diff(cut)
+    level = np.ceil(np.log2(np.maximum(many, 1))).astype(np.int64)
+    for x in np.unique(level[many > 0]):
+        own = np.flatnonzero((level == x) & (many > 0))
+        step = np.arange(many[own].max())
+        real = step < many[own][:, None]
+        yield own, by[np.where(real, cut[own][:, None] + step, 0)], real
+
+
 def log_probs(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray, spelled: np.ndarray | None = None) -> np.ndarray:
     """ln p(word | both sides) for each word: that of its class, plus that of the word within it; for words of the last
     class the latter is their entry in spelled, if that is given."""
@@ -111,15 +125,16 @@ def log_probs(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray, spel
         y = ids[at]
         k = y // WITHIN
         got = _picked(h @ p["class_w"] + p["class_b"], k).astype(np.float64)
-        by = np.argsort(k.astype(np.int16), kind="stable")
-        cut = np.searchsorted(k[by], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = by[cut[c] : cut[c + 1]]
-            if len(rows) and c == CLASSES - 1 and spelled is not None:
-                got[rows] += spelled[at[rows]]
-            elif len(rows):
-                own = slice(c * WITHIN, (c + 1) * WITHIN)
-                got[rows] += _picked(h[rows] @ p["word_w"][own].T + p["word_b"][own], y[rows] - c * WITHIN)
+        for own, rows, real in _groups(k):
+            x = h[rows] @ p["word_w"].reshape(CLASSES, WITHIN, -1)[own].transpose(0, 2, 1) + p["word_b"].reshape(CLASSES, 1, WITHIN)[own]
+            more = _picked(x.reshape(-1, WITHIN), (y[rows] % WITHIN).ravel()).reshape(rows.shape)
+            got[rows[real]] += more[real]
+        rows = np.flatnonzero(k == CLASSES - 1)
+        if spelled is not None:
+            got[rows] += spelled[at[rows]]
+        elif len(rows):
+            own = slice((CLASSES - 1) * WITHIN, CLASSES * WITHIN)
+            got[rows] += _picked(h[rows] @ p["word_w"][own].T + p["word_b"][own], y[rows] % WITHIN)
         out[at] = got
     return out
 
@@ -146,18 +161,15 @@ class Trainer:
         d_class[np.arange(n), k] -= 1
         d_class /= n
         d_h = d_class @ p["class_w"].T
-        by = np.argsort(k.astype(np.int16), kind="stable")
-        cut = np.searchsorted(k[by], np.arange(CLASSES + 1))
-        words = []
-        for c in np.flatnonzero(np.diff(cut[:CLASSES])):  # words of the last class are spelled, not told apart by it
-            rows = by[cut[c] : cut[c + 1]]
-            own = slice(c * WITHIN, (c + 1) * WITHIN)
-            mine = h[rows]
-            d = _softmax(mine @ p["word_w"][own].T + p["word_b"][own])
-            d[np.arange(len(rows)), y[rows] - c * WITHIN] -= 1
-            d /= n
-            d_h[rows] += d @ p["word_w"][own]
-            words.append((own, d.T @ mine, d.sum(axis=0)))
+        word_w, word_b = p["word_w"].reshape(CLASSES, WITHIN, -1), p["word_b"].reshape(CLASSES, 1, WITHIN)
+        g_w, g_b = np.zeros_like(word_w), np.zeros((CLASSES, WITHIN), np.float32)
+        for own, rows, real in _groups(k):  # words of the last class are spelled, not told apart by it
+            mine, w = h[rows], word_w[own]
+            d = _softmax((mine @ w.transpose(0, 2, 1) + word_b[own]).reshape(-1, WITHIN))
+            d[np.arange(len(d)), (y[rows] % WITHIN).ravel()] -= 1
+            d = (d * (real.ravel()[:, None] / np.float32(n))).reshape(*rows.shape, WITHIN)
+            d_h[rows[real]] += (d @ w)[real]
+            g_w[own], g_b[own] = d.transpose(0, 2, 1) @ mine, d.sum(axis=1)
         d_z = d_h * (1 - h * h)
         d_x = (d_z @ p["mixer"].T).reshape(-1, DIM)
         flat = ctx.ravel().astype(np.int16)  # sorted by radix
@@ -169,9 +181,8 @@ class Trainer:
         self._step("mixer", x.T @ d_z)
         self._step("bias", d_z.sum(axis=0))
         self._step("embed", d_embed, flat[by[cut]].astype(np.int64))
-        for own, w, b in words:
-            self._step("word_w", w, own)
-            self._step("word_b", b, own)
+        self._step("word_w", g_w.reshape(p["word_w"].shape))
+        self._step("word_b", g_b.ravel())
         self.seen += n
 
     def size(self) -> int:
