@@ -14,6 +14,8 @@ from lectern.llm import tokens
 from lectern.llm.common import bounded, small, stage, whole_rows
 
 TOPICS = 8
+#: Rounds in which topics are learned, places that long words are hashed to, and the count that each place starts with.
+ROUNDS, PLACES, PRIOR = 3, 4096, 0.5
 #: Words of fewer bytes say little of a topic.
 LONG_WORD = 6
 #: Cells of (source, language, topic) that are raked on the driver; more are raked by Spark.
@@ -27,20 +29,71 @@ NONE = "∅"
 SWEEPS, TOLERANCE = 100, 1e-9
 
 
-def _topics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _long_words(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By blocks of texts: their number, words of each, and of the long words the text, the place and the hash."""
+    buf, offsets = tokens.utf8(batch.column(column))
+    for lo, hi in tokens.blocks(offsets):
+        part = offsets[lo : hi + 1]
+        h, starts, ends, first = tokens.words(buf[part[0] : part[-1]], part - part[0], lower=True)
+        long = ends - starts >= LONG_WORD
+        doc = np.repeat(np.arange(hi - lo), np.diff(first))[long]
+        yield hi - lo, np.diff(first), doc, (h[long] % np.uint64(PLACES)).astype(np.int32), h[long]
+
+
+def topic_of(model: np.ndarray | None, n: int, doc: np.ndarray, place: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The likeliest topic of each of n texts, -1 without long words. model: ln p(place | topic), and ln p(topic) in the last
+    row; without a model, the one of TOPICS parts of all words (by hash) with most of the text's long words."""
+    if model is None:
+        score = np.bincount(doc * TOPICS + (h >> np.uint64(32)).astype(np.int64) % TOPICS, minlength=n * TOPICS).reshape(n, TOPICS).astype(float)
+    else:
+        score = np.tile(model[-1], (n, 1))
+        some, at = np.unique(doc, return_index=True)
+        if len(some):
+            score[some] += np.add.reduceat(model[place], at, axis=0)
+    return np.where(np.bincount(doc, minlength=n) > 0, score.argmax(axis=1), -1)
+
+
+def _count(model: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros((PLACES + 1, TOPICS), np.int64)
     for batch in batches:
-        buf, offsets = tokens.utf8(batch.column(1))
-        count, topic = [], []
-        for lo, hi in tokens.blocks(offsets):
-            part = offsets[lo : hi + 1]
-            h, starts, ends, first = tokens.words(buf[part[0] : part[-1]], part - part[0], lower=True)
-            n = np.diff(first)
-            doc = np.repeat(np.arange(hi - lo), n)
-            long = ends - starts >= LONG_WORD
-            votes = np.bincount(doc[long] * TOPICS + (h[long] % np.uint64(TOPICS)).astype(np.int64), minlength=(hi - lo) * TOPICS).reshape(-1, TOPICS)
-            count += n.tolist()
-            topic += np.where(votes.any(axis=1), votes.argmax(axis=1), -1).tolist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(topic, pa.int32()), *batch.columns[2:]], names=["__id", "tokens", "topic", *batch.schema.names[2:]])
+        for n, _, doc, place, h in _long_words(batch, 0):
+            topic = topic_of(model, n, doc, place, h)
+            np.add.at(counts[-1], topic[topic >= 0], 1)
+            counts[:-1] += np.bincount(place.astype(np.int64) * TOPICS + topic[doc], minlength=PLACES * TOPICS).reshape(PLACES, TOPICS)
+    some = np.flatnonzero(counts.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c) for c in counts[some].T)], names=["place", *(f"k{i}" for i in range(TOPICS))])
+
+
+def learn_topics(texts: DataFrame, rounds: int = ROUNDS) -> np.ndarray | None:
+    """A mixture of unigrams over the long words of all texts, by classification EM: each round gives every text its likeliest
+    topic and counts the words of each (integers, so the model doesn't depend on the partitioning). The counts, PLACES + 1
+    rows, come to the driver. None if there are no long words."""
+    names = [f"k{i}" for i in range(TOPICS)]
+    model = None
+    for _ in range(rounds):
+        shared = texts.sparkSession.sparkContext.broadcast(model)
+        rows = texts.mapInArrow(lambda batches, shared=shared: _count(shared.value, batches), "place int, " + ", ".join(f"{k} long" for k in names))
+        rows = rows.groupBy("place").agg(*[F.sum(k).alias(k) for k in names]).toArrow()
+        shared.destroy()
+        if not rows.num_rows:
+            return None
+        counts = np.zeros((PLACES + 1, TOPICS))
+        counts[rows["place"].to_numpy()] = np.stack([rows[k].to_numpy() for k in names], 1)
+        words, docs = counts[:-1] + PRIOR, counts[-1] + 1
+        model = np.vstack([np.log(words / words.sum(axis=0)), np.log(docs / docs.sum())])
+    return model
+
+
+def _topics(shared):
+    def topics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count, topic = [], []
+            for n, words, doc, place, h in _long_words(batch, 1):
+                count += words.tolist()
+                topic += topic_of(shared.value, n, doc, place, h).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(topic, pa.int32()), *batch.columns[2:]], names=["__id", "tokens", "topic", *batch.schema.names[2:]])
+
+    return topics
 
 
 def rake(cells: np.ndarray, mass: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
@@ -146,8 +199,8 @@ def _marked(source: DataFrame) -> T.StructType:
 def mix(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep: bool = False) -> DataFrame:
     """Token weights raked to source, language and topic marginals, and a sample by calibrated probabilities.
 
-    tokens are the words of the whole text; topic is the one of 8 parts of the vocabulary (by word hash) with most of the
-    text's words of 6 bytes and more, ties to the first, -1 if it has none. targets gives shares of tokens by dimension;
+    tokens are the words of the whole text; topic is the likeliest one of 8 in a mixture of unigrams learned over the words of
+    6 bytes and more of all texts, ties to the first, -1 if it has none. targets gives shares of tokens by dimension;
     a dimension left out aims at its own shares to a power under 1. Returns the id (as doc_id), tokens, topic, weight,
     prob, selected (a hash of id and text falls under prob: the same in every run); with keep also row, a struct of
     all columns of docs, whatever their names. A null
@@ -163,9 +216,14 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float =
         uniform(id_col, text_col).alias("__u"),
         *whole_rows(docs, keep),
     )
-    marked = source.mapInArrow(_topics, _marked(source))
-    plain = source.select("__id", "__text", "__source", "__lang")
-    slim = stage(plain.mapInArrow(_topics, _marked(plain)).groupBy("__source", "__lang", "topic").agg(F.sum("tokens").cast("double").alias("mass")), "cells")
+    shared = docs.sparkSession.sparkContext.broadcast(learn_topics(source.select("__text")))  # PLACES x TOPICS
+    marked = source.mapInArrow(_topics(shared), _marked(source))
+    if not keep:  # a few numbers a row: worked out once
+        marked = plain = stage(marked, "marked")
+    else:
+        plain = source.select("__id", "__text", "__source", "__lang")
+        plain = plain.mapInArrow(_topics(shared), _marked(plain))
+    slim = stage(plain.groupBy("__source", "__lang", "topic").agg(F.sum("tokens").cast("double").alias("mass")), "cells")
     cells = slim.select(F.col("__source").alias("source"), F.col("__lang").alias("lang"), "topic", "mass").where("mass > 0")
     n = cells.count()
     weights = (_rake_on_driver if n <= DRIVER_CELLS else _rake_in_spark)(cells, targets or {}, budget) if n else cells.sparkSession.createDataFrame([], "source string, lang string, topic int, weight double, prob double")

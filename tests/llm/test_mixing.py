@@ -56,3 +56,52 @@ def test_repeatable_and_odd(odd, empty):
     a, b = (sorted(((r.doc_id, r.selected, r.row.tokens) for r in mixing.mix(odd, keep=True).collect()), key=repr) for _ in range(2))
     assert a == b and len(a) == odd.count()
     assert mixing.mix(empty).collect() == []
+
+
+def test_topics_are_learned(frame):
+    rng = np.random.default_rng(6)
+    themes = [[f"theme{t}word{i}" for i in range(60)] for t in range(3)]
+    texts = [" ".join(rng.choice(themes[i % 3], 40)) + " the of and" for i in range(240)]
+    rows = frame([*enumerate(texts), (900, "a b c"), (901, None)])
+    got = {r.doc_id: r.topic for r in mixing.mix(rows).collect()}
+    by = [{got[i] for i in range(240) if i % 3 == t} for t in range(3)]
+    most = [max(b, key=lambda k, t=t: sum(got[i] == k for i in range(t, 240, 3))) for t, b in enumerate(by)]
+    assert len(set(most)) == 3 and np.mean([got[i] == most[i % 3] for i in range(240)]) > 0.7
+    assert got[900] == got[901] == -1
+    again = {r.doc_id: r.topic for r in mixing.mix(rows.repartition(7)).collect()}
+    assert again == got
+
+
+def test_whole_query_against_plain(frame):
+    """Tokens, raking and probabilities, worked out row by row."""
+    rng = np.random.default_rng(8)
+    rows = frame([(i, " ".join(f"word{rng.integers(200)}" for _ in range(rng.integers(0, 60)))) for i in range(300)])
+    got = {r.doc_id: r for r in mixing.mix(rows, targets={"lang": {"en": 0.8, "fr": 0.2}}).collect()}
+    docs = {r.doc_id: r for r in rows.collect()}
+    assert set(got) == set(docs) and all(got[i].tokens == len(docs[i].text.split()) for i in docs)
+    cells = {}
+    for i, r in docs.items():
+        if got[i].tokens:
+            cells[r.source, r.lang, got[i].topic] = cells.get((r.source, r.lang, got[i].topic), 0) + got[i].tokens
+    total = sum(cells.values())
+    weight = dict.fromkeys(cells, 1.0)
+    want = [None, {"en": 0.8, "fr": 0.2}, None]
+    for dim, name in enumerate(("source", "lang", "topic")):
+        if want[dim] is None:
+            mass = {}
+            for c, m in cells.items():
+                mass[c[dim]] = mass.get(c[dim], 0) + m
+            share = {k: v ** mixing.POWERS[name] for k, v in mass.items()}
+            want[dim] = {k: v / sum(share.values()) for k, v in share.items()}
+    for _ in range(400):
+        for dim in range(3):
+            now = {}
+            for c, m in cells.items():
+                now[c[dim]] = now.get(c[dim], 0) + weight[c] * m / total
+            for c in cells:
+                weight[c] *= want[dim][c[dim]] / now[c[dim]]
+    for i, r in docs.items():
+        if got[i].tokens:
+            assert got[i].weight == pytest.approx(weight[r.source, r.lang, got[i].topic], rel=1e-5)
+            assert got[i].selected in (True, False) and (got[i].selected or got[i].prob < 1)
+    assert sum(got[i].prob * got[i].tokens for i in docs) == pytest.approx(mixing.BUDGET * total, rel=1e-6)
