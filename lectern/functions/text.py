@@ -187,3 +187,8 @@ def table_csv(rows: Column | str) -> Column:
     """Cells with a comma, a quote or a line end are quoted."""
     cell = lambda c: F.when(c.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
     return F.array_join(F.transform(_c(rows), lambda r: F.array_join(F.transform(r, cell), ",")), "\n")
+
+
+def stamp(at: Column | None = None, compact: bool = False) -> Column:
+    """A time as text, now by default; compact for file names."""
+    return F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd_HHmmss" if compact else "yyyy-MM-dd HH:mm:ss")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.classify import entity_type
+from lectern.operators.matching import matches
 
 
 def _key(x: Column | str) -> Column:
@@ -56,6 +57,11 @@ def item_rows(items: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     return v, e
 
 
+def lookup(vertices: DataFrame, names: DataFrame) -> DataFrame:
+    """For each name whether an entity of it, but for case, is there, and its id, name, type."""
+    return names.select("name").distinct().withColumn("id", _key("name")).join(vertices.select("id", F.col("name").alias("entity"), "type"), "id", "left").select("name", F.col("entity").isNotNull().alias("contained"), "entity", "type")
+
+
 def neighbours(edges: DataFrame, starts: DataFrame, label: str | None = None, direction: str = "both", most: int = 50) -> DataFrame:
     """(id, label, neighbour) of start ids, at most 50 each; direction: out, in or both."""
     e = edges if label is None else edges.where(F.lower("label") == label.lower())
@@ -87,11 +93,14 @@ def k_hop(edges: DataFrame, starts: DataFrame, depth: int = 1, most: int | None
 def search_entities(vertices: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Entities whose name holds the whole query (1.0) or one of its words (0.5), the best k of each query.
 
-    The queries are broadcast (a stated set; vertices are not moved)."""
+    Only the distinct words and whole queries are held against the distinct names, in blocks of bounded size; what is found is
+    joined back by name and word."""
     q = queries.select("query_id", F.lower(F.trim("text")).alias("q")).where("q <> ''").withColumn("words", F.filter(F.split("q", r"\s+"), lambda w: w != ""))
-    name = F.lower("name")
-    hit = vertices.join(F.broadcast(q), name.contains(F.col("q")) | F.exists("words", lambda w: name.contains(w)))
-    scored = hit.select("query_id", "id", "name", "type", F.when(name.contains(F.col("q")), 1.0).otherwise(0.5).alias("score"))
+    terms = q.select(F.explode(F.array_append("words", F.col("q"))).alias("term")).distinct()
+    held = matches(vertices.select(F.lower("name").alias("low")).distinct(), "low", terms, "term")
+    asked = q.select("query_id", F.explode(F.array_distinct(F.array_append("words", F.col("q")))).alias("term"), "q")
+    best = asked.join(held, "term").groupBy("query_id", "low").agg(F.max(F.when(F.col("term") == F.col("q"), 1.0).otherwise(0.5)).alias("score"))
+    scored = vertices.withColumn("low", F.lower("name")).join(best, "low").select("query_id", "id", "name", "type", "score")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.operators.matching import matches
 
 
 def _cited(chunks: DataFrame) -> DataFrame:
@@ -113,7 +114,9 @@ def resolve_file(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """For each name the file meant: the exact one, then with .pdf .PDF .docx .txt .md, then the first that contains it."""
     w = wanted.select(F.col("file_name").alias("wanted")).distinct()
     exact = w.select("wanted", F.posexplode(F.array(*[F.concat("wanted", F.lit(s)) for s in ("", ".pdf", ".PDF", ".docx", ".txt", ".md")])).alias("priority", "file_name")).join(files.select("file_name").distinct(), "file_name")
-    part = F.broadcast(w).join(files.select("file_name").distinct(), F.lower("file_name").contains(F.lower("wanted"))).select("wanted", F.lit(9).alias("priority"), "file_name")
+    names = files.select("file_name").distinct()
+    held = matches(names.select(F.lower("file_name").alias("low")).distinct(), "low", w.select(F.lower("wanted").alias("term")).distinct(), "term")
+    part = w.withColumn("term", F.lower("wanted")).join(held, "term").join(names.withColumn("low", F.lower("file_name")), "low").select("wanted", F.lit(9).alias("priority"), "file_name")
     return exact.select("wanted", "priority", "file_name").unionByName(part).groupBy("wanted").agg(F.min_by("file_name", F.struct("priority", "file_name")).alias("file_name"))
 
 
@@ -152,3 +155,17 @@ def list_documents(chunks: DataFrame, k: int = 20) -> DataFrame:
     rows = chunks.groupBy("file_name").agg(F.count("*").alias("chunk_count"), F.min("added_time").alias("added_time")).orderBy("file_name").limit(k)
     none = chunks.limit(1).agg(F.count("*").alias("n")).where("n = 0").select(F.lit("No documents").alias("file_name"), F.lit(0).cast("long").alias("chunk_count"), F.lit("").alias("added_time"))
     return rows.unionByName(none)
+
+
+def global_rank(rows: DataFrame, key: str, parts: int = 200) -> DataFrame:
+    """rows with n, their rank from 0 by a numeric key: ranks within ranges of the key, plus the counts of the ranges before
+    (at most `parts` of them come to the driver), so that no task sorts everything."""
+    cuts = sorted(set(rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.002)))
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col(key))) if cuts else F.lit(0)
+    placed = rows.withColumn("__part", place)
+    before, skip = 0, []
+    for part, many in sorted(map(tuple, placed.groupBy("__part").agg(F.count("*")).collect())):
+        skip += [F.lit(part), F.lit(before)]
+        before += many
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
+    return placed.withColumn("n", within + F.create_map(*skip)[F.col("__part")] if skip else within).drop("__part")

@@ -138,3 +138,43 @@ def testset(chunks: DataFrame, least: int = 5) -> DataFrame:
 def index_counts(chunks: DataFrame, k: int = 10) -> DataFrame:
     """The k papers with most chunks."""
     return chunks.groupBy("file_name").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("chunks"), "file_name").limit(k)
+
+
+def index_papers(papers: DataFrame, path: str, config: Config = Config(), model=None, figures: bool = True, split: str = "") -> DataFrame:  # noqa: B008
+    """Paragraphs (and captions) of papers, embedded and appended to a chunk table; returns the statistics of each paper.
+
+    Without figures only texts are stored. A paper without a paragraph or caption long enough is not listed."""
+    from lectern.sources import sinks
+
+    p = evaluation.paragraph_nodes(papers).select("paper_id", "title", "text", F.lit(False).alias("is_caption"), F.concat_ws("-", F.lit("p"), "section_index", "paragraph_index").alias("place"))
+    if figures:
+        c = evaluation.caption_nodes(papers).join(papers.select(F.col("id").alias("paper_id"), "title"), "paper_id")
+        p = p.unionByName(c.select("paper_id", "title", "text", F.lit(True).alias("is_caption"), F.concat_ws("-", F.lit("c"), "figure_index").alias("place")))
+    rows = p.withColumn("chunk_id", F.xxhash64("paper_id", "place")).withColumn("file_name", F.concat("paper_id", F.lit(".txt")))
+    sinks.insert_chunks(library.valid_nodes(rows.withColumn("embedding", embed(F.col("text"), config.embed_dim, model))), path)
+    stored = papers.sparkSession.read.parquet(path)
+    return stored.groupBy("paper_id", F.col("title").alias("paper_title"), "file_name").agg(F.count("*").alias("chunk_count"), F.sum(F.col("is_caption").cast("long")).alias("figure_caption_count"), F.lit(split).alias("source_split"), tx.stamp().alias("added_time"))
+
+
+def predict_alone(questions: DataFrame, predictions: DataFrame, answer) -> DataFrame:
+    """Answers the questions still open (question_id, text) by the model alone, without search or evidence."""
+    new = library.pending(questions, predictions).select("question_id", answer(F.col("text")).alias("predicted_answer"), F.array().cast("array<string>").alias("predicted_evidence"))
+    return library.upsert(predictions, new, ["question_id"])
+
+
+def evaluate_testset(chunks: DataFrame, ask, metrics: dict, least: int = 5) -> tuple[DataFrame, DataFrame]:
+    """A test set from the papers' whole texts, answered, filtered and scored: samples with their metrics, and the summary.
+
+    ask(text) gives array<struct<question, answer, reference>>; metrics: name -> (question, answer, reference) -> Column."""
+    from lectern.functions.classify import is_low_quality
+
+    rows = testset(chunks, least).select("file_name", F.explode(ask(F.col("text"))).alias("s")).select("file_name", "s.*")
+    rows = rows.where(~is_low_quality(F.col("question")))
+    scored = rows.withColumns({name: f(F.col("question"), F.col("answer"), F.col("reference")) for name, f in metrics.items()})
+    return scored, evaluation.metric_summary(scored, list(metrics))
+
+
+def graph_of_documents(docs: DataFrame, extract) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """graph.build of whole documents (ident, text), which become the chunks doc_0, doc_1, .. in the order of their ids."""
+    rows = library.global_rank(docs, "ident").select(F.concat(F.lit("doc_"), "n").alias("chunk_id"), F.lit(0).alias("chunk_index"), F.concat(F.lit("doc_"), "n").alias("paper_id"), "text")
+    return graph.build(rows, extract)

@@ -33,6 +33,22 @@ def overwrite(df: DataFrame, path: str) -> None:
     fs.delete(old, True)
 
 
+def rebuild_chunks(chunks: DataFrame, path: str, file_name: str | None = None) -> None:
+    """Replaces the whole chunk table by newly parsed chunks, or only the rows of one file: other files' folders stay."""
+    rows = chunks if file_name is None else chunks.where(F.col("file_name") == file_name)
+    mode = "static" if file_name is None else "dynamic"
+    rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("file_name").parquet(path)
+
+
+def dump(df: DataFrame, path: str, kind: str = "json") -> None:
+    """A test set or chunks as JSON lines, results as CSV with a header (structures as JSON text)."""
+    if kind == "csv":
+        flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
+        df.select(flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    else:
+        df.write.mode("overwrite").json(path)
+
+
 def clear(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))

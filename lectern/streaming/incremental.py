@@ -91,3 +91,16 @@ def rate_windows(events: DataFrame, width: str = "60 seconds", slide: str | None
 def sessions(events: DataFrame, by: str, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
     source = events.withWatermark("ts", watermark) if events.isStreaming else events
     return source.groupBy(by, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
+
+
+def autosaver(save, every: int = 100):
+    """A foreachBatch function that counts operations and calls save(total) each time another `every` are reached."""
+    done = 0
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        nonlocal done
+        before, done = done, done + df.count()
+        if done // every > before // every:
+            save(done)
+
+    return batch
