@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,19 +28,34 @@ def ingest_stream(spark: SparkSession, folder: str, table: str, checkpoint: str,
 def cache_outcomes(requests: DataFrame, ttl: int = 3600) -> DataFrame:
     """Whether each request (key, ts, event_id) finds its answer: an entry lives ttl seconds from the miss that made it.
 
-    Per key a fold over time, since a hit does not renew the entry; keys are independent, so the work is by key."""
+    Per key a fold over time, since a hit does not renew the entry. Rows stream through each task in the order of key and
+    time, so a key of any size takes the memory of a batch; from one miss to the next the fold goes by one search."""
+    live = ttl * 1_000_000
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        made, hits = None, []
-        for t in pdf["ts"]:
-            hit = made is not None and (t - made).total_seconds() < ttl
-            if not hit:
-                made = t
-            hits.append(hit)
-        return pdf.assign(hit=hits)[["key", "ts", "event_id", "hit"]]
-
-    return requests.select("key", "ts", "event_id").groupBy("key").applyInPandas(run, "key string, ts timestamp, event_id long, hit boolean")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, made = object(), None
+        for pdf in batches:
+            t, keys = pdf["ts"].to_numpy("datetime64[us]").astype("int64"), pdf["key"].to_numpy(object)
+            hit = np.zeros(len(pdf), bool)
+            cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(pdf) else np.zeros(0, int)
+            for a, b in zip(cut, np.r_[cut[1:], len(pdf)], strict=False):
+                if keys[a] != now:
+                    now, made = keys[a], None
+                at = a
+                while at < b:
+                    if made is None:  # the key's first request
+                        made, at = t[at], at + 1
+                        continue
+                    end = max(at, a + int(np.searchsorted(t[a:b], made + live)))
+                    hit[at:end] = True
+                    if end < b:
+                        made = t[end]
+                    at = end + 1
+            yield pdf.assign(hit=hit)
+
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = requests.select("key", "ts", "event_id").repartition(n, "key").sortWithinPartitions("key", "ts", "event_id")
+    return rows.mapInPandas(run, "key string, ts timestamp, event_id long, hit boolean")
 
 
 def cache_stream(requests: DataFrame, ttl: int = 3600) -> DataFrame:

@@ -242,3 +242,25 @@ def test_graph_build_keeps_all_triplets(spark):
     assert v.where("id = 'model1050'").first().name == "Model1050" and v.count() == 2200
     assert counters.first().triplets == 1101
     assert graph.build(c, pattern_triplets, most=5)[1].count() == 6
+
+
+def test_cache_outcomes_across_batches(spark):
+    import datetime as dt
+    import random
+
+    from lectern.streaming.incremental import cache_outcomes
+
+    rng = random.Random(4)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(rng.choice(["a", "b", None]), start + dt.timedelta(seconds=rng.randrange(4000)), i) for i in range(300)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    got = {r.event_id: r.hit for r in cache_outcomes(spark.createDataFrame(rows, "key string, ts timestamp, event_id long"), 60).collect()}
+    spark.conf.set(key, before)
+    made, want = {}, {}
+    for k, t, i in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        want[i] = k in made and (t - made[k]).total_seconds() < 60
+        if not want[i]:
+            made[k] = t
+    assert got == want
