@@ -59,13 +59,15 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, ident: str = "chu
     """The same scores as bm25(), but in one scan and only the best k of each query (and all within `tolerance` of them)
     from each slice of chunks: for a stated query set, in blocks of 256 (BLOCK_BYTES of text), without a join row for each hit.
 
-    Document frequencies are one pre-aggregated count; a slice's term counts meet the block's weights as a matrix product."""
+    Corpus size, mean length and document frequencies are one pre-aggregated count; a slice's term counts meet the block's weights as a matrix product."""
     spark = chunks.sparkSession
     weight = F.col("weight") if "weight" in queries.columns else F.lit(1.0)
     q = queries.select("query_id", weight.cast("double").alias("w"), F.explode(tx.bm25_tokens("text")).alias("token")).groupBy("query_id", "token").agg(F.sum("w").alias("w"))
     tokens = chunks.select(F.col(ident).alias("id"), tx.bm25_tokens(text).alias("tokens"))
-    n, avgdl = tokens.agg(F.count("*"), F.avg(F.size("tokens"))).first()
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    # each text also gives one null, whose row holds the counts of texts and of their words
+    own = F.coalesce(F.array_distinct("tokens"), F.array().cast("array<string>"))
+    marked = tokens.select(F.explode(F.array_append(own, F.lit(None).cast("string"))).alias("token"), F.size("tokens").alias("dl"))
+    df = marked.groupBy("token").agg(F.count("*").alias("df"), F.count("dl").alias("texts"), F.sum("dl").alias("words"))
     size, many = queries.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     blocks = max(1, -(-size // BLOCK_BYTES), -(-many // BLOCK_QUERIES))
     out = None
@@ -73,7 +75,10 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, ident: str = "chu
         asked = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
         words = spark.createDataFrame([(t,) for t in sorted({r.token for r in asked})], "asked string")
         # one pass: the frequency of each asked token, and how many other tokens have each frequency
-        counts = df.join(F.broadcast(words), F.col("token") == F.col("asked"), "left").groupBy("asked", "df").agg(F.count("*").alias("many")).collect()
+        counts = df.join(F.broadcast(words), F.col("token") == F.col("asked"), "left").groupBy("asked", "df", F.col("token").isNull().alias("all")).agg(F.count("*").alias("many"), F.sum(F.when(F.col("token").isNull(), F.col("texts"))).alias("texts"), F.sum(F.when(F.col("token").isNull(), F.col("words"))).alias("words")).collect()
+        whole = next((r for r in counts if r["all"]), None)
+        n, avgdl = (whole.df, whole.words / whole.texts if whole.texts else 0.0) if whole else (0, 0.0)
+        counts = [r for r in counts if not r["all"]]
         raw = lambda c: math.log(n - c + 0.5) - math.log(c + 0.5)
         floor = epsilon * sum(raw(r.df) * r.many for r in counts) / max(1, sum(r.many for r in counts))
         idf = {r.asked: x if (x := raw(r.df)) >= 0 else floor for r in counts if r.asked is not None}
@@ -95,7 +100,7 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, ident: str = "chu
                     code = pc.index_in(lists.flatten(), value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)
                     doc = np.repeat(np.arange(len(dl)), dl.astype(int))[code >= 0]
                     tf = np.bincount(doc * len(names) + code[code >= 0], minlength=len(dl) * len(names)).reshape(len(dl), len(names)).astype(float) if len(names) else np.zeros((len(dl), 0))
-                    score = (tf * (k1 + 1) / (tf + (k1 * (1 - b + b * dl / avgdl))[:, None])) @ matrix
+                    score = (tf * (k1 + 1) / (tf + (k1 * (1 - b + b * dl / (avgdl or 1.0)))[:, None])) @ matrix
                     hit = (tf > 0).astype(np.float32) @ (matrix != 0).astype(np.float32) > 0
                     score[~hit] = -np.inf
                     top = min(k, len(dl))

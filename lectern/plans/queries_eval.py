@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lectern.operators import evaluation as ev
 from lectern.operators import layout
 from lectern.plans.catalog import Tables, query
-from lectern.plans.queries_text import norm_sql
+from lectern.plans.queries_retrieval import GRADE
+from lectern.plans.queries_text import SENTENCES, norm_sql
 from lectern.streaming import incremental as inc
 
 
@@ -117,7 +118,23 @@ def weak_samples(t: Tables) -> DataFrame:
     return ev.weak_samples(_results(t)).withColumn("faithfulness", F.round("faithfulness", 6))
 
 
-@query()
+def _pick(x: str, pattern: str) -> str:
+    """SQL: the distinct words of x that match the pattern."""
+    return rf"list_distinct(list_filter(regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '{pattern}')))"
+
+
+_KW, _NUM = "[a-z]{4,}", "[0-9]+"
+
+
+@query(f"""{GRADE.replace("WITH", "WITH RECURSIVE", 1)}, kq AS (SELECT query_id, {_pick("lower(text)", _KW)} AS kw, {_pick("text", _NUM)} AS nums FROM q),
+       ss AS (SELECT query_id, rank, {SENTENCES.format("text", ".!?", chr(92) + "s+")} AS p FROM h), se AS (SELECT query_id, rank, unnest(range(len(p))) AS pos, unnest(p) AS sentence FROM ss),
+       pt AS (SELECT query_id, rank, pos, sentence, 15 * len(list_intersect({_pick("sentence", _NUM)}, nums)) + 10 * len(list_intersect({_pick("lower(sentence)", _KW)}, kw)) AS points FROM se JOIN kq USING (query_id)),
+       two AS (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY points DESC, pos) AS i FROM pt WHERE points > 0 QUALIFY i <= 2),
+       al AS (SELECT query_id, sentence, row_number() OVER (PARTITION BY query_id ORDER BY rank, i) AS i FROM two),
+       fo AS (SELECT query_id, 0::BIGINT AS i, []::VARCHAR[] AS got, 0::BIGINT AS n FROM (SELECT DISTINCT query_id FROM al)
+              UNION ALL SELECT query_id, al.i, CASE WHEN ok THEN list_append(got, sentence) ELSE got END, CASE WHEN ok THEN n + length(sentence) ELSE n END
+              FROM (SELECT fo.query_id, al.i, got, n, sentence, n + length(sentence) <= 500 AND NOT list_contains(list_transform(got, lambda o: substring(o, 1, 50)), substring(sentence, 1, 50)) AS ok FROM fo JOIN al ON al.query_id = fo.query_id AND al.i = fo.i + 1) al)
+       SELECT query_id, array_to_string(arg_max(got, i), '|') AS spans FROM fo GROUP BY query_id""")
 def evidence_sentences(t: Tables) -> DataFrame:
     from lectern.plans.queries_retrieval import _hits, benchmark_queries
 
@@ -146,7 +163,14 @@ def box_overlaps(t: Tables) -> DataFrame:
     return layout.overlaps(_boxes(t)).withColumn("iou", F.round("iou", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE b AS (SELECT l_orderkey AS doc_id, CAST(l_suppkey % 2 AS INTEGER) AS page, CAST(l_linenumber AS INTEGER) AS idx, {_BOX} FROM lineitem),
+       o AS (SELECT *, (x1 - x0) * (y1 - y0) AS area, row_number() OVER (PARTITION BY doc_id, page ORDER BY (x1 - x0) * (y1 - y0) DESC, idx, x0, y0, x1, y1) AS i FROM b),
+       f AS (SELECT doc_id, page, i, [{{'idx': idx, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'area': area}}] AS kept FROM o WHERE i = 1
+             UNION ALL SELECT o.doc_id, o.page, o.i, CASE WHEN len(list_filter(f.kept, lambda k: greatest(least(k.x1, o.x1) - greatest(k.x0, o.x0), 0.0) * greatest(least(k.y1, o.y1) - greatest(k.y0, o.y0), 0.0)
+                    > 0.5 * (k.area + o.area - greatest(least(k.x1, o.x1) - greatest(k.x0, o.x0), 0.0) * greatest(least(k.y1, o.y1) - greatest(k.y0, o.y0), 0.0)))) > 0 THEN f.kept
+                  ELSE list_append(f.kept, {{'idx': o.idx, 'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1, 'area': o.area}}) END
+             FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.i = f.i + 1)
+       SELECT doc_id, page, k.idx AS idx FROM (SELECT doc_id, page, unnest(arg_max(kept, i)) AS k FROM f GROUP BY doc_id, page)""")
 def box_suppression(t: Tables) -> DataFrame:
     return layout.suppress(_boxes(t).withColumn("idx", F.col("idx").cast("int")))
 

@@ -105,7 +105,11 @@ def bloom_nodes(t: Tables) -> DataFrame:
     return sinks.bloom_nodes(v).select("id", "type", "label", "color")
 
 
-@query()
+_FOUND = r"regexp_extract_all(text, '\b([A-Z][\w-]+)\s+(uses|improves|extends|outperforms|is|has|of|and|the)\s+([A-Za-z][\w-]+)', {})"
+
+
+@query(f"""WITH t AS (SELECT unnest({_FOUND.format(1)}) AS h, unnest({_FOUND.format(2)}) AS r, unnest({_FOUND.format(3)}) AS l FROM documents WHERE length(text) >= 50)
+       SELECT lower(h) AS src, r AS label, lower(l) AS dst, count(*) AS added FROM t GROUP BY ALL""")
 def graph_build(t: Tables) -> DataFrame:
     from lectern.functions.boundary import pattern_triplets
 

@@ -148,7 +148,7 @@ def reciprocal_rank_fusion(t: Tables) -> DataFrame:
     return _rounded_top(r.reciprocal_rank_fuse(rounds, 40, key="doc_id"), 10)
 
 
-_GRADE = f"""WITH {Q1}, {BM25}, h0 AS ({top('bm', 5)}), h AS (SELECT h0.query_id, h0.rank, round(h0.score / 100, 6) AS score, d.text FROM h0 JOIN documents d USING (doc_id)),
+GRADE = f"""WITH {Q1}, {BM25}, h0 AS ({top('bm', 5)}), h AS (SELECT h0.query_id, h0.rank, round(h0.score / 100, 6) AS score, d.text FROM h0 JOIN documents d USING (doc_id)),
        qq AS (SELECT query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS t FROM q),
        cv AS (SELECT h.query_id, h.rank, len(list_intersect(qq.t, list_distinct(list_filter(regexp_split_to_array(lower(h.text), '\\s+'), lambda x: x <> '')))) / greatest(len(qq.t), 1) AS c FROM h JOIN qq USING (query_id) WHERE h.rank <= 3),
        ag AS (SELECT query_id, avg(c) AS ac, max(CASE WHEN rank = 1 THEN c END) AS c1 FROM cv GROUP BY ALL),
@@ -161,35 +161,36 @@ def _hits(t: Tables, k: int = 5) -> DataFrame:
     return r.top_k(text_scores(t), k, "doc_id").withColumn("score", F.round(F.col("score") / 100, 6)).join(t.documents.select("doc_id", "text"), "doc_id")
 
 
-@query(f"{_GRADE} SELECT query_id, score, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS level FROM gr")
+@query(f"{GRADE} SELECT query_id, score, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS level FROM gr")
 def crag_rules(t: Tables) -> DataFrame:
     return r.grade(benchmark_queries(t), _hits(t)).withColumn("score", F.round("score", 6))
 
 
-@query(f"{_GRADE} SELECT query_id, n, round(v, 6) AS variance, n >= 3 AND v < 0.1 AS rerank FROM mn")
+@query(f"{GRADE} SELECT query_id, n, round(v, 6) AS variance, n >= 3 AND v < 0.1 AS rerank FROM mn")
 def rerank_gate(t: Tables) -> DataFrame:
     return r.rerank_gate(_hits(t)).withColumn("variance", F.round("variance", 6))
 
 
-@query(f"""{_GRADE}, rs AS (SELECT h0.query_id, h0.doc_id, round(len(list_intersect(qq.t, list_distinct(list_filter(regexp_split_to_array(lower(d.text), '\\s+'), lambda x: x <> '')))) / greatest(len(qq.t), 1), 6) AS score
+@query(f"""{GRADE}, rs AS (SELECT h0.query_id, h0.doc_id, round(len(list_intersect(qq.t, list_distinct(list_filter(regexp_split_to_array(lower(d.text), '\\s+'), lambda x: x <> '')))) / greatest(len(qq.t), 1), 6) AS score
        FROM h0 JOIN documents d USING (doc_id) JOIN qq ON qq.query_id = h0.query_id), t AS ({top('rs', 3)}) SELECT query_id, doc_id, score AS rerank_score, rank FROM t""")
 def rerank_topk(t: Tables) -> DataFrame:
     out = r.rerank(benchmark_queries(t), _hits(t), 5, adaptive=False, key="doc_id")
     return _ranked(r.top_k(out.withColumn("rerank_score", F.round("rerank_score", 6)).drop("rank"), 3, "doc_id", "rerank_score")).select("query_id", "doc_id", "rerank_score", "rank")
 
 
-@query(f"""{_GRADE}, g2 AS (SELECT query_id, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS level FROM gr),
+@query(f"""{GRADE}, g2 AS (SELECT query_id, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS level FROM gr),
        ex AS ({top('bm', 8)}), bag AS (SELECT h0.query_id, h0.doc_id, round(h0.score / 100, 6) AS score, 0 AS more FROM h0 UNION ALL SELECT query_id, doc_id, round(score / 100, 6), 1 FROM ex),
        hi AS (SELECT bag.query_id, doc_id, score FROM bag JOIN g2 USING (query_id) WHERE level = 'high' AND more = 0),
        lo AS (SELECT bag.query_id, doc_id, round(count(*) / 61.0, 6) AS score FROM bag JOIN g2 USING (query_id) WHERE level <> 'high' GROUP BY ALL),
        un AS (SELECT * FROM hi UNION ALL SELECT * FROM lo), t AS ({top('un', 10)}) SELECT query_id, doc_id, score, rank FROM t""")
 def crag_correct(t: Tables) -> DataFrame:
-    hits, more = _hits(t), _hits(t, 8)
+    more = _hits(t, 8)  # searched once
+    hits = more.where("rank <= 5")
     v = r.grade(benchmark_queries(t), hits).withColumn("score", F.round("score", 6)).withColumn("level", F.when(F.col("score") >= 0.6, "high").when(F.col("score") >= 0.3, "medium").otherwise("low"))
     return _ranked(r.correct(v, hits, more, more, 10, "doc_id").withColumn("score", F.round("score", 6)))
 
 
-@query(f"""{_GRADE}, an AS (SELECT q.query_id, CASE WHEN regexp_matches(lower(text), '\\?$') THEN 'boolean' ELSE 'unknown' END AS k0 FROM q),
+@query(f"""{GRADE}, an AS (SELECT q.query_id, CASE WHEN regexp_matches(lower(text), '\\?$') THEN 'boolean' ELSE 'unknown' END AS k0 FROM q),
        be AS (SELECT query_id, max(score) AS best FROM h GROUP BY ALL)
        SELECT q.query_id, coalesce(be.best, 0.0) AS best, coalesce(be.best, 0.0) >= 0.15 AS answerable FROM q LEFT JOIN be USING (query_id)""")
 def answerability(t: Tables) -> DataFrame:
@@ -197,7 +198,7 @@ def answerability(t: Tables) -> DataFrame:
     return r.answerable(q, _hits(t), F.lit("unknown"), F.lit(0.15)).select("query_id", "best", "answerable")
 
 
-@query(f"""{_GRADE}, pt AS (SELECT h0.query_id, h0.doc_id, h0.rank, d.source, d.text FROM (SELECT * FROM ({top('bm', 20)})) h0 JOIN documents d USING (doc_id)),
+@query(f"""{GRADE}, pt AS (SELECT h0.query_id, h0.doc_id, h0.rank, d.source, d.text FROM (SELECT * FROM ({top('bm', 20)})) h0 JOIN documents d USING (doc_id)),
        f1 AS (SELECT *, min(rank) OVER (PARTITION BY query_id, source) AS first, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n FROM pt),
        f2 AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY first) AS g FROM f1 WHERE n <= 2)
        SELECT query_id, source AS file_name, g AS paper_no, n AS excerpt_no, substring(text, 1, 300) AS excerpt FROM f2 WHERE g <= 5""")
@@ -208,7 +209,7 @@ def group_excerpts(t: Tables) -> DataFrame:
     return run(hits).withColumns({c: F.col(c).cast("long") for c in ("paper_no", "excerpt_no")})
 
 
-@query(f"""{_GRADE}, ctx AS (SELECT h.query_id, string_agg('[来源' || h.rank || '] unknown' || chr(10) || h.text, chr(10) || chr(10) ORDER BY h.rank) AS context FROM h GROUP BY ALL)
+@query(f"""{GRADE}, ctx AS (SELECT h.query_id, string_agg('[来源' || h.rank || '] unknown' || chr(10) || h.text, chr(10) || chr(10) ORDER BY h.rank) AS context FROM h GROUP BY ALL)
        SELECT query_id, md5(context) AS digest, length(context) AS n_chars FROM ctx""")
 def answer_context(t: Tables) -> DataFrame:
     from lectern.plans.pipelines import answer_context as run

@@ -20,24 +20,24 @@ def paragraph_split(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", p.alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 
-_SENT = r"list_filter(list_transform(string_split(regexp_replace({0}, '([{1}]){2}', '\1' || chr(30), 'g'), chr(30)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({0}, '([{1}]){2}', '\1' || chr(30), 'g'), chr(30)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 
 
 def _digest(t: Tables, p) -> DataFrame:
     return t.documents.select("doc_id", p.alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 
-@query(f"SELECT doc_id, CAST(len(p) AS BIGINT) AS n, md5(array_to_string(p, '|')) AS digest FROM (SELECT doc_id, {_SENT.format('text', '。！？.!?', chr(92) + 's*')} AS p FROM documents)")
+@query(f"SELECT doc_id, CAST(len(p) AS BIGINT) AS n, md5(array_to_string(p, '|')) AS digest FROM (SELECT doc_id, {SENTENCES.format('text', '。！？.!?', chr(92) + 's*')} AS p FROM documents)")
 def sentence_split(t: Tables) -> DataFrame:
     return _digest(t, tx.sentences("text"))
 
 
-@query(f"SELECT doc_id, CAST(len(p) AS BIGINT) AS n, md5(array_to_string(p, '|')) AS digest FROM (SELECT doc_id, {_SENT.format('text', '，,；;', chr(92) + 's*')} AS p FROM documents)")
+@query(f"SELECT doc_id, CAST(len(p) AS BIGINT) AS n, md5(array_to_string(p, '|')) AS digest FROM (SELECT doc_id, {SENTENCES.format('text', '，,；;', chr(92) + 's*')} AS p FROM documents)")
 def clause_split(t: Tables) -> DataFrame:
     return _digest(t, tx.clauses("text"))
 
 
-@query(f"SELECT doc_id, CAST(len(p) AS BIGINT) AS n, md5(array_to_string(p, '|')) AS digest FROM (SELECT doc_id, {_SENT.format('text', '.!?', chr(92) + 's+')} AS p FROM documents)")
+@query(f"SELECT doc_id, CAST(len(p) AS BIGINT) AS n, md5(array_to_string(p, '|')) AS digest FROM (SELECT doc_id, {SENTENCES.format('text', '.!?', chr(92) + 's+')} AS p FROM documents)")
 def plain_sentence_split(t: Tables) -> DataFrame:
     return _digest(t, tx.plain_sentences("text"))
 
