@@ -71,6 +71,27 @@ def test_lemma_bound_holds():
         assert found or edits(ITEM.lower(), " ".join(text.lower().split())) > index.edits[0]
 
 
+def test_search_against_all_pairs(spark, frame):
+    """Found are exactly the pairs that full dynamic programming over every document and passage finds, within the budget."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 6)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    items = [line(rng.randrange(3, 18)) for _ in range(12)]
+    items += [items[5], "ab " * 20, "abab abab abab abab"]  # one twice, two that repeat themselves
+    docs = [line(30) for _ in range(6)]
+    for _ in range(24):
+        own = rng.choice(items)
+        docs.append(line(rng.randrange(9)) + rng.choice([" ", "  \n", ""]) + spoil(own, rng.randrange(len(own) // 9 + 2), rng).upper() + " " + line(rng.randrange(9)))
+    norm = lambda x: " ".join(x.lower().split())
+    budget = lambda x: min(int(dc.RATE * len(x)), (len(x) - dc.Q) // dc.Q)
+    want = {(d, i) for d, t in enumerate(docs) for i, x in enumerate(map(norm, items)) if len(x) >= dc.Q and edits(x, norm(t)) <= budget(x)}
+    found = dc.find_leaks(frame(list(enumerate(docs))), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(want) > 10
+    for r in found:
+        x = norm(items[r.item_id])
+        assert edits(x, norm(docs[r.doc_id])) <= r.edits <= budget(x)
+
+
 def test_odd_rows(odd, empty, bench):
     assert dc.find_leaks(odd, bench).collect() == [] and dc.find_leaks(empty, bench).collect() == []
     assert dc.find_leaks(odd, bench.limit(0)).collect() == []

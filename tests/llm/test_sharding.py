@@ -1,5 +1,6 @@
 """Differencing on its own, and whole shardings."""
 
+import heapq
 import zlib
 
 import numpy as np
@@ -26,6 +27,21 @@ def test_differencing_is_consistent():
     assert all(sorted(row) == list(range(7)) for row in to)
 
 
+@pytest.mark.parametrize("shards", [2, 3, 8])
+def test_differencing_against_plain(shards):
+    rng = np.random.default_rng(shards)
+    sums = np.zeros((150, shards), int)
+    sums[:, 0] = rng.integers(1, 1 << 40, 150)  # no two spreads are equal
+    heap = [(-int(x), [0] * (shards - 1) + [int(x)]) for x in sums[:, 0]]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
+        both = sorted(x + y for x, y in zip(a, reversed(b), strict=True))
+        heapq.heappush(heap, (both[0] - both[-1], both))
+    plain = heap[0][1]
+    assert np.diff(sorted(sharding.difference(sums)[1])).tolist() == np.diff(plain).tolist()
+
+
 def rows(df, **kw):
     return sharding.assign_shards(df, **kw).collect()
 
