@@ -69,3 +69,27 @@ def licenses_sql() -> str:
            CAST(pl.hi AS BIGINT) AS last_word, coalesce(su.base_labels, '') AS base_labels, coalesce(su.labels, '') AS labels,
            CAST(coalesce(su.score, 0.0) AS DOUBLE) AS score
     FROM w LEFT JOIN su ON su.doc_id = w.doc_id LEFT JOIN pl ON pl.doc_id = w.doc_id"""
+
+
+def resample_sql(percent: int = 10, least: int = 20, seed: str = "2024") -> str:
+    """CRC-32 is worked out from its table's rule, once a different word."""
+    n = 10000
+    words = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+    WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+                     lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    dw AS (SELECT doc_id, unnest({words.format(_LOW.format("coalesce(text, '')"))}) AS w FROM documents),
+    bw AS (SELECT unnest({words.format(_LOW.format("coalesce(text, '')"))}) AS w FROM benchmark),
+    vocab AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+    code AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+                    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % {n} AS b FROM vocab, tab),
+    s AS (SELECT b, count(*) AS n FROM dw JOIN code USING (w) GROUP BY b),
+    t AS (SELECT b, count(*) AS n FROM bw JOIN code USING (w) GROUP BY b),
+    tot AS (SELECT CAST((SELECT coalesce(sum(n), 0) FROM s) AS DOUBLE) AS s, CAST((SELECT coalesce(sum(n), 0) FROM t) AS DOUBLE) AS t),
+    gain AS (SELECT s.b, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * (tot.s + {n}) / ((s.n + 1.0::DOUBLE) * (tot.t + {n})))) AS BIGINT) AS g FROM s LEFT JOIN t USING (b), tot),
+    wt AS (SELECT doc_id, count(*) AS n, sum(g) AS weight FROM dw JOIN code USING (w) JOIN gain USING (b) GROUP BY doc_id),
+    sc AS (SELECT d.doc_id, CAST(coalesce(wt.n, 0) AS BIGINT) AS n_features, CAST(coalesce(wt.weight, 0) AS BIGINT) AS weight,
+                  CAST(coalesce(wt.weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{seed}:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+           FROM documents d LEFT JOIN wt USING (doc_id)),
+    rk AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS many FROM sc WHERE n_features >= {least})
+    SELECT sc.*, CASE WHEN r <= {percent} * many // 100 THEN r END AS rank FROM sc LEFT JOIN rk USING (doc_id)"""
