@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, decontaminate, langid, licenses, masked_lm, mixing, near_dup, oracles, resample, sharding, substring, wrapper
+from lectern.llm import ann, decontaminate, langid, licenses, masked_lm, mixing, near_dup, oracles, periodic, resample, sharding, substring, wrapper
 from lectern.session import ship
 
 
@@ -59,12 +59,17 @@ def op10_masked_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.find_runs(_table(spark, sf_dir, "documents"), periodic.planted, texts=False)
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 def op12_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multiprobe_lsh, op2_raking_mixture, op3_crf_language, op4_wrapper_text, op5_rabin_karp_windows, op6_qgram_bands, op7_karmarkar_karp, op8_diagonal_voting, op9_bayes_minhash, op10_masked_window, op12_importance_draw)}
+    return {f.__name__: f for f in (op1_multiprobe_lsh, op2_raking_mixture, op3_crf_language, op4_wrapper_text, op5_rabin_karp_windows, op6_qgram_bands, op7_karmarkar_karp, op8_diagonal_voting, op9_bayes_minhash, op10_masked_window, op11_word_runs, op12_importance_draw)}
 
 
 def oracle_sql() -> dict[str, str]:
