@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, decontaminate, langid, licenses, masked_lm, mixing, near_dup, oracles, periodic, resample, sharding, substring, wrapper
+from lectern.llm import ann, decontaminate, langid, licenses, masked_lm, mixing, near_dup, oracles, periodic, resample, sharding, substring, toxicity, wrapper
 from lectern.session import ship
 
 
@@ -68,8 +68,15 @@ def op12_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = toxicity.rate(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    held = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 1
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_toxic")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multiprobe_lsh, op2_raking_mixture, op3_crf_language, op4_wrapper_text, op5_rabin_karp_windows, op6_qgram_bands, op7_karmarkar_karp, op8_diagonal_voting, op9_bayes_minhash, op10_masked_window, op11_word_runs, op12_importance_draw)}
+    return {f.__name__: f for f in (op1_multiprobe_lsh, op2_raking_mixture, op3_crf_language, op4_wrapper_text, op5_rabin_karp_windows, op6_qgram_bands, op7_karmarkar_karp, op8_diagonal_voting, op9_bayes_minhash, op10_masked_window, op11_word_runs, op12_importance_draw, op13_subsequence_svm)}
 
 
 def oracle_sql() -> dict[str, str]:
