@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -180,7 +181,7 @@ class Model:
     def score(self, top: np.ndarray) -> np.ndarray:
         """Scores of documents, given the decisions on their three most toxic pieces."""
         x = (np.clip(top, FLOOR, 1.5) - FLOOR) / (1.5 - FLOOR)
-        z = self.top[0] + self.top[1] * x[:, 0] + self.top[2] * x[:, 1:].mean(axis=1)
+        z = self.top[0] + x @ self.top[1:]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -195,6 +196,11 @@ def best_three(doc: np.ndarray, decision: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def decide_documents(model: Model, texts: list[str | None]) -> np.ndarray:
+    """The three largest decisions of each text."""
+    return _judge(model, pa.array(texts, pa.string()))
+
+
 def _judge(model: Model, column: pa.Array) -> np.ndarray:
     """The three largest decisions of each text; every different word is decided on once a block."""
     buf, offsets = tokens.utf8(column)
@@ -278,7 +284,7 @@ def fit(positive: list[list[str]], negative: list[list[str]], seeds: list[str],
     clean sentences of one piece from then on.
     """
     rank = {s: i for i, s in enumerate(seeds)}
-    witness = sorted({min((p for p in s if p in rank), key=rank.__getitem__) for s in positive})
+    witness = Counter(min((p for p in s if p in rank), key=rank.__getitem__) for s in positive)
     plain = sorted({p for s in negative for p in s})
     if not witness or not plain:
         return None
@@ -294,25 +300,27 @@ def fit(positive: list[list[str]], negative: list[list[str]], seeds: list[str],
     model, added = None, []
     for turn in range(ROUNDS):
         if turn:
-            picked = {max(zip(model.decide(s), [-len(p) for p in s], s, strict=True))[2] for s in positive}
-            witness = sorted(picked)
+            witness = Counter(max(zip(model.decide(s), [-len(p) for p in s], s, strict=True))[2] for s in positive)
             added = sorted(set(added) | set(hard(model)))
-        yes, no = [*witness, *_varied(witness), *_varied(witness[::-1])], [*clean, *added]
+        own = sorted(witness)
+        yes, no = [*own, *_varied(own), *_varied(own[::-1])], [*clean, *added]
         no = [p for p in [*no, *_varied(no[: len(no) // 2])] if p not in rank]
         texts = yes + no
         x = np.vstack([kernel(texts[k : k + 4000], landmarks) @ root for k in range(0, len(texts), 4000)])
         y = np.r_[np.ones(len(yes)), -np.ones(len(no))]
-        w = svm(x, y, np.where(y > 0, 4 * min(5.0, max(1.0, len(no) / len(yes) / 4)), 4.0))
+        c = np.where(y > 0, 4 * min(5.0, max(1.0, len(no) / len(yes) / 4)), 4.0)
+        c[: len(own)] *= [1 + np.log2(witness[p]) for p in own]  # for the sentences it stands for
+        w = svm(x, y, c)
         weight = np.bincount(place, (root @ w[:-1])[of] * share, len(keys))
-        model = Model(keys, weight, min(float(w[-1]), FLOOR), np.array([-5.0, 10.0, 0.0]))
+        model = Model(keys, weight, min(float(w[-1]), FLOOR), np.array([-5.0, 10.0, 0.0, 0.0]))
     return model
 
 
 def _calibrated(model: Model, top: np.ndarray, y: np.ndarray) -> Model:
     """The logistic weights of a document's three decisions."""
     x = (np.clip(top, FLOOR, 1.5) - FLOOR) / (1.5 - FLOOR)
-    x = np.column_stack([np.ones(len(x)), x[:, 0], x[:, 1:].mean(axis=1)])
-    w, prior = np.array([-4.0, 8.0, 0.0]), np.diag([1e-3, 0.02, 0.02])
+    x = np.column_stack([np.ones(len(x)), x])
+    w, prior = np.array([-4.0, 8.0, 0.0, 0.0]), np.diag([1e-3, 0.02, 0.02, 0.02])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w = w - np.linalg.solve(prior + (x * (p * (1 - p) + 1e-9)[:, None]).T @ x, x.T @ (p - y) + prior @ w)
