@@ -11,6 +11,7 @@ from lectern.plans.catalog import Tables, query
 from lectern.plans.queries_retrieval import GRADE
 from lectern.plans.queries_text import SENTENCES, norm_sql
 from lectern.streaming import incremental as inc
+from lectern.streaming import state
 
 
 def _gold(t: Tables) -> DataFrame:
@@ -192,10 +193,13 @@ def image_priority(t: Tables) -> DataFrame:
     return layout.image_priority(s).select("query_id", "image_path", "priority")
 
 
-@query("""WITH RECURSIVE o AS (SELECT user_id || '|' || event_type AS key, ts, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events),
+_CACHE = """WITH RECURSIVE o AS (SELECT user_id || '|' || event_type AS key, ts, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events),
        f AS (SELECT key, ts, event_id, i, ts AS made, false AS hit FROM o WHERE i = 1
              UNION ALL SELECT o.key, o.ts, o.event_id, o.i, CASE WHEN o.ts - f.made < INTERVAL 24 HOUR THEN f.made ELSE o.ts END, o.ts - f.made < INTERVAL 24 HOUR FROM f JOIN o ON o.key = f.key AND o.i = f.i + 1)
-       SELECT event_id, key, hit FROM f""")
+       SELECT event_id, key, hit FROM f"""
+
+
+@query(_CACHE)
 def ttl_cache(t: Tables) -> DataFrame:
     req = t.events.select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), "ts", "event_id")
     return inc.cache_outcomes(req, 24 * 3600).select("event_id", "key", "hit")
@@ -206,6 +210,26 @@ def threshold_trigger(t: Tables) -> DataFrame:
     return inc.trigger_points(t.events).select("event_id", "user_id", F.col("seen").cast("long").alias("seen"), "firing")
 
 
+@query(_CACHE)
+def ttl_cache_stream(t: Tables) -> DataFrame:
+    req = t.events.select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), "ts", "event_id")
+    return state.replay(req, lambda s: state.cache_stream(s, 24 * 3600, "1 day")).select("event_id", "key", "hit")
+
+
+@query("""WITH o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seen FROM events)
+       SELECT user_id, CAST(ceil(seen / 10) AS BIGINT) AS firing, max_by(event_id, seen) AS event_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY seen) AS members
+       FROM o GROUP BY user_id, CAST(ceil(seen / 10) AS BIGINT) HAVING count(*) = 10""")
+def threshold_stream(t: Tables) -> DataFrame:
+    out = state.replay(t.events.select(F.col("user_id").alias("key"), "ts", "event_id"), lambda s: state.threshold_stream(s, 10, "1 day"))
+    return out.select(F.col("key").cast("long").alias("user_id"), "firing", "event_id", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
+@query("""WITH c AS (SELECT event_id % 5 AS part, count(*) AS rows FROM events GROUP BY ALL), r AS (SELECT *, CAST(sum(rows) OVER (ORDER BY part) AS BIGINT) AS total FROM c)
+       SELECT total, rows FROM r WHERE total // 300 > (total - rows) // 300""")
+def autosave_points(t: Tables) -> DataFrame:
+    return state.autosaved(t.events.select("event_id"), "event_id % 5", 5, 300)
+
+
 @query("""SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS recent FROM events""")
 def sliding_rate(t: Tables) -> DataFrame:
     return inc.sliding_requests(t.events, "event_type", seconds=3600).select("event_id", "recent")

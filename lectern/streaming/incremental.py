@@ -58,29 +58,6 @@ def cache_outcomes(requests: DataFrame, ttl: int = 3600) -> DataFrame:
     return rows.mapInPandas(run, "key string, ts timestamp, event_id long, hit boolean")
 
 
-def cache_stream(requests: DataFrame, ttl: int = 3600) -> DataFrame:
-    """The same as a stateful stream: state per key is the time its entry was made; it times out by event time."""
-
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        made = state.get[0] if state.exists else None
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            hits = []
-            for t in pdf["ts"]:
-                now = t.timestamp()
-                hit = made is not None and now - made < ttl
-                made = made if hit else now
-                hits.append(hit)
-            yield pd.DataFrame({"key": [key[0]] * len(pdf), "event_id": pdf["event_id"], "hit": hits})
-        state.update((made,))
-        state.setTimeoutTimestamp(max(int((made + ttl) * 1000), state.getCurrentWatermarkMs() + 1))
-
-    return requests.withWatermark("ts", f"{ttl} seconds").groupBy("key").applyInPandasWithState(run, "key string, event_id long, hit boolean", "made double", "append", "EventTimeTimeout")
-
-
 def evictions(entries: DataFrame, most: int = 100) -> DataFrame:
     """Entries (key, made) that stay when the oldest-made over `most` are evicted."""
     return entries.orderBy(F.desc("made"), "key").limit(most)
@@ -108,15 +85,3 @@ def sessions(events: DataFrame, by: str, gap: str = "30 minutes", watermark: str
     source = events.withWatermark("ts", watermark) if events.isStreaming else events
     return source.groupBy(by, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
-
-def autosaver(save, every: int = 100):
-    """A foreachBatch function that counts operations and calls save(total) each time another `every` are reached."""
-    done = 0
-
-    def batch(df: DataFrame, batch_id: int) -> None:
-        nonlocal done
-        before, done = done, done + df.count()
-        if done // every > before // every:
-            save(done)
-
-    return batch

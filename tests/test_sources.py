@@ -77,19 +77,6 @@ def test_ingest_stream_once(spark, tmp_path):
     assert {r.file_name for r in spark.read.parquet(table).collect()} == {"a.txt", "b.txt"}
 
 
-def test_cache_stream_equals_batch(spark, tmp_path):
-    rows = [("k", f"2024-01-01 00:{m:02d}:00", i) for i, m in enumerate((0, 10, 30, 59))] + [("j", "2024-01-01 00:00:00", 9)]
-    df = spark.createDataFrame(rows, "key string, ts string, event_id long").withColumn("ts", F.to_timestamp("ts"))
-    want = sorted((r.event_id, r.hit) for r in incremental.cache_outcomes(df, 1800).collect())
-    assert want == [(0, False), (1, True), (2, False), (3, True), (9, False)]
-    df.write.parquet(str(tmp_path / "in"))
-    out = incremental.cache_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 1800)
-    q = out.writeStream.format("memory").queryName("cache_stream").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted((r.event_id, r.hit) for r in spark.table("cache_stream").collect()) == want
-
-
 def test_rate_windows_stream(spark, tmp_path):
     rows = [(f"2024-01-01 00:00:{s:02d}",) for s in range(40)] + [("2024-01-01 02:00:00",)]
     df = spark.createDataFrame(rows, "ts string").withColumn("ts", F.to_timestamp("ts"))
