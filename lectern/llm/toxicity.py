@@ -36,6 +36,10 @@ PIECE = 24
 #: Scores of pieces matter from here on.
 FLOOR = -0.5
 _GAP = "\0" * 5
+#: By letters: the length of a text's weights if no subsequence stands in it twice, which is the least there is.
+_LEAST_LENGTH = np.sqrt([sum(max(0, n - p[-1]) * DECAY ** (2 * p[-1] + 2) for p in PATTERNS) for n in range(2 * PIECE + 1)])
+#: Words whose decisions a task keeps.
+KNOWN_WORDS = 2_000_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+")
 _BLANKS = re.compile(r"[\x20\x09-\x0D]+")
@@ -49,7 +53,8 @@ def _letters() -> np.ndarray:
 
 def pieces_of(word: str) -> list[str]:
     """The word in lower case without signs at its edges, in windows if it is long."""
-    w = _EDGE.sub("", word.lower())
+    w = word.lower()
+    w = w if w.isalnum() else _EDGE.sub("", w)
     return [w] if len(w) <= PIECE else [w[k : k + PIECE] for k in range(0, len(w) - PIECE // 2, PIECE // 2)]
 
 
@@ -165,12 +170,15 @@ class Model:
             return out
         code, own = _codes(texts)
         total = np.zeros(len(texts))
+        letters = np.bincount(own, code != 0, len(texts)).astype(int)
+        whole = letters == np.array([len(t) for t in texts])
         for at, key, weight in _subsequences(code):
             hit = np.flatnonzero(self.known[self._slot(key)])
             place = np.minimum(np.searchsorted(self.keys, key[hit]), len(self.keys) - 1)
             good = self.keys[place] == key[hit]
             total += np.bincount(own[at[hit[good]]], self.weights[place[good]] * weight, len(texts))
-        some = np.flatnonzero(total > 0)  # the bias is negative, so others stay below
+        # a text of letters alone has this length at least; what stays below FLOOR with it needs no exact length
+        some = np.flatnonzero((total > 0) & (total > np.where(whole, (FLOOR - self.bias) * _LEAST_LENGTH[np.minimum(letters, 2 * PIECE)], 0)))
         if len(some):
             row, key, weight = features([texts[i] for i in some])
             place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -201,31 +209,59 @@ def decide_documents(model: Model, texts: list[str | None]) -> np.ndarray:
     return _judge(model, pa.array(texts, pa.string()))
 
 
-def _judge(model: Model, column: pa.Array) -> np.ndarray:
-    """The three largest decisions of each text; every different word is decided on once a block."""
+class Known:
+    """Decisions on words, by their hashes; begins anew when there are KNOWN_WORDS."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.decisions, self.single = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool)
+
+    def missing(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.ones(len(hashes), bool)
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] != hashes
+
+    def add(self, hashes: np.ndarray, decisions: np.ndarray, single: np.ndarray) -> None:
+        own = (np.concatenate(x) for x in zip((self.hashes, self.decisions, self.single), (hashes, decisions, single), strict=True))
+        h, d, s = own
+        by = np.argsort(h, kind="stable")
+        self.hashes, self.decisions, self.single = h[by], d[by], s[by]
+
+
+def _judge(model: Model, column: pa.Array, seen: Known | None = None) -> np.ndarray:
+    """The three largest decisions of each text; every different word is decided on once."""
+    seen = seen or Known()
     buf, offsets = tokens.utf8(column)
     out = np.full((len(offsets) - 1, 3), FLOOR)
-    for lo, hi in tokens.blocks(offsets):
+    for lo, hi in tokens.blocks(offsets, 4 << 20):
         part = offsets[lo : hi + 1]
         own, base = buf[part[0] : part[-1]], part - part[0]
         h, starts, ends, first = tokens.words(own, base, lower=True)
         if not len(h):
             continue
         raw = own.tobytes()
-        _, at, of = np.unique(h, return_index=True, return_inverse=True)
-        split = [pieces_of(raw[starts[i] : ends[i]].decode()) for i in at]
-        flat = [p for s in split for p in s]
-        decision = np.maximum.reduceat(model.decide(flat), np.cumsum([0] + [len(s) for s in split[:-1]]))
+        if len(seen.hashes) > KNOWN_WORDS:
+            seen.clear()
+        unique, at, of = np.unique(h, return_index=True, return_inverse=True)
+        new = np.flatnonzero(seen.missing(unique))
+        if len(new):
+            split = [pieces_of(raw[starts[i] : ends[i]].decode()) for i in at[new].tolist()]
+            flat = [p for s in split for p in s]
+            decision = np.maximum.reduceat(model.decide(flat), np.cumsum([0] + [len(s) for s in split[:-1]]))
+            seen.add(unique[new], decision, np.array([len(s[0]) == 1 for s in split]))
+        place = np.searchsorted(seen.hashes, unique)
+        decision, single = seen.decisions[place], seen.single[place][of]
         text = np.repeat(np.arange(hi - lo), np.diff(first))
         # words of one letter in a row
-        single = np.array([len(s[0]) == 1 for s in split])[of]
         edge = np.diff(np.concatenate([[0], single.view(np.int8), [0]]))
         cut = np.flatnonzero(single[1:] & single[:-1] & (text[1:] != text[:-1])) + 1
         begin, end = np.sort(np.r_[np.flatnonzero(edge == 1), cut]), np.sort(np.r_[np.flatnonzero(edge == -1), cut])
         spelt, where = [], []
         for a, b in zip(begin.tolist(), end.tolist(), strict=True):
             if b - a >= 3:
-                spelt += (more := pieces_of("".join(split[k][0] for k in of[a:b].tolist())))
+                spelt += (more := pieces_of("".join(pieces_of(raw[starts[k] : ends[k]].decode())[0] for k in range(a, b))))
                 where += [int(text[a])] * len(more)
         hit = np.flatnonzero(decision[of] > FLOOR)
         doc = np.concatenate([text[hit], np.array(where, np.int64)])
@@ -375,8 +411,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _top_of(model: Model):
     def top_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Known()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(_judge(model, batch.column(0)).tolist(), pa.list_(pa.float64()))], names=["toxic", "top"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(_judge(model, batch.column(0), seen).tolist(), pa.list_(pa.float64()))], names=["toxic", "top"])
 
     return top_of
 
@@ -391,11 +428,12 @@ def rate(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB at most: LANDMARKS pieces and their subsequences
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Known()
         for batch in tokens.regrouped(batches, 1, 4 << 20):
             if shared.value is None:
                 top, score = np.full((batch.num_rows, 3), FLOOR), np.zeros(batch.num_rows)
             else:
-                top = _judge(shared.value, batch.column(1))
+                top = _judge(shared.value, batch.column(1), seen)
                 score = shared.value.score(top)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((top > 0).sum(axis=1))], names=["doc_id", "score", "n_toxic"])
 
