@@ -13,6 +13,9 @@ from lectern.llm import tokens
 from lectern.llm.common import NULL_ID, bounded, id_key, several_texts
 
 CHUNK_WORDS = 2_000_000
+#: Hash ranges that a task deals its windows to, at most: beyond, rows would hold few windows each. Where more are needed, each
+#: range is dealt out again, to SPLIT finer ones.
+MOST_BUCKETS, SPLIT = 1 << 14, 1 << 8
 _SENT = "bucket int, payload binary, hits binary"
 _HITS = pa.schema([("group", pa.int32()), ("hits", pa.binary())])
 
@@ -27,14 +30,14 @@ def pack(rising: np.ndarray) -> bytes:
 def planes(values: np.ndarray) -> bytes:
     values = values.astype(np.uint64)
     n = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
-    return np.array([len(values), n], np.int64).tobytes() + np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+    return len(values).to_bytes(4, "little") + bytes([n]) + np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
 
 
 def unplanes(data: memoryview, at: int) -> tuple[np.ndarray, int]:
-    size, n = np.frombuffer(data, np.int64, 2, at)
+    size, n = int.from_bytes(data[at : at + 4], "little"), data[at + 4]
     out = np.zeros((size, 8), np.uint8)
-    out[:, :n] = np.frombuffer(data, np.uint8, size * n, at + 16).reshape(n, size).T
-    return out.reshape(-1).view(np.uint64), at + 16 + int(size * n)
+    out[:, :n] = np.frombuffer(data, np.uint8, size * n, at + 5).reshape(n, size).T
+    return out.reshape(-1).view(np.uint64), at + 5 + size * n
 
 
 def pack_docs(ids: np.ndarray, subs: np.ndarray) -> bytes:
@@ -86,34 +89,67 @@ def repeats(h: np.ndarray, doc: np.ndarray, sub: np.ndarray, start: np.ndarray)
     return by[(doc[by] != doc[lead]) | (sub[by] != sub[lead]) | (start[by] != start[lead])]  # rows that repeat a document have the same place
 
 
-def _sender(width: int, buckets: int):
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
-    schema = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("hits", pa.binary())])
+def pack_windows(h: np.ndarray, doc: np.ndarray, sub: np.ndarray, start: np.ndarray) -> bytes:
+    """Windows in rising order of their hashes, and only the documents that they stand in."""
+    by = np.lexsort((sub, doc))
+    new = changes(doc[by], sub[by])
+    number = np.empty(len(h), np.int64)
+    number[by] = np.cumsum(new) - 1
+    first = by[new]
+    return pack(h) + planes(number) + planes(start) + pack_docs(doc[first], sub[first])
+
+
+def unpack_windows(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    steps, at = unplanes(data, 0)
+    number, at = unplanes(data, at)
+    start, at = unplanes(data, at)
+    ids, subs, _ = unpack_docs(data, at)
+    number = number.astype(np.int64)
+    return np.cumsum(steps, dtype=np.uint64), ids[number], subs[number], start.astype(np.int64)
+
+
+def _rows(h: np.ndarray, doc: np.ndarray, sub: np.ndarray, start: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """What a task sends of its windows: one row a hash range with the first place of each hash, and one with all other places."""
+    later = repeats(h, doc, sub, start)
+    by = np.lexsort((start, sub, doc, h))
+    keep = by[changes(h[by])]
+    bucket = (h[keep] >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64) if buckets > 1 else np.zeros(len(keep), np.int64)
+    cut = np.flatnonzero(np.diff(bucket)) + 1
+    parts = np.split(keep, cut) if len(keep) else []
+    rows = [[int(bucket[i]) for i in np.r_[0, cut]] if len(keep) else [], [pack_windows(h[x], doc[x], sub[x], start[x]) for x in parts], [None] * len(parts)]
+    if len(later):
+        for column, x in zip(rows, (int(doc[later[0]]) % buckets, None, pack_hits(doc[later], sub[later], start[later])), strict=True):
+            column.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["bucket", "payload", "hits"])
+
+
+def _split(buckets: int):
+    """Rows of one partition, sorted by hash range, go on in finer ranges: CHUNK_WORDS windows of a range at a time."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+        for batch in batches:
+            for bucket, payload, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if payload is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([None], pa.binary()), pa.array([hits], pa.binary())], names=["bucket", "payload", "hits"])
+                    continue
+                if held and (bucket != now or size >= CHUNK_WORDS):
+                    yield _rows(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+                    held, size = [], 0
+                now = bucket
+                held.append(unpack_windows(payload))
+                size += len(held[-1][0])
+        if held:
+            yield _rows(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+
+    return split
 
+
+def _sender(width: int, buckets: int):
     def flush(held: list) -> pa.RecordBatch:
         ids, subs, count, h = (np.concatenate([x[i] for x in held]) for i in range(4))
-        order = np.lexsort((subs, ids))  # windows in the order of document and start
-        at = np.cumsum(count) - count
-        take = np.repeat(at[order], count[order]) + np.arange(len(h)) - np.repeat(np.cumsum(count[order]) - count[order], count[order])
-        h, ids, subs, count = h[take], ids[order], subs[order], count[order]
-        first_window = np.cumsum(count) - count
-        of = np.repeat(np.arange(len(ids)), count)
-        start = np.arange(len(h)) - first_window[of]
-        later = repeats(h, ids[of], subs[of], start)
-        by = np.argsort(h, kind="stable")
-        keep = by[changes(h[by])]
-        docs = pack_docs(ids, subs) + pack(first_window)
-        at_bucket = np.searchsorted((h[keep] >> shift) if buckets > 1 else np.zeros(len(keep), np.uint64), np.arange(buckets + 1))
-        rows: list[list] = [[], [], []]
-        for b in range(buckets):
-            own = keep[at_bucket[b] : at_bucket[b + 1]]
-            if len(own):
-                for column, x in zip(rows, (b, pack(h[own]) + planes(own) + docs, None), strict=True):
-                    column.append(x)
-        if len(later):
-            for column, x in zip(rows, (int(ids[0]) % buckets, None, pack_hits(ids[of[later]], subs[of[later]], start[later])), strict=True):
-                column.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, schema.types, strict=True)], schema=schema)
+        start = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
+        return _rows(h, np.repeat(ids, count), np.repeat(subs, count), start, buckets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -143,16 +179,7 @@ def _judge(groups: int):
     group, packed, so that a document's places do not become a row for every bucket."""
 
     def judged(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts = []
-        for data in held:
-            steps, at = unplanes(data, 0)
-            own, at = unplanes(data, at)
-            ids, subs, at = unpack_docs(data, at)
-            first, _ = unplanes(data, at)
-            first, own = np.cumsum(first).astype(np.int64), own.astype(np.int64)
-            of = np.searchsorted(first, own, "right") - 1
-            parts.append((np.cumsum(steps, dtype=np.uint64), ids[of], subs[of], own - first[of]))
-        h, doc, sub, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, doc, sub, start = (np.concatenate(x) for x in zip(*map(unpack_windows, held), strict=True))
         later = repeats(h, doc, sub, start)
         return doc[later], sub[later], start[later]
 
@@ -234,7 +261,7 @@ def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
     other than the two named are not read.
 
     Each task hashes the windows of about 2 M words, keeps the first place of each hash and sends one packed row a hash
-    range; so a window that stands in a third of all documents arrives once a chunk, not once a document.
+    range, with the documents of its own windows only (10 to 13 bytes a window, however many ranges there are); so a window that stands in a third of all documents arrives once a chunk, not once a document.
     """
     docs = bounded(docs)
     source = docs.select(id_key(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("__text"))
@@ -248,7 +275,10 @@ def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = 1 << max(4, (size // (6 << 20)).bit_length())
     parts = max(1, min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    sent = source.mapInArrow(_sender(width, buckets), _SENT)
+    coarse = buckets if buckets <= MOST_BUCKETS else max(1, buckets // SPLIT)
+    sent = source.mapInArrow(_sender(width, coarse), _SENT)
+    if coarse < buckets:
+        sent = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_split(buckets), _SENT)
     judged = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(buckets), "group int, hits binary")
     hits = judged.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_gather, "doc long, of long, starts binary")
     joined = source.join(hits, (F.col("__id") == F.col("doc")) & (F.col("__sub") == F.col("of")), "left").select("__id", "__text", "starts")

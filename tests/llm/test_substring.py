@@ -86,3 +86,31 @@ def test_long_words_and_one_id_of_two_texts(frame):
 def test_unique_text_of_a_repeated_id_stays(frame):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     assert sorted(r[2] for r in result(frame([(1, a), (2, a), (2, b)]), 20)) == [0, 0, 30]
+
+
+def test_finer_ranges(frame, monkeypatch):
+    """Ranges that are dealt out twice give the same result."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(60)))) for i in range(80)]
+    want = sorted(brute(rows, 4), key=repr)
+    monkeypatch.setattr(substring, "MOST_BUCKETS", 4)
+    monkeypatch.setattr(substring, "SPLIT", 4)
+    assert result(frame(rows).repartition(6), 4) == want
+
+
+def test_bytes_sent_follow_the_words():
+    """A window takes about the same bytes for few ranges of hashes and for many."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    vocab = np.array([f"w{i}" for i in range(5000)])
+    texts = [" ".join(rng.choice(vocab, int(rng.integers(50, 700)))) for _ in range(5600)]
+    n = sum(max(0, t.count(" ") + 2 - 20) for t in texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.sort(rng.choice(10**7, len(texts), replace=False))), pa.array(np.zeros(len(texts), np.int64)), pa.array(texts)], names=["id", "sub", "text"])
+    each = []
+    for buckets in (32, 1024, 16384):
+        own = list(substring._sender(20, buckets)(iter([batch])))
+        assert sum(len(substring.unpack_windows(p)[0]) for b in own for p in b.column(1).to_pylist() if p) == n
+        each.append(sum(len(p) + 24 for b in own for p in b.column(1).to_pylist() if p) / n)
+    assert max(each) < 16 and max(each) < 1.5 * each[0], each
