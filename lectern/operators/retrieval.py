@@ -17,6 +17,8 @@ from lectern.functions import text as tx
 QUERY_BYTES = 16 << 20
 #: A block of queries that is scored as one matrix: its queries and bytes bound the matrix (about 50 MB).
 BLOCK_QUERIES, BLOCK_BYTES = 256, 128 << 10
+#: Vectors of queries that are broadcast at a time, and rows that are multiplied with them at a time (a matrix of 32 MB).
+QUERIES_A_BLOCK, ROWS_A_STEP = 4096, 1024
 
 
 def _small(df: DataFrame, text: str) -> DataFrame:
@@ -136,41 +138,103 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, ident: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """Exact cosine search: every (query_id, vector) of a stated, size-checked query set against all rows, in blocks.
+def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors (in double precision) of each length; vectors that are null, zero or not finite are left out."""
+    lens = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    for dim in np.unique(lens[lens > 0]):
+        own = np.flatnonzero(lens == dim)
+        x = column.take(pa.array(own)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(own), dim)  # a null component is not a number
+        scale = np.abs(x).max(axis=1)
+        good = np.isfinite(scale) & (scale > 0)
+        x = x[good] / scale[good][:, None]
+        yield own[good], x / np.sqrt((x * x).sum(axis=1))[:, None]
 
-    The queries of a block are broadcast and the corpus stays where it is; a partial top k runs before the one shuffle.
-    For approximate search over all rows see the multiprobe index among the corpus operators.
+
+def best_of(score: np.ndarray, k: int, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of the k best rows of each column, and of all within `tolerance` of them."""
+    if len(score) <= k:
+        return np.nonzero(np.isfinite(score))
+    least = np.partition(score, len(score) - k, axis=0)[len(score) - k]
+    return np.nonzero((score >= least - tolerance) & np.isfinite(score))
+
+
+def query_blocks(queries: DataFrame, vector: str) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Blocks of a stated query set: by the vectors' length, the ids and the unit vectors of QUERIES_A_BLOCK queries, about."""
+    blocks = max(1, -(-queries.count() // QUERIES_A_BLOCK))
+    for i in range(blocks):
+        rows = queries.select("query_id", vector).where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow().combine_chunks()
+        if rows.num_rows:
+            column = rows.column(1).chunk(0)
+            ids = rows.column(0).to_numpy()
+            yield {x.shape[1]: (ids[own], x) for own, x in by_length(column)}
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, ident: str = "chunk_id", vector: str = "embedding", by: str | None = None) -> DataFrame:
+    """Exact cosine search: every (query_id, vector) of a stated query set against all rows of its vector's length, in blocks.
+
+    A block of queries is broadcast (some 4096 vectors) and the corpus stays where it is: each slice of rows is one matrix
+    product, and only its best k a query go on to the one shuffle. Vectors that are null, zero or not finite take no part.
+    by: a column of vectors; the k best are those of each of its values. For approximate search see vectorindex.
     """
-    n = queries.count()
-    rows = vectors.select(ident, F.col(vector).alias("__v"))
     out = None
-    blocks = max(1, -(-n // 4096))
-    for i in range(blocks):
-        block = queries.select("query_id", F.col(vector).alias("__q")).where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        pairs = rows.join(F.broadcast(block), F.size("__q") == F.size("__v")).select("query_id", ident, cosine(F.col("__q"), F.col("__v")).alias("score"))
-        best = top_k(pairs.where("score is not null"), k, ident)
-        out = best if out is None else out.unionByName(best)
-    return out
+    groups = [by] if by else []
+    kind = {c: vectors.schema[c].dataType.simpleString() for c in [ident, *groups]}
+    schema = ", ".join(["query_id long", *(f"`{c}` {t}" for c, t in kind.items()), "score double"])
+    spark = vectors.sparkSession
+    for block in query_blocks(queries, vector):
+        shared = spark.sparkContext.broadcast(block)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, ROWS_A_STEP):
+                    part = batch.slice(lo, ROWS_A_STEP)
+                    for own, x in by_length(part.column(part.num_columns - 1)):
+                        if x.shape[1] not in shared.value or not len(own):
+                            continue
+                        ids, q = shared.value[x.shape[1]]
+                        code = part.column(1).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)[own] if by else np.zeros(len(own), int)
+                        for g in np.unique(code):
+                            rows = np.flatnonzero(code == g)
+                            score = x[rows] @ q.T
+                            d, j = best_of(score, k)
+                            yield pa.RecordBatch.from_arrays([pa.array(ids[j]), *(part.column(c).take(pa.array(own[rows[d]])) for c in range(part.num_columns - 1)), pa.array(np.clip(score[d, j], -1, 1))], names=["query_id", *kind, "score"])
+
+        found = vectors.select(ident, *groups, vector).mapInArrow(search, schema)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    w = Window.partitionBy("query_id", *groups).orderBy(F.desc("score"), F.col(ident))
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _sides(vector_hits: DataFrame, text_hits: DataFrame, key: str) -> DataFrame:
+    """One row a (query, key) with both sides' scores."""
+    side = lambda df, c: df.select("query_id", key, F.col("score").cast("double").alias(c))
+    return side(vector_hits, "v").join(side(text_hits, "b"), ["query_id", key], "full_outer")
+
+
+def _share(c: str, w: Window) -> Column:
+    """A score divided by the query's largest on that side, if that is positive."""
+    top = F.max(c).over(w)
+    return F.col(c) / F.when(top > 0, top).otherwise(1.0)
 
 
 def fuse(vector_hits: DataFrame, text_hits: DataFrame, k: int, alpha: float | Column = 0.5, key: str = "chunk_id") -> DataFrame:
-    """Linear fusion of scores divided by the query's largest on either side, with a small term for the better rank."""
+    """Linear fusion of scores divided by the query's largest on either side, with a small term for the better rank.
+
+    Each side is read once: one join, and all windows over the query behind one shuffle of the hits."""
     w = Window.partitionBy("query_id")
-    order = w.orderBy(F.desc("score"), F.col(key))
-    side = lambda df, s: df.select("query_id", key, F.col("score"), F.row_number().over(order).alias(f"rank_{s}"), F.max("score").over(w).alias("top"), F.count("*").over(w).alias(f"n_{s}")).select("query_id", key, (F.col("score") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)).alias(f"s_{s}"), f"rank_{s}", f"n_{s}")
-    both = side(vector_hits, "v").join(side(text_hits, "b"), ["query_id", key], "full_outer")
-    rank = lambda s: F.coalesce(f"rank_{s}", F.coalesce(F.max(f"n_{s}").over(w), F.lit(0)) + 1)
+    rank = lambda c: F.when(F.col(c).isNotNull(), F.row_number().over(w.orderBy(F.desc_nulls_last(c), F.col(key)))).otherwise(F.count(c).over(w) + 1)
     a = F.lit(alpha) if isinstance(alpha, (int, float)) else alpha
-    fused = a * F.coalesce("s_v", F.lit(0.0)) + (F.lit(1.0) - a) * F.coalesce("s_b", F.lit(0.0)) + F.lit(0.001) / (F.least(rank("v"), rank("b")) + 5)
+    fused = a * F.coalesce("s_v", F.lit(0.0)) + (F.lit(1.0) - a) * F.coalesce("s_b", F.lit(0.0)) + F.lit(0.001) / (F.least("r_v", "r_b") + 5)
+    both = _sides(vector_hits, text_hits, key).select("query_id", key, _share("v", w).alias("s_v"), _share("b", w).alias("s_b"), rank("v").alias("r_v"), rank("b").alias("r_b"))
     return top_k(both.select("query_id", key, fused.alias("score")), k, key)
 
 
 def simple_fuse(vector_hits: DataFrame, text_hits: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
     """Half of each normalised score where both sides found it, else the score of the one that did."""
     w = Window.partitionBy("query_id")
-    side = lambda df, s: df.select("query_id", key, F.col("score"), F.max("score").over(w).alias("top")).select("query_id", key, (F.col("score") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)).alias(s))
-    both = side(vector_hits, "v").join(side(text_hits, "b"), ["query_id", key], "full_outer")
+    both = _sides(vector_hits, text_hits, key).select("query_id", key, _share("v", w).alias("v"), _share("b", w).alias("b"))
     return top_k(both.select("query_id", key, F.coalesce(F.col("v") * 0.5 + F.col("b") * 0.5, "v", "b").alias("score")), k, key)
 
 

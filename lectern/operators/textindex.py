@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.session import shared_folder
 
 #: Deleted ids are broadcast up to this many, and joined by shuffle beyond.
 BROADCAST_IDS = 1_000_000
 #: Postings that one task scores, about; queries that are scored as one matrix; chunks of a step.
 TASK_POSTINGS, BLOCK_QUERIES, STEP = 4_000_000, 256, 512
-_COMMIT = "batch long, n_docs long, words long, kind string"
+_COMMIT = "batch long, n_docs long, n_texts long, words long, kind string"
 
 
 @dataclass
@@ -47,8 +49,8 @@ class TextIndex:
             out = part if out is None else out.unionByName(part)
         return out
 
-    def _commit(self, batch: int, n_docs: int, words: int, kind: str) -> None:
-        self.spark.createDataFrame([(batch, n_docs, words, kind)], _COMMIT).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{batch}")
+    def _commit(self, batch: int, sizes: tuple[int, int, int], kind: str) -> None:
+        self.spark.createDataFrame([(batch, *sizes, kind)], _COMMIT).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{batch}")
 
     def _live(self, table: str, commits: list) -> DataFrame | None:
         """Rows of a table by chunk that no later batch has deleted."""
@@ -65,13 +67,12 @@ class TextIndex:
         commits = self.commits()
         batch = commits[-1].batch + 1 if commits else 0
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        listed = chunks.select(F.col(self.ident), F.coalesce(tx.bm25_tokens(text), F.array().cast("array<string>")).alias("tokens")).select(self.ident, F.size("tokens").alias("dl"), "tokens")
+        listed = chunks.select(F.col(self.ident), tx.bm25_tokens(text).alias("tokens")).select(self.ident, F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("dl"), "tokens")
         listed.select(self.ident, "dl").write.mode("overwrite").parquet(f"{self.path}/docs/{batch}")
         one = listed.select(self.ident, "dl", F.explode("tokens").alias("token")).repartition(n, self.ident)  # grouped without another shuffle
         one.groupBy(self.ident, "token", "dl").agg(F.count("*").cast("int").alias("tf")).sortWithinPartitions("token").write.mode("overwrite").parquet(f"{self.path}/postings/{batch}")
         self.spark.read.parquet(f"{self.path}/postings/{batch}").groupBy("token").agg(F.count("*").alias("df")).sortWithinPartitions("token").write.mode("overwrite").parquet(f"{self.path}/freq/{batch}")
-        n_docs, words = self.spark.read.parquet(f"{self.path}/docs/{batch}").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        self._commit(batch, n_docs, words, "insert")
+        self._commit(batch, self._sizes(self.spark.read.parquet(f"{self.path}/docs/{batch}")), "insert")
 
     def delete(self, ids: DataFrame) -> None:
         """Removes chunks by id; ids that the index does not hold change nothing."""
@@ -83,16 +84,20 @@ class TextIndex:
         wanted = ids.select(self.ident).distinct()
         docs.join(wanted, self.ident, "left_semi").select(self.ident, "dl").write.mode("overwrite").parquet(f"{self.path}/gone/{batch}")
         gone = self.spark.read.parquet(f"{self.path}/gone/{batch}")
-        n_docs, words = gone.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        own = F.broadcast(gone.select(self.ident).distinct()) if n_docs <= BROADCAST_IDS else gone.select(self.ident).distinct()
+        sizes = self._sizes(gone)
+        own = F.broadcast(gone.select(self.ident).distinct()) if sizes[0] <= BROADCAST_IDS else gone.select(self.ident).distinct()
         self._live("postings", commits).join(own, self.ident, "left_semi").groupBy("token").agg((-F.count("*")).alias("df")).sortWithinPartitions("token").write.mode("overwrite").parquet(f"{self.path}/freq/{batch}")
-        self._commit(batch, -n_docs, -words, "delete")
+        self._commit(batch, tuple(-x for x in sizes), "delete")
+
+    @staticmethod
+    def _sizes(docs: DataFrame) -> tuple[int, int, int]:
+        """Chunks, those with a text, and their tokens."""
+        return tuple(docs.agg(F.count("*"), F.count("dl"), F.coalesce(F.sum("dl"), F.lit(0))).first())
 
     def stats(self) -> tuple[int, float]:
-        """Number of chunks and their mean length, from the commits alone."""
-        commits = self.commits()
-        n = sum(r.n_docs for r in commits)
-        return n, sum(r.words for r in commits) / n if n else 0.0
+        """Number of chunks and the mean length of those with a text, from the commits alone."""
+        n, texts, words = (sum(x) for x in zip(*((r.n_docs, r.n_texts, r.words) for r in self.commits()), strict=True)) if self.commits() else (0, 0, 0)
+        return n, words / texts if texts else 0.0
 
     def frequencies(self) -> DataFrame | None:
         """(token, df) of tokens that some chunk holds."""
@@ -146,10 +151,26 @@ class TextIndex:
             rows = rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.ident)
             (rows.sortWithinPartitions("token") if table == "postings" else rows).write.mode("overwrite").parquet(f"{target}/{table}/0")
         self.frequencies().sortWithinPartitions("token").write.mode("overwrite").parquet(f"{target}/freq/0")
-        out._commit(0, sum(r.n_docs for r in commits), sum(r.words for r in commits), "insert")
+        out._commit(0, tuple(sum(x) for x in zip(*((r.n_docs, r.n_texts, r.words) for r in commits), strict=True)), "insert")
         return out
 
 
+_built: dict[tuple, TextIndex] = {}
+
+
+def index_of(table: DataFrame, ident: str, text: str = "text") -> TextIndex:
+    """The index of a file table, built in the shared folder when it is first asked for in this application and read from then
+    on; a table whose files have changed gets a new one."""
+    spark = table.sparkSession
+    files = table.select("_metadata.file_path", F.unix_micros("_metadata.file_modification_time").alias("at"), "_metadata.file_size").distinct().collect()  # a row a file
+    key = (spark.sparkContext.applicationId, ident, text, *sorted(map(tuple, files)))
+    if key not in _built:
+        index = TextIndex(spark, f"{shared_folder(spark)}/textindex-{uuid.uuid4().hex}", ident)
+        index.insert(table.select(ident, text), text)
+        _built[key] = index
+    return _built[key]
+
+
 def _scorer(shared, ident: str, k: int, k1: float, b: float, avgdl: float, tolerance: float):
     """Rows of a partition, sorted by chunk: steps of whole chunks as (chunk, term) matrices, times the queries' weights."""
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators import retrieval as r
+from lectern.operators.textindex import index_of
+from lectern.operators.vectorindex import VectorIndex
 from lectern.plans.catalog import Tables, query
+from lectern.session import shared_folder
 
 _TOKENS = r"regexp_extract_all(regexp_replace(lower({}), '([a-z])[-_]([a-z])', '\1\2', 'g'), '[\p{{L}}\p{{N}}]+')"
 BM25 = rf"""
@@ -33,7 +38,7 @@ def benchmark_queries(t: Tables) -> DataFrame:
 
 
 def text_scores(t: Tables, queries: DataFrame | None = None) -> DataFrame:
-    return r.bm25_search(queries or benchmark_queries(t), t.documents.select("doc_id", "text"), 20, "doc_id").withColumn("score", F.round("score", 6))
+    return index_of(t.documents, "doc_id").search(queries or benchmark_queries(t), 20).withColumn("score", F.round("score", 6))
 
 
 def vector_queries(t: Tables) -> DataFrame:
@@ -86,16 +91,30 @@ def knn_cosine_topk(t: Tables) -> DataFrame:
     return _ranked(r.top_k(hits, 10, "vec_id")).select("query_id", "vec_id", "score", "rank")
 
 
+@query(f"WITH {COS}, t AS ({top('kn', 10)}) SELECT query_id, doc_id AS vec_id, score, rank FROM t")
+def ivf_every_list(t: Tables) -> DataFrame:
+    """The partitioned index with every list probed finds what the exact search does."""
+    index = VectorIndex.build(t.embeddings, f"{shared_folder(t.spark)}/ivf-{uuid.uuid4().hex}", 12, "vec_id")
+    hits = index.search(vector_queries(t), 12, 12).withColumn("score", F.round("score", 6)).drop("rank")
+    return _ranked(r.top_k(hits, 10, "vec_id")).select("query_id", "vec_id", "score", "rank")
+
+
+@query()
+def ivf_recall(t: Tables) -> DataFrame:
+    """Probes that reach nine tenths of the exact search's hits, and the share of the rows that they read."""
+    index = VectorIndex.build(t.embeddings, f"{shared_folder(t.spark)}/ivf-{uuid.uuid4().hex}", 32, "vec_id")
+    probes = index.probes_for(vector_queries(t), t.embeddings, 10)
+    recall, share = index.measure(vector_queries(t), t.embeddings, 10, probes)
+    return t.spark.createDataFrame([(probes, recall, share)], "probes int, recall double, share double")
+
+
 @query(f"""WITH {COS}, l AS (SELECT kn.query_id, e.label, kn.doc_id, kn.score FROM kn JOIN embeddings e ON e.vec_id = kn.doc_id WHERE kn.doc_id <> kn.query_id),
        t AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, doc_id) AS rank FROM l QUALIFY rank <= 2) SELECT query_id, label, doc_id AS vec_id, score, rank FROM t""")
 def knn_per_label(t: Tables) -> DataFrame:
-    rows = t.embeddings.select("vec_id", "label", F.col("embedding").alias("v"))
-    pairs = rows.join(F.broadcast(vector_queries(t)), F.col("vec_id") != F.col("query_id"))
-    s = pairs.select("query_id", "label", "vec_id", F.round(r.cosine(F.col("embedding"), F.col("v")), 6).alias("score"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "vec_id")
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 2").withColumn("rank", F.col("rank").cast("long"))
+    hits = r.knn(vector_queries(t), t.embeddings, 5, "vec_id", by="label").where("vec_id <> query_id")
+    best = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "vec_id")
+    rounded = hits.drop("rank").withColumn("score", F.round("score", 6))
+    return _ranked(rounded.withColumn("rank", F.row_number().over(best)).where("rank <= 2"))
 
 
 def _pools(t: Tables) -> tuple[DataFrame, DataFrame]:
