@@ -12,8 +12,8 @@ from lectern.llm.common import id_key, stage
 
 #: Items that one task combines.
 FAN_IN = 8000
-#: A group heavier than this part of a shard is placed before all others.
-HEAVY = 0.125
+#: Groups above half a piece's share of a shard are placed before all others, at most so many a shard.
+MOST_HEAVY = 2000
 
 
 def difference(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,9 +61,10 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
     """Puts documents into shards of nearly equal bytes (UTF-8 bytes of the text plus 16); law `bytes`.
 
     Documents of equal text stay together; only a group heavier than a whole shard, which no shard could hold, is dealt out
-    by a hash of doc_id in the fewest pieces that fit. Null and empty texts are one group. Groups heavier than an eighth of a
-    shard (at most 8 a shard) are differenced first; every piece of the others then starts from its share of their loads, so
-    that light groups fill up what heavy ones leave. Returns
+    by a hash of doc_id in the fewest pieces that fit. Null and empty texts are one group. Where groups make more than one piece and some outweigh
+    half of a piece's share of a shard, these (at most MOST_HEAVY a shard) are differenced first, and the pieces of the others in
+    rounds: each starts from its share of the loads so far, so that light groups fill up what heavy ones leave, and the last
+    piece from all of them. Returns
     doc_id, size, text_crc32, law, shard, slot (gapless from 0 in each shard, by a hash range and then doc_id) and
     grown_shard (null under this law). No documents: no rows. Rows that repeat an id get a slot each; other columns are not read.
     """
@@ -80,33 +81,53 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
     key.append("piece")
     groups = base.groupBy(*key).agg(F.sum("size").alias("weight"))
     groups = stage(groups.withColumn("item", F.xxhash64(*key)), "groups")
-    # at most shards / HEAVY groups and the pieces come to the driver
-    heavy = sorted(groups.where(F.col("weight") > cap * HEAVY).select("weight", "item", *key).collect(), key=lambda r: (-r["weight"], *r[1:]))
+    level = -(-groups.count() // FAN_IN) or 1
+    heavy: list = []
     loads = np.zeros(shards, np.int64)
     shard_of: list[int] = []
-    if heavy:
+    least = cap / min(2 * level, MOST_HEAVY)
+    if level > 1 and not groups.where(F.col("weight") > least).isEmpty():
+        # shards * MOST_HEAVY groups at most, as the weights of all sum up to the shards
+        heavy = sorted(groups.where(F.col("weight") > least).select("weight", "item", *key).collect(), key=lambda r: (-r["weight"], *r[1:]))
         sums = np.zeros((len(heavy), shards), np.int64)
         sums[:, 0] = [r["weight"] for r in heavy]
         to, loads = difference(sums)
         shard_of = to[:, 0].tolist()
-        groups = groups.where(F.col("weight") <= cap * HEAVY)
-    level = -(-groups.count() // FAN_IN) or 1
-    light = max(1, (total[0] or 0) - int(loads.sum()))
+        groups = groups.where(F.col("weight") <= least)
 
-    def first(pdf):
-        pdf = pdf.sort_values(["weight", "item", *key], ascending=[False, True, True, True, True, True])
-        sums = np.zeros((len(pdf) + 1, shards), np.int64)
-        sums[0] = loads * (int(pdf["weight"].sum()) / light)  # this piece's share of the heavy groups' loads
-        sums[1:, 0] = pdf["weight"]
-        to, _ = difference(sums)
-        shard = np.empty(shards, np.int64)
-        shard[to[0]] = np.arange(shards)
-        return pdf.assign(local=(shard[to[1:, 0]] if loads.any() else to[1:, 0]).astype("int32"))
+    def first(loads: np.ndarray, left: int):
+        def place(pdf):
+            pdf = pdf.sort_values(["weight", "item", *key], ascending=[False, True, True, True, True, True])
+            sums = np.zeros((len(pdf) + 1, shards), np.int64)
+            sums[0] = loads * (int(pdf["weight"].sum()) / left)  # this piece's share of what is placed already
+            sums[1:, 0] = pdf["weight"]
+            to, _ = difference(sums)
+            shard = np.empty(shards, np.int64)
+            shard[to[0]] = np.arange(shards)
+            return pdf.assign(local=(shard[to[1:, 0]] if loads.any() else to[1:, 0]).astype("int32"))
+
+        return place
 
     groups = groups.withColumn("chunk", F.pmod("item", F.lit(level)).cast("long"))
-    placed = stage(groups.repartition(max(1, min(n, level)), "chunk").groupBy("chunk").applyInPandas(first, groups.schema.simpleString()[7:-1].replace(":", " ") + ", local int"), "placed")
-    if heavy:
+    schema = groups.schema.simpleString()[7:-1].replace(":", " ") + ", local int"
+
+    def pieces(lo: int, hi: int, loads: np.ndarray, left: int) -> DataFrame:
+        own = groups.where((F.col("chunk") >= lo) & (F.col("chunk") < hi))
+        return stage(own.repartition(max(1, min(n, hi - lo)), "chunk").groupBy("chunk").applyInPandas(first(loads, max(1, left)), schema), "placed")
+
+    if heavy:  # seven eighths of the pieces, then of what is left: each round fills up what all before have really made
+        at, placed, left = 0, None, (total[0] or 0) - int(loads.sum())
+        while at < level:
+            to = at + (level - at - max(1, (level - at) // 8) or 1)
+            own = pieces(at, to, loads, left)
+            for r in own.groupBy("local").agg(F.sum("weight").alias("weight")).collect():  # a row a shard
+                loads[r["local"]] += r["weight"]
+                left -= r["weight"]
+            placed = own if placed is None else placed.unionByName(own)
+            at = to
         level = 1  # the columns of all pieces are the shards already
+    else:
+        placed = pieces(0, level, loads, 1)
     column, at = "local", placed.groupBy("chunk", F.col("local").alias("column")).agg(F.sum("weight").alias("weight")).withColumn("below", F.col("chunk"))
     mapping = None
 

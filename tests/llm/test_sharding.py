@@ -90,3 +90,25 @@ def test_heavy_groups_stay_whole_and_balance(frame, share):
     weight = [sum(r.size for r in got if r.shard == s) for s in range(10)]
     assert max(weight) - min(weight) <= 0.02 * sum(weight) / 10
     assert len({r.shard for r in got if r.doc_id >= 10_000}) == (1 if share < 1 else 2)
+
+
+@pytest.mark.parametrize("heavy", [0, 1, 30])
+def test_many_pieces_with_heavy_groups(spark, monkeypatch, heavy):
+    """Twenty pieces, sixty groups of a tenth of a shard, and groups of about half of one: the law is held to a hundredth."""
+    monkeypatch.setattr(sharding, "FAN_IN", 1000)
+    rng = np.random.default_rng(heavy)
+    texts = [(i, f"{i} " + "y" * int(x)) for i, x in enumerate(rng.exponential(300, 20_000))]
+    mean = sum(len(t) + 16 for _, t in texts) / (40 - 6 - 0.5 * heavy)
+    texts += [(30_000 + g, f"tenth {g} " + "z" * int(mean / 10)) for g in range(60)]
+    texts += [(40_000 + g * 100 + c, f"half {g} " + "h" * int(mean / 40)) for g in range(heavy) for c in range(20 if g % 3 else 12)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = rows(df)
+    check(got, 40)
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == sorted((i, len(t) + 16, zlib.crc32(t.encode())) for i, t in texts)
+    weight = np.bincount([r.shard for r in got], [r.size for r in got], 40)
+    assert weight.max() < 1.01 * weight.mean() and weight.min() > 0.99 * weight.mean()
+    of = {i: t for i, t in texts}
+    by: dict = {}
+    for r in got:
+        by.setdefault(of[r.doc_id], set()).add(r.shard)
+    assert all(len(s) == 1 for s in by.values())
