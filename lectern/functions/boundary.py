@@ -95,21 +95,16 @@ def json_of(text: Column) -> Column:
     return F.pandas_udf(run, "string")(text)
 
 
-def metadata_json(raw: str | None) -> str:
-    """Stored metadata as valid JSON: as it is, with ' made ", or wrapped as {"raw": ..}."""
-    for t in (raw or "", (raw or "").replace("'", '"')):
-        try:
-            return json.dumps(json.loads(t), ensure_ascii=False)
-        except ValueError:
-            pass
-    return json.dumps({"raw": raw} if raw else {}, ensure_ascii=False)
-
-
 def metadata_of(raw: Column) -> Column:
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(metadata_json)
+    """Stored metadata as VARIANT: as it is, with ' made ", or wrapped as {"raw": ..}; {} for a null or empty text."""
+    text = F.coalesce(raw, F.lit(""))
+    wrapped = F.when(text == "", F.lit("{}")).otherwise(F.to_json(F.struct(text.alias("raw"))))
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.replace(text, F.lit("'"), F.lit('"'))), F.parse_json(wrapped))
+
 
-    return F.pandas_udf(run, "string")(raw)
+def metadata_fields(variant: Column, fields: dict[str, str]) -> list[Column]:
+    """Columns of metadata by path and type (`{"file_name": "string"}`); a missing or wrongly typed one is null."""
+    return [F.try_variant_get(variant, f"$.{path}", kind).alias(path.replace(".", "_")) for path, kind in fields.items()]
 
 
 def parse_triplets(response: Column) -> Column:

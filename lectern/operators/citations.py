@@ -15,40 +15,27 @@ from lectern.functions.classify import is_reference_title
 # What counts as a mark of a citation, figure, table or formula.
 NUMERIC = r"\[(\d+(?:[,\-\s]+\d+)*)\]"
 _NAME = r"[A-Z][a-z]+(?:\s+(?:et\s+al\.?|and\s+[A-Z][a-z]+))?"
-AUTHOR_YEAR = re.compile(rf"({_NAME})\s*,\s*(\d{{4}}[a-z]?)|({_NAME})\s+\((\d{{4}}[a-z]?)\)|\(({_NAME})\s+(\d{{4}}[a-z]?)\)")
-GROUP = re.compile(r"[\[(]([^\])]*;[^\])]*)[\])]")
-IN_GROUP = re.compile(r"([A-Z][A-Za-z'’-]+)[^;]*?(\d{4}[a-z]?)")
+AUTHOR_YEAR = rf"({_NAME})\s*,\s*(\d{{4}}[a-z]?)|({_NAME})\s+\((\d{{4}}[a-z]?)\)|\(({_NAME})\s+(\d{{4}}[a-z]?)\)"
+GROUP = r"[\[(]([^\])]*;[^\])]*)[\])]"
+IN_GROUP = r"([A-Z][A-Za-z'’-]+)[^;]*?(\d{4}[a-z]?)"
 FIGURE = r"(?i)(?:figures?|figs?\.?|图)\s*([A-Za-z]?\d+[A-Za-z]?(?:-?\d+)?)"
 TABLE = r"(?i)(?:tables?|tab\.|表)\s*([A-Za-z]?\d+[A-Za-z]?(?:-?\d+)?)"
 FORMULA = [r"(?i)(?:Equation|式)\s*\((\d+)\)", r"(?i)Eq\.?\s*(\d+)", r"\((\d+)\)(?!\s*[,\.])"]
-TITLES = {"jr", "sr", "md", "phd", "dr"}
-
-
-def surname(authors: str | None) -> str | None:
-    """The first author's surname of an author list."""
-    whole = (authors or "").strip()
-    if not whole:
-        return None
-    lead = re.split(r"\s+et\s+al", whole, maxsplit=1, flags=re.I)
-    if len(lead) > 1:
-        names = [w.rstrip(".,") for w in lead[0].strip().rstrip(", ").split()]
-        for w in names[-1:-3:-1]:
-            if w.lower() not in TITLES:
-                return w
-    one = re.split(r" and |&", whole, maxsplit=1)[0].split(",")[0].split()
-    if len(one) >= 2 and len(one[0]) <= 2 and one[0][:1].isupper() and one[1].rstrip(".,").lower() not in TITLES:
-        return one[1].rstrip(".,")
-    names = [w.rstrip(".,") for w in one]
-    if names and names[-1].lower() in TITLES and len(names) > 1:
-        return names[-2]
-    return names[-1] if names else None
+TITLES = ["dr", "jr", "md", "phd", "sr"]
 
 
 def surname_of(authors: Column | str) -> Column:
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(surname, na_action="ignore")
+    """The first author's surname of an author list: the first of its candidates that is no title.
 
-    return F.pandas_udf(run, "string")(authors)
+    Candidates are the last two words before "et al", the word after an initial, and the last two words of the first name (up
+    to "and", "&" or a comma). If all are titles, the last candidate there is."""
+    whole = F.trim(F.col(authors) if isinstance(authors, str) else authors)
+    words = lambda x: F.filter(F.transform(F.split(x, r"\s+"), lambda w: F.regexp_replace(w, "[.,]+$", "")), lambda w: w != "")
+    listed, name = words(F.regexp_extract(whole, r"(?is)^(.*?)\s+et\s+al", 1)), F.regexp_extract(whole, r"(?s)^(.*?)(?: and |&|,|$)", 1)
+    first, at = words(name), F.try_element_at
+    initial = F.when(name.rlike(r"^\s*\p{Lu}.?(?=\s)"), at(first, F.lit(2)))
+    candidates = F.filter(F.array(at(listed, F.lit(-1)), at(listed, F.lit(-2)), initial, at(first, F.lit(-1)), at(first, F.lit(-2))), lambda w: w.isNotNull())
+    return F.coalesce(at(F.filter(candidates, lambda w: ~F.lower(w).isin(TITLES)), F.lit(1)), at(candidates, F.lit(-1)))
 
 
 def expand_numbers(group: Column) -> Column:
@@ -72,32 +59,35 @@ def cited_references(chunks: DataFrame, references: DataFrame, ident: str = "chu
     return cited.join(references.select("paper_id", "ref_id").distinct(), ["paper_id", "ref_id"]).groupBy(ident).agg(F.sort_array(F.collect_set("ref_id")).alias("ref_ids"))
 
 
-def find_author_year(text: str | None) -> list[tuple[str, str, int]]:
-    """(author, year, place) of author-year citations, in order; lists in brackets are taken apart at ; ."""
-    found: dict[int, tuple[str, str, int]] = {}
-    for m in GROUP.finditer(text or ""):
-        at = m.start(1)
-        for piece in m.group(1).split(";"):
-            if p := IN_GROUP.search(piece):
-                found.setdefault(at + p.start(), (p.group(1), p.group(2), at + p.start()))
-            at += len(piece) + 1
-    taken = [(m.start(), m.end()) for m in GROUP.finditer(text or "")]
-    for m in AUTHOR_YEAR.finditer(text or ""):
-        if not any(a <= m.start() < b for a, b in taken):
-            author, year = next((m.group(i), m.group(i + 1)) for i in (1, 3, 5) if m.group(i))
-            found.setdefault(m.start(), (author, year, m.start()))
-    return [found[k] for k in sorted(found)]
+def places(text: Column, pattern: str) -> Column:
+    """All matches of a pattern with the number of characters before them: array of (at, hit)."""
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda hit, gap: F.struct(hit.alias("hit"), F.length(gap).alias("gap")))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at: int, hit: string>>").alias("out"))
+    step = lambda s, x: F.struct((s["end"] + x["gap"] + F.length(x["hit"])).alias("end"), F.array_append(s["out"], F.struct((s["end"] + x["gap"]).alias("at"), x["hit"].alias("hit"))).alias("out"))
+    return F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), start, step, lambda s: s["out"])
 
 
-def author_year_citations(chunks: DataFrame, ident: str = "chunk_id", text: str = "text") -> DataFrame:
-    """One row for each author-year citation, with 50 characters of context on both sides."""
-    out = "array<struct<author: string, year: string, position: int>>"
+def _cited(author: Column, year: Column, position: Column) -> Column:
+    return F.struct(author.alias("author"), year.alias("year"), position.alias("position"))
+
 
-    @F.pandas_udf(out)
-    def find(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"author": a, "year": y, "position": p} for a, y, p in find_author_year(t)])
+def author_years(text: Column) -> Column:
+    """(author, year, position) of author-year citations in order; lists in brackets are taken apart at ; ."""
+    groups = places(text, GROUP)
+    # what stands between a list's brackets and semicolons
+    pieces = lambda g: F.transform(places(F.substring(g["hit"], F.lit(2), F.length(g["hit"]) - 2), r"[^;]+"), lambda p: F.struct((p["at"] + g["at"] + 1).alias("at"), p["hit"].alias("hit")))
+    cut = F.filter(F.flatten(F.transform(groups, pieces)), lambda p: p["hit"].rlike(IN_GROUP))
+    part = lambda p, i: F.regexp_extract(p["hit"], IN_GROUP, i)
+    listed = F.transform(cut, lambda p: _cited(part(p, 1), part(p, 2), p["at"] + F.length(F.split(p["hit"], IN_GROUP, 2)[0])))
+    free = F.filter(places(text, AUTHOR_YEAR), lambda m: ~F.exists(groups, lambda g: (m["at"] >= g["at"]) & (m["at"] < g["at"] + F.length(g["hit"]))))
+    one = lambda m, of: F.coalesce(*[F.nullif(F.regexp_extract(m["hit"], AUTHOR_YEAR, i), F.lit("")) for i in of])
+    alone = F.transform(free, lambda m: _cited(one(m, (1, 3, 5)), one(m, (2, 4, 6)), m["at"]))
+    return F.array_sort(F.concat(listed, alone), lambda x, y: x["position"] - y["position"])
 
-    rows = chunks.select(ident, text, F.explode(find(text)).alias("c")).select(ident, text, "c.*")
+
+def author_year_citations(chunks: DataFrame, ident: str = "chunk_id", text: str = "text") -> DataFrame:
+    """One row for each author-year citation, with 50 characters of context on both sides."""
+    rows = chunks.select(ident, text, F.explode(author_years(F.col(text))).alias("c")).select(ident, text, "c.*")
     return rows.select(ident, "author", "year", "position", tx.context(text, F.col("position"), F.length("author")).alias("context"))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import shared_folder
 from lectern.functions.classify import entity_type
 from lectern.operators.matching import matches
 
@@ -90,6 +93,28 @@ def k_hop(edges: DataFrame, starts: DataFrame, depth: int = 1, most: int | None
     return out
 
 
+def expand(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """k_hop() for any depth: each hop's edges are written to the shared folder before the next one, so a plan holds one join and
+    one anti-join however deep the search is, and it ends with the first hop that reaches nothing new."""
+    spark = edges.sparkSession
+    at = f"{shared_folder(spark)}/expand-{uuid.uuid4().hex}"
+    edges.select("src", "label", "dst").distinct().write.parquet(f"{at}/edges")
+    e = spark.read.parquet(f"{at}/edges")
+    starts.select(F.col("id").alias("start"), "id").distinct().write.parquet(f"{at}/seen/0")
+    seen_schema = spark.read.parquet(f"{at}/seen/0").schema
+    hops = []
+    for hop in range(1, depth + 1):
+        front = spark.read.schema(seen_schema).parquet(f"{at}/seen/{hop - 1}")
+        front.join(e, F.col("id") == F.col("src")).select("start", "src", "label", "dst", F.lit(hop).alias("hop")).write.parquet(f"{at}/hops/{hop}")
+        step = spark.read.parquet(f"{at}/hops/{hop}")
+        hops.append(f"{at}/hops/{hop}")
+        seen = spark.read.schema(seen_schema).option("recursiveFileLookup", True).parquet(f"{at}/seen")
+        step.select("start", F.col("dst").alias("id")).distinct().join(seen, ["start", "id"], "left_anti").write.parquet(f"{at}/seen/{hop}")
+        if spark.read.schema(seen_schema).parquet(f"{at}/seen/{hop}").isEmpty():
+            break
+    return spark.read.parquet(*hops) if hops else e.select(F.lit(None).cast("string").alias("start"), "src", "label", "dst", F.lit(0).alias("hop")).limit(0)
+
+
 def search_entities(vertices: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Entities whose name holds the whole query (1.0) or one of its words (0.5), the best k of each query.
 

@@ -141,9 +141,10 @@ def index_counts(chunks: DataFrame, k: int = 10) -> DataFrame:
 
 
 def index_papers(papers: DataFrame, path: str, config: Config = Config(), model=None, figures: bool = True, split: str = "") -> DataFrame:  # noqa: B008
-    """Paragraphs (and captions) of papers, embedded and appended to a chunk table; returns the statistics of each paper.
+    """Paragraphs (and captions) of papers, embedded and stored in a chunk table; returns the statistics of these papers.
 
-    Without figures only texts are stored. A paper without a paragraph or caption long enough is not listed."""
+    A paper that is stored already is replaced (its folder of the table is), so that a second run changes nothing; other papers
+    stay as they are. Without figures only texts are stored. A paper without a paragraph or caption long enough is not listed."""
     from lectern.sources import sinks
 
     p = evaluation.paragraph_nodes(papers).select("paper_id", "title", "text", F.lit(False).alias("is_caption"), F.concat_ws("-", F.lit("p"), "section_index", "paragraph_index").alias("place"))
@@ -151,8 +152,8 @@ def index_papers(papers: DataFrame, path: str, config: Config = Config(), model=
         c = evaluation.caption_nodes(papers).join(papers.select(F.col("id").alias("paper_id"), "title"), "paper_id")
         p = p.unionByName(c.select("paper_id", "title", "text", F.lit(True).alias("is_caption"), F.concat_ws("-", F.lit("c"), "figure_index").alias("place")))
     rows = p.withColumn("chunk_id", F.xxhash64("paper_id", "place")).withColumn("file_name", F.concat("paper_id", F.lit(".txt")))
-    sinks.insert_chunks(library.valid_nodes(rows.withColumn("embedding", embed(F.col("text"), config.embed_dim, model))), path)
-    stored = papers.sparkSession.read.parquet(path)
+    sinks.replace_files(library.valid_nodes(rows.withColumn("embedding", embed(F.col("text"), config.embed_dim, model))), path)
+    stored = papers.sparkSession.read.parquet(path).join(papers.select(F.col("id").alias("paper_id")).distinct(), "paper_id", "left_semi")
     return stored.groupBy("paper_id", F.col("title").alias("paper_title"), "file_name").agg(F.count("*").alias("chunk_count"), F.sum(F.col("is_caption").cast("long")).alias("figure_caption_count"), F.lit(split).alias("source_split"), tx.stamp().alias("added_time"))
 
 

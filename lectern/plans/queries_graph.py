@@ -116,3 +116,17 @@ def graph_build(t: Tables) -> DataFrame:
     chunks = t.documents.selectExpr("concat('p', doc_id % 37) as paper_id", "doc_id as chunk_index", "cast(doc_id as string) as chunk_id", "text")
     _, e, _ = g.build(chunks, pattern_triplets)
     return e.select("src", "label", "dst", "added")
+
+
+_DEEP = """SELECT DISTINCT 's' || l_suppkey AS src, 'ships' AS label, 'p' || l_partkey AS dst FROM lineitem
+           UNION SELECT DISTINCT 'p' || l_partkey, 'needs', 's' || (l_partkey % 97 + 1) FROM lineitem WHERE l_partkey % 5 = 0"""
+
+
+@query(f"""WITH RECURSIVE e AS ({_DEEP}), r AS (SELECT 's' || s_suppkey AS start, 's' || s_suppkey AS id, 0 AS hop FROM supplier WHERE s_suppkey <= 3
+             UNION SELECT r.start, e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.id WHERE r.hop < 5),
+       v AS (SELECT start, id, min(hop) AS hop FROM r GROUP BY ALL) SELECT v.start, e.src, e.label, e.dst, v.hop + 1 AS hop FROM v JOIN e ON e.src = v.id""")
+def graph_deep_search(t: Tables) -> DataFrame:
+    """Six steps over a graph with hubs: every supplier ships many parts."""
+    ships = t.lineitem.selectExpr("concat('s', l_suppkey) as src", "'ships' as label", "concat('p', l_partkey) as dst")
+    needs = t.lineitem.where("l_partkey % 5 = 0").selectExpr("concat('p', l_partkey) as src", "'needs' as label", "concat('s', l_partkey % 97 + 1) as dst")
+    return g.expand(ships.unionByName(needs), t.supplier.where("s_suppkey <= 3").selectExpr("concat('s', s_suppkey) as id"), 6)

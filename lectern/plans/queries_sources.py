@@ -152,3 +152,54 @@ def format_hits(t: Tables) -> DataFrame:
 @query(f"WITH {CH} SELECT file_name, count(*) AS chunks FROM ch WHERE length(text) > 0 AND NOT regexp_matches(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}') GROUP BY ALL HAVING count(*) >= 5")
 def testset_documents(t: Tables) -> DataFrame:
     return pipelines.testset(chunks(t)).select("file_name", "chunks")
+
+
+_RAW = """CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN replace(props, '"', '''') WHEN 2 THEN 'broken ' || event_type
+          ELSE '{"k": {"n": "' || event_id || '"}, "t": "' || event_type || '"}' END"""
+
+
+@query(f"""WITH r AS (SELECT event_id, {_RAW} AS raw FROM events), j AS (SELECT event_id, coalesce(try_cast(raw AS JSON), try_cast(replace(raw, '''', '"') AS JSON), json_object('raw', raw)) AS j FROM r)
+       SELECT event_id, try_cast(j->>'$.k' AS INTEGER) AS k, try_cast(j->>'$.k.n' AS INTEGER) AS k_n, j->>'$.t' AS t, j->>'$.raw' AS raw FROM j""")
+def metadata_fields(t: Tables) -> DataFrame:
+    from lectern.functions.boundary import metadata_fields as fields
+    from lectern.functions.boundary import metadata_of
+
+    raw = F.when(F.col("event_id") % 4 == 0, F.col("props")).when(F.col("event_id") % 4 == 1, F.replace("props", F.lit('"'), F.lit("'"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit("broken "), "event_type"))
+    raw = raw.otherwise(F.concat(F.lit('{"k": {"n": "'), "event_id", F.lit('"}, "t": "'), "event_type", F.lit('"}')))
+    v = t.events.select("event_id", metadata_of(raw).alias("v"))
+    return v.select("event_id", *fields(F.col("v"), {"k": "int", "k.n": "int", "t": "string", "raw": "string"}))
+
+
+@query("SELECT doc_id, lang, length(text) AS n FROM documents WHERE contains(text, 'de') AND lang = 'de'")
+def paged_search(t: Tables) -> DataFrame:
+    """A search of a paged service that holds the documents; the language is a filter of the service."""
+    from lectern.sources.paged import register
+
+    found = register(t.spark).read.format("paged_search").option("service", "lectern.sources.paged:file_service").option("table", f"{t.folder}/documents.parquet").option("query", "de")
+    return found.option("page", 100).schema("doc_id long, text string, lang string").load().where("lang = 'de'").select("doc_id", "lang", F.length("text").cast("long").alias("n"))
+
+
+_HAN = "translate(lower(text), 'bcdfghijklmnoprstuvwxyz ', '一二三四五六七八九十百千万人口手山水火木金土日')"
+
+
+@query(rf"""WITH RECURSIVE d AS (SELECT item_id, {_HAN} AS text FROM benchmark),
+       tk AS (SELECT item_id, unnest(range(len(x))) AS pos, unnest(x) AS token FROM (SELECT item_id, regexp_extract_all(text, '[一-鿿]+|[^一-鿿\P{{L}}]+|\p{{N}}+') AS x FROM d)),
+       ru AS (SELECT token AS run, count(*) AS n FROM tk WHERE token SIMILAR TO '[一-鿿]+' GROUP BY ALL),
+       su AS (SELECT run, n, i, k, substring(run, i::INT, k::INT) AS word FROM (SELECT run, n, i, unnest(range(1, least(4, length(run) - i + 1) + 1)) AS k FROM (SELECT run, n, unnest(range(1, length(run) + 1)) AS i FROM ru))),
+       wo AS (SELECT word, sum(n) AS n FROM su GROUP BY word HAVING length(word) = 1 OR sum(n) >= 5),
+       co AS (SELECT word, -ln(n / (SELECT sum(n) FROM wo)) AS c FROM wo),
+       ed AS (SELECT run, i + k - 1 AS j, list({{'k': k, 'c': c}}) AS o FROM su JOIN co USING (word) GROUP BY ALL),
+       op AS (SELECT run, list(o ORDER BY j) AS o FROM ed GROUP BY run),
+       dp AS (SELECT run, 0 AS j, [0.0::DOUBLE] AS best, []::BIGINT[] AS back FROM op
+              UNION ALL SELECT run, j + 1, list_append(best, p.v), list_append(back, -p.k) FROM (SELECT dp.run, dp.j, best, back,
+                list_sort(list_transform(op.o[dp.j + 1], lambda x: {{'v': round(best[dp.j + 2 - x.k] + x.c, 9), 'k': -x.k}}))[1] AS p FROM dp JOIN op ON op.run = dp.run WHERE dp.j < length(dp.run))),
+       pa AS (SELECT run, j, back, []::VARCHAR[] AS words FROM dp WHERE j = length(run)
+              UNION ALL SELECT run, j - back[j], back, list_prepend(substring(run, (j - back[j] + 1)::INT, back[j]::INT), words) FROM pa WHERE j > 0),
+       fi AS (SELECT run, array_to_string(words, ' ') AS words FROM pa WHERE j = 0)
+       SELECT item_id, string_agg(coalesce(fi.words, token), ' ' ORDER BY pos) AS tokens FROM tk LEFT JOIN fi ON fi.run = tk.token GROUP BY item_id""")
+def han_segments(t: Tables) -> DataFrame:
+    """Texts of mixed script: all letters but a, e and q stand for Han characters."""
+    from lectern.operators.segment import count_words, segment
+
+    texts = t.benchmark.select("item_id", F.translate(F.lower("text"), "bcdfghijklmnoprstuvwxyz ", "一二三四五六七八九十百千万人口手山水火木金土日").alias("text"))
+    return segment(texts, count_words(texts), "item_id").select("item_id", F.array_join("tokens", " ").alias("tokens"))

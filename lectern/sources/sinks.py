@@ -19,12 +19,31 @@ def insert_chunks(chunks: DataFrame, path: str, vector: str = "embedding") -> No
     checked.write.mode("append").partitionBy("file_name").parquet(path)
 
 
+def replace_files(chunks: DataFrame, path: str) -> None:
+    """Stores chunks in a table by file; files that it holds already are replaced, all others stay."""
+    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_name").parquet(path)
+
+
+def _swap(spark: SparkSession, path: str) -> tuple:
+    target, fresh, old = (spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + s) for s in ("", ".new", ".old"))
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target, fresh, old
+
+
+def recover(spark: SparkSession, path: str) -> str:
+    """The path of a table that overwrite() keeps, after it has mended a swap that was broken off: with its table moved away and
+    no new one in place, the old one comes back. Read a table through it where another run may have died."""
+    fs, target, _, old = _swap(spark, path)
+    if not fs.exists(target) and fs.exists(old):
+        fs.rename(old, target)
+    return path
+
+
 def overwrite(df: DataFrame, path: str) -> None:
-    """Replaces a table that df may be read from: written beside it, then swapped in by Hadoop renames."""
+    """Replaces a table that df may be read from: written beside it, then swapped in by Hadoop renames. At every moment the old or the
+    new table is there whole, under its name or, between the two renames, under `.old`, from where recover() brings it back."""
     spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target, fresh, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + s) for s in ("", ".new", ".old"))
-    fs = target.getFileSystem(conf)
+    recover(spark, path)
+    fs, target, fresh, old = _swap(spark, path)
     df.write.mode("overwrite").parquet(fresh.toString())
     fs.delete(old, True)
     if fs.exists(target):

@@ -99,10 +99,11 @@ def test_extract_json(raw, want):
     assert boundary.extract_json(raw) == want
 
 
-def test_metadata_json():
-    assert boundary.metadata_json("{'a': 1}") == '{"a": 1}'
-    assert boundary.metadata_json("oops") == '{"raw": "oops"}'
-    assert boundary.metadata_json(None) == "{}"
+def test_metadata(spark):
+    rows = [("{'a': 1}",), ("oops 'x'",), (None,), ("",), ('{"a": {"b": [1, 2]}, "n": "7"}',), ("[1",)]
+    df = spark.createDataFrame(rows, "raw string").withColumn("v", boundary.metadata_of(F.col("raw")))
+    out = [tuple(r) for r in df.select(F.to_json("v"), *boundary.metadata_fields(F.col("v"), {"a": "int", "a.b": "array<int>", "n": "int", "raw": "string"})).collect()]
+    assert out == [('{"a":1}', 1, None, None, None), ('{"raw":"oops \'x\'"}', None, None, None, "oops 'x'"), ("{}", None, None, None, None), ("{}", None, None, None, None), ('{"a":{"b":[1,2]},"n":"7"}', None, [1, 2], 7, None), ('{"raw":"[1"}', None, None, None, "[1")]
 
 
 def test_parse_references(spark):

@@ -120,8 +120,22 @@ def test_resolve(spark):
 
 
 @pytest.mark.parametrize(("authors", "want"), [("Steven J. Gortler, et al.", "Gortler"), ("Marc Levoy and Pat Hanrahan", "Levoy"), ("Tianwei Liu, et al.", "Liu"), ("S. Karamcheti", "Karamcheti"), ("", None), (None, None), ("Sammy Davis Jr", "Davis")])
-def test_surname(authors, want):
-    assert citations.surname(authors) == want
+def test_surname(spark, authors, want):
+    assert spark.createDataFrame([(authors,)], "a string").select(citations.surname_of("a")).first()[0] == want
+
+
+def test_surname_of_lists(spark):
+    cases = {"Li Wei": "Wei", "J Smith, K. Jones": "Smith", "Jr Dr": "Jr", "van Dam, A. & Feiner": "Dam", "Ann Lee MD et al.": "Lee", "Ö. Åberg": "Åberg", "A. Bee, C. Dee, et al": "Dee", "Ann Bee,": "Bee", "Madonna": "Madonna", "  ": None}
+    got = spark.createDataFrame([(a,) for a in cases], "a string").select("a", citations.surname_of("a").alias("s")).collect()
+    assert {r.a: r.s for r in got} == cases
+
+
+def test_author_years_places(spark):
+    text = "(Doe 1999; Roe, 2001b; nobody) Poe (2000) [Zoe and Noe 1990; x] end Coe et al., 1987; (Moe 1970)"
+    rows = spark.createDataFrame([(text,), (None,), ("none",), ("[;]",)], "t string").select(citations.author_years(F.col("t"))).collect()
+    got = [(c.author, c.year, text[c.position : c.position + 3]) for c in rows[0][0]]
+    assert got == [("Doe", "1999", "Doe"), ("Roe", "2001b", "Roe"), ("Poe", "2000", "Poe"), ("Zoe", "1990", "Zoe"), ("Coe et al.", "1987", "Coe"), ("Moe", "1970", "(Mo")]
+    assert [r[0] for r in rows[1:]] == [None, [], []]
 
 
 @pytest.mark.parametrize(("mark", "want"), [("[1, 2-4]", [1, 2, 3, 4]), ("[3-7]", [3, 4, 5, 6, 7]), ("[1 - 3]", [1, 3]), ("[9]", [9])])
