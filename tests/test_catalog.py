@@ -20,7 +20,7 @@ def db(sf_dir):
 
 
 def plain(v):
-    if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and math.isnan(v):
         return None
     v = v.item() if hasattr(v, "item") and not isinstance(v, pd.Timestamp) else v
     return round(v, 5) if isinstance(v, float) else v
