@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -170,9 +171,10 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, pa
     groups = stage(asked.groupBy("v").agg(F.min("id").alias("qid")), "queries")
 
     def search(wanted: DataFrame, probing: bool) -> DataFrame:
-        """The lists of the k + 1 best found rows of each wanted query class."""
+        """The lists of the k + 1 best found rows of each wanted query class. The driver holds the probes of SCAN_BLOCKS blocks at a
+        time: a scan's lists are written before the next one's queries come."""
         parts = max(1, math.ceil(wanted.count() / QUERY_BLOCK))
-        found, sent = None, []
+        lists = []
         for lo in range(0, parts, SCAN_BLOCKS):
             blocks: dict[int, list] = {}
             for part in range(lo, min(lo + SCAN_BLOCKS, parts)):
@@ -181,35 +183,37 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, pa
                     by_dim.setdefault(len(r.v), []).append(r)
                 for dim, own in by_dim.items():
                     q = scaled(np.array([r.v for r in own], np.float64))
-                    sent.append(spark.sparkContext.broadcast((np.array([r.qid for r in own]), q, _unit(q), probe_codes(_unit(q), params) if probing else None)))
-                    blocks.setdefault(dim, []).append(sent[-1])
-
-            def task(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    for own, x in by_length(batch.column(0)):
-                        for at in range(0, len(own) if x.shape[1] in blocks else 0, ROWS):
-                            sub = batch.take(pa.array(own[at : at + ROWS]))
-                            code = np.frombuffer(b"".join(sub.column(2).to_pylist()), np.uint32).reshape(sub.num_rows, -1)
-                            smallest = sub.column(1).flatten().to_numpy()[np.r_[0, np.cumsum(sub.column(1).value_lengths().to_numpy())[:-1]]]
-                            for shared in blocks[x.shape[1]]:
-                                block = shared.value
-                                q, of, score = rerank(block, x[at : at + ROWS], code, k)
-                                order = np.lexsort((smallest[of], -score, q))
-                                q, of, score = q[order], of[order], score[order]
-                                best = np.arange(len(q)) - np.searchsorted(q, q) <= k
-                                q, of, score = q[best], of[best], score[best]
-                                yield pa.RecordBatch.from_arrays([pa.array(block[0][q], pa.int64()), pa.array(score, pa.float64()), sub.column(1).take(pa.array(of, pa.int64()))], names=["qid", "score", "ids"])
-
-            hits = indexed.mapInArrow(task, "qid long, score double, ids array<long>")
-            found = hits if found is None else found.unionByName(hits)
+                    blocks.setdefault(dim, []).append(spark.sparkContext.broadcast((np.array([r.qid for r in own]), q, _unit(q), probe_codes(_unit(q), params) if probing else None)))
+            lists.append(stage(best_lists(indexed.mapInArrow(scan(blocks), "qid long, score double, ids array<long>")), "lists"))
+            for shared in itertools.chain.from_iterable(blocks.values()):
+                shared.destroy()
+        return spark.read.schema(lists[0].schema).parquet(*(x._staged_at for x in lists))
+
+    def scan(blocks: dict[int, list]):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for own, x in by_length(batch.column(0)):
+                    for at in range(0, len(own) if x.shape[1] in blocks else 0, ROWS):
+                        sub = batch.take(pa.array(own[at : at + ROWS]))
+                        code = np.frombuffer(b"".join(sub.column(2).to_pylist()), np.uint32).reshape(sub.num_rows, -1)
+                        smallest = sub.column(1).flatten().to_numpy()[np.r_[0, np.cumsum(sub.column(1).value_lengths().to_numpy())[:-1]]]
+                        for shared in blocks[x.shape[1]]:
+                            block = shared.value
+                            q, of, score = rerank(block, x[at : at + ROWS], code, k)
+                            order = np.lexsort((smallest[of], -score, q))
+                            q, of, score = q[order], of[order], score[order]
+                            best = np.arange(len(q)) - np.searchsorted(q, q) <= k
+                            q, of, score = q[best], of[best], score[best]
+                            yield pa.RecordBatch.from_arrays([pa.array(block[0][q], pa.int64()), pa.array(score, pa.float64()), sub.column(1).take(pa.array(of, pa.int64()))], names=["qid", "score", "ids"])
+
+        return task
+
+    def best_lists(found: DataFrame) -> DataFrame:
         best = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("ids")[0])
         top = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("qid", "score", F.explode("ids").alias("vec_id"))
         ranked = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
         top = top.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1).drop("n")
-        lists = stage(top.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))).alias("list")), "lists")
-        for shared in sent:
-            shared.destroy()
-        return lists
+        return top.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))).alias("list"))
 
     lists = search(groups, True)
     few = stage(groups.join(lists.where(F.size("list") > k).select("qid"), "qid", "left_anti"), "few")

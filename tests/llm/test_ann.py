@@ -92,3 +92,27 @@ def test_only_probed_rows_are_scored():
     assert hit[at, of].all()
     best = np.argsort(-(unit @ ann._unit(x).T), axis=1)[:, :6]
     assert np.mean([np.isin(best[i], of[at == i]).mean() for i in range(40)]) > 0.95
+
+
+def test_scans_one_after_the_other(spark, monkeypatch):
+    """Many scans of few queries find what one scan of all does, and the driver keeps no query once its scan is over."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((12, 16))[rng.integers(0, 12, 1500)] + 0.3 * rng.standard_normal((1500, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = search(df)
+    made, gone = [], []
+    sc = type(spark.sparkContext)
+    real = sc.broadcast
+
+    def broadcast(self, value):
+        out = real(self, value)
+        made.append(out)
+        destroy = out.destroy
+        out.destroy = lambda *a: (gone.append(len(made)), destroy(*a))
+        return out
+
+    monkeypatch.setattr(sc, "broadcast", broadcast)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(ann, "SCAN_BLOCKS", 1)
+    assert search(df) == whole
+    assert len(made) > 2 and len(gone) == len(made) and gone == sorted(gone) and gone[0] == 1
