@@ -173,7 +173,59 @@ def page_titles_links(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long").alias("links"))
 
 
-@query()
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_NONE = "[]::VARCHAR[]"
+
+
+def _put(out: str, x: str) -> str:
+    return f"CASE WHEN {x} <> '' THEN list_append({out}, {x}) ELSE {out} END"
+
+
+def _long_sql(x: str, v: str) -> str:
+    """Windows of 512 characters, cut after a sentence end, a comma or a space past their first quarter; v: a name for the fold."""
+    head = f"substring({v}.rest, 1, 512)"
+    cut = "coalesce(" + ", ".join(f"nullif(length(regexp_extract({head}, '^.{{129,}}(?:{m})', 0, 's')), 0)" for m in ("。|！|？|\\. |! |\\? ", "，|, |；|; ", " ")) + ", 512)"
+    piece = _STRIP.format(f"substring({v}.rest, 1, ({cut})::INT)")
+    fold = f"list_reduce(list_transform(range(0, length({x}) // 129 + 3), lambda {v}i: {{'rest': {x}, 'out': {_NONE}}}), lambda {v}, {v}x: CASE WHEN length({v}.rest) <= 512 THEN {v} ELSE {{'rest': substring({v}.rest, ({cut})::INT + 1), 'out': {_put(f'{v}.out', piece)}}} END)"
+    return f"list_transform([{fold}], lambda {v}z: {_put(f'{v}z.out', _STRIP.format(f'{v}z.rest'))})[1]"
+
+
+def _chunks_sql() -> str:
+    size, overlap, least, short = 512, 50, 100, 50
+    sentences, clauses = SENTENCES.format("p", "。！？.!?", "\\s*"), SENTENCES.format("x.u", "，,；;", "\\s*")
+    clauses = f"CASE WHEN len({clauses}) > 0 THEN {clauses} ELSE [x.u] END"
+    parts = f"flatten(list_transform({clauses}, lambda c: CASE WHEN length(c) <= {size} THEN [c] ELSE {_long_sql('c', 'g')} END))"
+    full = f"(a.now <> '' AND length(a.now) + length(x.u) > {size})"
+    large = f"""list_reduce(list_prepend({{'out': {_NONE}, 'now': '', 'u': ''}}, list_transform({sentences}, lambda s: {{'out': {_NONE}, 'now': '', 'u': s}})), lambda a, x: {{
+        'out': CASE WHEN length(x.u) > {size} THEN list_concat({_put('a.out', 'a.now')}, {parts}) WHEN {full} THEN list_append(a.out, a.now) ELSE a.out END,
+        'now': CASE WHEN length(x.u) > {size} THEN '' WHEN {full} OR a.now = '' THEN x.u ELSE a.now || ' ' || x.u END, 'u': ''}})"""
+    last = f"right(a.out[-1], {overlap})"
+    marks = [d.replace(".", "\\.").replace("?", "\\?") for d in ("\n\n", "。", "！", "？", "；", "，", ". ", "! ", "? ", "; ", ", ")]
+    tail = "CASE " + " ".join(f"WHEN regexp_matches({last}, '^.+{m}(.*)$', 's') THEN " + _STRIP.format(f"regexp_extract({last}, '^.+{m}(.*)$', 1, 's')") for m in marks)
+    space = f"length(regexp_extract({last}, '^(.*) [^ ]*$', 1, 's'))"
+    tail += f" WHEN contains({last}, ' ') AND {space} > length({last}) // 2 THEN substring({last}, {space} + 2) ELSE '' END"
+    room = f"({size} - length(a.now) - 2)"
+    lead = f"CASE WHEN len(a.out) > 0 AND {room} > 0 THEN right({tail}, {room}) ELSE '' END"
+    flush = _put("a.out", f"(CASE WHEN a.now <> '' AND ({lead}) <> '' THEN ({lead}) || chr(10) || chr(10) || a.now ELSE a.now END)")
+    joins = f"(a.now <> '' AND (length(a.now) + 2 + length(x.u) <= {size} OR length(a.now) < {least}))"
+    own = "(CASE WHEN a.lead <> '' THEN a.lead || chr(10) || chr(10) || x.u ELSE x.u END)"
+    waits = f"(length({own}) < {short} AND len(a.out) = 0 AND x.i < x.m)"
+    return f"""
+    WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents),
+    pg AS (SELECT doc_id, pi, p FROM (SELECT doc_id, unnest(range(len(ps))) AS pi, unnest(ps) AS p FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS ps FROM d))),
+    un AS (SELECT doc_id, pi, {{'out': CASE WHEN length(p) > {size} THEN list_transform([{large}], lambda z: {_put('z.out', 'z.now')})[1] ELSE {_NONE} END, 'now': '', 'u': p}} AS u FROM pg),
+    dl AS (SELECT doc_id, list(u ORDER BY pi) AS us FROM un GROUP BY doc_id),
+    pk AS (SELECT doc_id, list_reduce(list_prepend({{'out': {_NONE}, 'now': '', 'u': ''}}, us), lambda a, x: {{
+             'out': CASE WHEN {joins} THEN a.out WHEN length(x.u) > {size} THEN list_concat({flush}, x.out) ELSE {flush} END,
+             'now': CASE WHEN {joins} THEN a.now || chr(10) || chr(10) || x.u WHEN length(x.u) > {size} THEN '' ELSE x.u END, 'u': ''}}) AS a FROM dl),
+    fl AS (SELECT doc_id, {flush} AS cs FROM pk),
+    td AS (SELECT doc_id, list_reduce(list_prepend({{'out': {_NONE}, 'lead': '', 'i': 0::BIGINT, 'm': 0::BIGINT, 'u': ''}}, list_transform(range(1, len(cs) + 1), lambda k: {{'out': {_NONE}, 'lead': '', 'i': k, 'm': len(cs)::BIGINT, 'u': cs[k]}})), lambda a, x: {{
+             'out': CASE WHEN length({own}) < {short} AND len(a.out) > 0 THEN list_append(a.out[:-2], a.out[-1] || chr(10) || chr(10) || {own}) WHEN {waits} THEN a.out ELSE list_append(a.out, {own}) END,
+             'lead': CASE WHEN {waits} THEN {own} ELSE '' END, 'i': 0::BIGINT, 'm': 0::BIGINT, 'u': ''}}) AS a FROM fl WHERE len(cs) > 0)
+    SELECT doc_id, CAST(unnest(range(len(a.out))) AS INTEGER) AS chunk_index, unnest(a.out) AS text FROM td"""
+
+
+@query(_chunks_sql())
 def semantic_chunks(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return chunk_documents(d, Chunker(512, 50, 100))
