@@ -142,7 +142,24 @@ def evidence_sentences(t: Tables) -> DataFrame:
     return ev.evidence_sentences(_hits(t), benchmark_queries(t)).select("query_id", F.array_join("spans", "|").alias("spans"))
 
 
-@query()
+#: Spans of 250 characters around clusters of hits, moved to word ends; a span that starts within 50 of a kept one goes.
+_POSITIONS = r""", ks AS (SELECT h.query_id, h.rank, h.text, lower(h.text) AS low, unnest(list_distinct(list_concat(regexp_extract_all(lower(q.text), '[\d,.]*\d'), list_filter(regexp_extract_all(lower(q.text), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z]{4,}'))))) AS k FROM h JOIN q USING (query_id)),
+       sp AS (SELECT query_id, rank, text, k, unnest(string_split(low, k)) AS part, unnest(range(len(string_split(low, k)))) AS i, len(string_split(low, k)) AS many FROM ks),
+       oc AS (SELECT query_id, rank, text, sum(length(part)) OVER (PARTITION BY query_id, rank, k ORDER BY i) + i * length(k) AS a, length(k) AS w, i, many FROM sp),
+       hi AS (SELECT DISTINCT query_id, rank, text, a::BIGINT AS a, (a + w)::BIGINT AS b FROM oc WHERE i < many - 1),
+       fl AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY query_id, rank ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 50 THEN 0 ELSE 1 END AS new FROM hi),
+       cl AS (SELECT query_id, rank, text, min(a) AS a, max(b) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY query_id, rank ORDER BY a, b) AS c FROM fl) GROUP BY query_id, rank, text, c),
+       wi AS (SELECT query_id, rank, text, a, length(text) AS n, greatest(0, a - greatest(0, 250 - (b - a)) // 2) AS lo, least(length(text), b + greatest(0, 250 - (b - a)) - greatest(0, 250 - (b - a)) // 2) AS hi FROM cl),
+       w2 AS (SELECT query_id, rank, text, a, n, greatest(length(regexp_extract(substring(text, 1, lo::INT), '^(.*\s)', 1, 's')), a - 300, 0) AS lo, least(hi, lo + 300) AS hi FROM wi),
+       w3 AS (SELECT query_id, rank, text, a, n, lo, least(hi + length(regexp_extract(substring(text, hi::INT + 1), '^\S*', 0)), greatest(hi, lo + 350)) AS hi FROM w2),
+       ga AS (SELECT query_id, rank, text, list({'out': []::STRUCT(lo BIGINT, hi BIGINT)[], 'lo': lo::BIGINT, 'hi': hi::BIGINT} ORDER BY a) AS g FROM w3 WHERE hi - lo >= least(80, n) GROUP BY ALL),
+       ke AS (SELECT query_id, rank, text, list_reduce(list_prepend({'out': []::STRUCT(lo BIGINT, hi BIGINT)[], 'lo': 0::BIGINT, 'hi': 0::BIGINT}, g), lambda s, x: {'out': CASE WHEN len(list_filter(s.out, lambda o: abs(x.lo - o.lo) < 50)) > 0 THEN s.out ELSE list_append(s.out, {'lo': x.lo, 'hi': x.hi}) END, 'lo': 0::BIGINT, 'hi': 0::BIGINT}).out[:5] AS o FROM ga),
+       un AS (SELECT query_id, rank, u.lo AS "begin", u.hi AS "end", substring(text, (u.lo + 1)::INT, (u.hi - u.lo)::INT) AS span FROM (SELECT query_id, rank, text, unnest(o) AS u FROM ke)),
+       bu AS (SELECT *, sum(length(span)) OVER w AS total, count(*) OVER w AS n FROM un WINDOW w AS (PARTITION BY query_id ORDER BY rank, "begin" ROWS UNBOUNDED PRECEDING))
+       SELECT query_id, rank, "begin", "end", span FROM bu WHERE total <= 500 AND n <= 5"""
+
+
+@query(GRADE + _POSITIONS)
 def evidence_positions(t: Tables) -> DataFrame:
     from lectern.plans.queries_retrieval import _hits, benchmark_queries
 
