@@ -40,7 +40,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from lectern.plans import queries_eval, queries_graph, queries_knowledge, queries_library, queries_retrieval, queries_sources, queries_text  # noqa: F401
+    from lectern.plans import queries_eval, queries_graph, queries_knowledge, queries_library, queries_more, queries_retrieval, queries_sources, queries_text  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
