@@ -25,6 +25,8 @@ TOXIC_SENTENCES, CLEAN_SENTENCES, SENTENCE_WORDS = 4000, 8000, 64
 LANDMARKS, SEEDS, HARD, ROUNDS = 160, 512, 4000, 3
 #: Log-likelihood ratio from which a piece counts as one of toxic documents (chance of 1e-7 without a relation, as there are many pieces).
 SIGNIFICANT = 28.0
+#: Such a piece stands in toxic documents this many times as often as in others.
+RATIO = 10
 #: Share of the training documents that the scores of documents are calibrated on.
 CALIBRATE = 4
 #: Decay of the kernel with each character that a subsequence spans.
@@ -388,10 +390,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     given = bounded(sample.where("fit").select("text", "toxic"))
     counted = given.mapInArrow(_pieces_by_document, "piece string, toxic boolean").groupBy("piece").agg(F.count_if("toxic").alias("pos"), F.count_if(~F.col("toxic")).alias("neg"))
     pool = stage(counted.withColumn("evidence", _likelihood(F.col("pos"), F.col("neg"), pos, neg)), "pieces")
-    seeds = [r.piece for r in pool.where((F.col("evidence") >= SIGNIFICANT) & (F.col("pos") > 1)).orderBy(F.desc("evidence"), "piece").limit(SEEDS).collect()]
+    clear = F.col("pos") * neg >= RATIO * F.col("neg") * pos
+    seeds = [r.piece for r in pool.where((F.col("evidence") >= SIGNIFICANT) & (F.col("pos") > 1) & clear).orderBy(F.desc("evidence"), "piece").limit(SEEDS).collect()]
     sentences = given.mapInArrow(_sentences(set(seeds)), "pieces array<string>, toxic boolean").withColumn("order", F.xxhash64("pieces"))
     first = lambda toxic, most: [r.pieces for r in sentences.where(F.col("toxic") == toxic).orderBy("order", "pieces").limit(most).collect()]
-    clean = pool.where((F.col("neg") > 0) & (F.col("evidence") < SIGNIFICANT)).select("piece")
+    clean = pool.where((F.col("neg") > 0) & ~(clear & (F.col("evidence") >= SIGNIFICANT))).select("piece")
 
     def hard(model: Model) -> list[str]:
         def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
