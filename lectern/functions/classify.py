@@ -27,6 +27,11 @@ VISUAL_QUERY = [r"how\s+(big|large|many|much)", r"what\s+is\s+the\s+size", r"num
 VISUAL_TEXT = [r"\bfigure\s*\d+", r"\bfig\.\s*\d+", r"\btable\s*\d+", r"\bchart\s*\d+", r"\bplot\s*\d+", r"\balgorithm\s*\d+", r"\bstep\s*\d+", r"\bexperiment\s*\d+", r"\bexample\s*\d+", r"\bdiagram\s*\d+", r"\barchitecture\s*\d+"]
 NOT_MAIN = [r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", r"\b(Reference|References|Bibliography)\b", r"^\[\d+\]", r"\[\s*[A-Z][a-z]+,?\s*\d{4}", r"\(\s*[A-Z][a-z]+\s+et\s+al\.?,?\s*\d{4}", r"\b(Acknowledgment|Appendix|Supplementary)\b"]
 NAME_LINE = "^[A-ZÀ-ÿ][a-zà-ÿ´'`-]+(\\s+[A-ZÀ-ÿ][a-zà-ÿ´'`-]+)+$"
+#: NAME_LINE and the address of NOT_MAIN for Java, whose matcher calls itself once a turn of a group that may be given back: a line of
+#: some thousand names overflowed the stack, which ends an executor. White space parts the words and "@" ends the name of an address, so
+#: nothing taken has to be given back; an address begins where no character of one stands before.
+_NAME_LINE = "^[A-ZÀ-ÿ][a-zà-ÿ´'`-]++(?:\\s++[A-ZÀ-ÿ][a-zà-ÿ´'`-]++)++$"
+_ADDRESS = r"(?<![a-zA-Z0-9._%+-])[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 LOW_QUALITY = [r"\bwho\s+(is|are)\s+[A-Z]", r"\b(about|by)\s+[A-Z][a-z]+\s+[A-Z][a-z]+", r"\b(first|last)\s+author\b", r"\b(which|what)\s+(university|institute|lab|company)", r"\bwhere\s+(was|is)\s+(this\s+paper|it)\s+published", r"\bwhich\s+(conference|journal|venue)\b", r"\b\d{4}\s+published\b", r"\b(arxiv|doi|citation)\b"]
 
 
@@ -120,8 +125,8 @@ def visual_text(t: Column) -> Column:
 
 def is_main_content(t: Column) -> Column:
     """No address, reference or citation marks, and fewer than two name lines among the first ten."""
-    names = F.filter(F.slice(F.split(t, "\n"), 1, 10), lambda x: strip(x).rlike(NAME_LINE))
-    return (F.length(t) > 0) & ~t.rlike("(?i)" + any_of(NOT_MAIN)) & (F.size(names) < 2)
+    names = F.filter(F.slice(F.split(t, "\n"), 1, 10), lambda x: strip(x).rlike(_NAME_LINE))
+    return (F.length(t) > 0) & ~t.rlike("(?i)" + any_of([_ADDRESS, *NOT_MAIN[1:]])) & (F.size(names) < 2)
 
 
 def is_low_quality(q: Column) -> Column:

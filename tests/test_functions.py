@@ -85,6 +85,18 @@ def test_filters(spark):
     assert one(spark, classify.is_main_content(F.col("t")), t="plain text of a method") is True
     assert one(spark, classify.is_main_content(F.col("t")), t="mail a@b.org") is False
     assert one(spark, classify.is_main_content(F.col("t")), t="Ada Lovelace\nAlan Turing\ntext") is False
+
+
+def test_main_content_of_long_lines(spark):
+    """Thousands of names on a line overflowed the stack of Java's matcher, which ends an executor; runs without an end took quadratic time."""
+    names = "Ada " * 30_000
+    f = classify.is_main_content(F.col("t"))
+    assert one(spark, f, t=f"{names}\ntext") is True
+    assert one(spark, f, t=f"{names}\n{names}\ntext") is False
+    assert one(spark, f, t=f"{names}9\n{names}\ntext") is True
+    assert one(spark, f, t="x" * 300_000) is True
+    assert one(spark, f, t="x" * 300_000 + "@b.org") is False
+    assert one(spark, f, t="a" + " " * 300_000 + "b") is True
     assert one(spark, classify.is_low_quality(F.col("t")), t="Which conference was it") is True
     assert one(spark, classify.visual_query(F.col("t")), t="show the CHART") is True
     assert one(spark, classify.entity_type(F.col("t")), t=" dataset ") == "Dataset"
