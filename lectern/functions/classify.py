@@ -126,7 +126,7 @@ def visual_text(t: Column) -> Column:
 def is_main_content(t: Column) -> Column:
     """No address, reference or citation marks, and fewer than two name lines among the first ten."""
     names = F.filter(F.slice(F.split(t, "\n"), 1, 10), lambda x: strip(x).rlike(_NAME_LINE))
-    return (F.length(t) > 0) & ~t.rlike("(?i)" + any_of([_ADDRESS, *NOT_MAIN[1:]])) & (F.size(names) < 2)
+    return (F.length(t) > 0) & ~(t.contains("@") & t.rlike("(?i)" + _ADDRESS)) & ~t.rlike("(?i)" + any_of(NOT_MAIN[1:])) & (F.size(names) < 2)
 
 
 def is_low_quality(q: Column) -> Column:

@@ -85,3 +85,12 @@ def test_rate_windows_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.requests, r.over) for r in spark.table("rates").collect()) == [(1, False), (40, True)]
+
+
+def test_testset_of_long_name_lines(spark):
+    """A chunk whose line holds thousands of names ended the executor that read it."""
+    from lectern.plans import pipelines
+
+    rows = [(i, "a.pdf", "Ada " * 30_000 + f"\nmethod {i}") for i in range(6)] + [(9, "a.pdf", "mail x@y.org")]
+    c = spark.createDataFrame(rows, "chunk_id long, file_name string, text string")
+    assert [tuple(r) for r in pipelines.testset(c).select("file_name", "chunks").collect()] == [("a.pdf", 6)]
