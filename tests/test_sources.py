@@ -94,3 +94,12 @@ def test_testset_of_long_name_lines(spark):
     rows = [(i, "a.pdf", "Ada " * 30_000 + f"\nmethod {i}") for i in range(6)] + [(9, "a.pdf", "mail x@y.org")]
     c = spark.createDataFrame(rows, "chunk_id long, file_name string, text string")
     assert [tuple(r) for r in pipelines.testset(c).select("file_name", "chunks").collect()] == [("a.pdf", 6)]
+
+
+def test_testset_run_of_long_name_lines(spark):
+    from lectern.plans import pipelines
+
+    c = spark.createDataFrame([(i, "a.pdf", "Ada " * 30_000 + f"\nmethod {i}") for i in range(6)], "chunk_id long, file_name string, text string")
+    ask = lambda text: F.array(F.struct(F.lit("Which method works best?").alias("question"), F.md5(text).alias("answer"), F.md5(text).alias("reference")))
+    _, summary = pipelines.evaluate_testset(c, ask, {"kept": lambda question, answer, reference: (answer == reference).cast("double")})
+    assert [(r.metric, r.n, r.mean) for r in summary.collect()] == [("kept", 1, 1.0)]
