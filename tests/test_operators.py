@@ -293,3 +293,11 @@ def test_pattern_triplets_are_ascii(spark):
 
     sql = duckdb.execute(f"SELECT unnest({_FOUND.format(1)}), unnest({_FOUND.format(2)}), unnest({_FOUND.format(3)}) FROM (SELECT ? AS text)", [text]).fetchall()
     assert sql == [tuple(r) for r in got]
+
+
+def test_weak_samples_of_ties(spark):
+    """Rows of equal metric and question are taken by their answer, not by their place."""
+    rows = [("q", a, 0.1) for a in "hgfedcba"] + [("p", "z", 0.2), ("q", "a", 0.7)]
+    for again in (rows, rows[::-1]):
+        df = spark.createDataFrame(again, "question string, answer string, faithfulness double").repartition(3)
+        assert [tuple(r) for r in evaluation.weak_samples(df, k=3).collect()] == [("q", a, 0.1) for a in "abc"]
