@@ -175,7 +175,9 @@ def paged_search(t: Tables) -> DataFrame:
     """A search of a paged service that holds the documents; the language is a filter of the service."""
     from lectern.sources.paged import register
 
-    found = register(t.spark).read.format("paged_search").option("service", "lectern.sources.paged:file_service").option("table", f"{t.folder}/documents.parquet").option("query", "de")
+    store = _folder(t)
+    t.documents.select("doc_id", "text", "lang").write.option("parquet.block.size", 8 << 20).parquet(f"{store}/documents")  # what the service holds
+    found = register(t.spark).read.format("paged_search").option("service", "lectern.sources.paged:file_service").option("table", f"{store}/documents").option("index", f"{store}/index").option("query", "de")
     return found.option("page", 100).schema("doc_id long, text string, lang string").load().where("lang = 'de'").select("doc_id", "lang", F.length("text").cast("long").alias("n"))
 
 

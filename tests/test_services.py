@@ -70,6 +70,40 @@ def test_paged_search(spark, tmp_path):
     assert "doc_id" in df._jdf.queryExecution().executedPlan().toString() and df.rdd.getNumPartitions() == math.ceil(16 / 8)
 
 
+def test_file_service_holds_no_table(tmp_path):
+    """A search scans the table once, in batches, and a page decodes the row groups of its rows only."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "t").mkdir()
+    ids = [(i * 7919) % 20_000 for i in range(20_000)]
+    texts = [None if i % 11 == 0 else f"text {i % 3} " + "x" * 2000 for i in ids]
+    for n in range(2):
+        pq.write_table(pa.table({"doc_id": ids[n::2], "text": texts[n::2], "lang": ["de" if i % 2 else None for i in ids[n::2]]}), tmp_path / "t" / f"{n}.parquet", row_group_size=1000)
+    for options in ({"table": str(tmp_path / "t")}, {"table": f"file://{tmp_path}/t", "index": f"file://{tmp_path}/index"}):
+        for query, filters in (("text 1", {"lang": "de"}), ("", {}), ("", {"lang": None}), ("none", {})):
+            want = sorted(i for i, t in zip(ids, texts, strict=True) if query in (t or "") and all(("de" if i % 2 else None) == v for v in filters.values()))
+            before = pa.total_allocated_bytes()
+            assert paged.file_service(query, filters, 0, 0, options) == (len(want), [])
+            assert pa.total_allocated_bytes() - before < 4 << 20 and pa.default_memory_pool().max_memory() < 1 << 30
+            for offset in (0, 90, 100, 2950, 5, len(want)):
+                total, rows = paged.file_service(query, filters, offset, 100, options)
+                assert total == len(want) and [r["doc_id"] for r in rows] == want[offset : offset + 100]
+    assert len(os.listdir(tmp_path / "index")) == 4
+
+
+def test_paged_search_query_reads_pages_of_a_store(spark, tmp_path, monkeypatch):
+    """The query's service scans the table once for all its pages; before, each page read the whole table."""
+    from lectern.plans import catalog
+
+    texts = [f"der Text {i}" if i % 2 else f"ein Text {i}" for i in range(3000)]
+    spark.createDataFrame([(i, x, "de" if i % 4 < 2 else "en") for i, x in enumerate(texts)], "doc_id long, text string, lang string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.queries()["paged_search"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.lang, r.n) for r in got) == [(i, "de", len(x)) for i, x in enumerate(texts) if "de" in x and i % 4 < 2]
+    kept = [f for folder, _, names in os.walk(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) for f in names if folder.endswith("/index")]
+    assert any(f.endswith(".npy") for f in kept)
+
+
 def test_paged_stream_reads_no_page_twice(spark, tmp_path):
     table = str(tmp_path / "t")
     schema = "doc_id long, text string"
