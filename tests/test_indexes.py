@@ -120,3 +120,23 @@ def test_no_vectors(space, spark, tmp_path):
     assert learn_centroids(rows.limit(0), 4).shape == (0, 0)
     index = VectorIndex.build(rows.where("chunk_id = 3002"), str(tmp_path / "none"), 4)
     assert index.search(queries, 3, 4).collect() == []
+
+
+def test_insert_counts_words_without_a_shuffle(spark, tmp_path, request):
+    """A chunk's words are counted in its row: postings keep the table's partitions; ids that repeat are still put together."""
+    rows = [(i, None if i % 17 == 0 else "" if i % 13 == 0 else " ".join(f"w{(i * j) % 19}" for j in range(i % 40))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "chunk_id long, text string").repartition(7)
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.shuffle.partitions", before))
+    for n, table in enumerate((docs, docs.unionByName(docs.where("chunk_id < 5")))):
+        index = textindex.TextIndex(spark, str(tmp_path / f"ix{n}"), "chunk_id")
+        index.insert(table)
+        got = spark.read.parquet(str(tmp_path / f"ix{n}" / "postings" / "0"))
+        assert dict(got.dtypes) == {"chunk_id": "bigint", "token": "string", "dl": "int", "tf": "int"}
+        have = sorted((r.chunk_id, r.token, r.tf) for r in got.collect())
+        assert have == sorted((r.chunk_id, r.token, r.tf) for r in retrieval.postings(table).groupBy("chunk_id", "token").agg(F.sum("tf").alias("tf")).collect())
+    parts = {r.f for r in spark.read.parquet(str(tmp_path / "ix0" / "postings" / "0")).select("_metadata.file_name").distinct().toDF("f").collect()}
+    assert len(parts) == docs.rdd.getNumPartitions()
