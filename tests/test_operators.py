@@ -316,3 +316,29 @@ def test_semantic_chunks_of_huge_paragraphs(spark, tmp_path):
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == sorted(db.execute(catalog.oracle_sql()["semantic_chunks"]).fetchall())
     assert max(len(r[2]) for r in got) > 5120 and max(map(len, Chunker(512, 50, 100).split(texts[0].replace("\n", "\n\n")))) <= 512
+
+
+def test_chunks_are_made_some_rows_at_a_time(spark):
+    """One output batch a step of rows, not one of all chunks of 10,000 documents."""
+    import pyarrow as pa
+
+    d = spark.range(1000).selectExpr("id as doc_id", "repeat('word of text. ', 20 + cast(id % 3 as int)) as text").coalesce(1)
+    batches = chunking.chunk_documents(d, split=chunking.simple_split).mapInArrow(lambda bs: (type(b).from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()
+    assert sum(r.n for r in batches) == 1000
+    seen = []
+
+    class Frame:
+        schema = d.schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            seen.extend(b.num_rows for b in run([pa.RecordBatch.from_pydict({"key": list(range(1000)), "text": ["a b"] * 999 + [None]})]))
+            return self
+
+        def withColumnRenamed(self, *_):  # noqa: N802
+            return self
+
+    chunking.chunk_documents(Frame(), split=chunking.simple_split)
+    assert sum(seen) == 999 and max(seen) <= chunking.ROWS_A_STEP
