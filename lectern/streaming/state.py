@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,23 +15,33 @@ from lectern.session import shared_folder
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Keys are dealt out to this many buckets, whose states are read and written as a whole; a checkpoint is bound to the number.
+BUCKETS = 1024
+#: Waiting rows that one element of a list state holds.
+PIECE = 4096
+
+
 class InOrder(StatefulProcessor):
-    """Rows of a key wait in a list state until the watermark has passed them, and are then taken in the order of (ts, event_id):
-    files may arrive in any order within the delay, and the outcome is that of a batch. One timer a key, for its earliest row."""
+    """Rows of a bucket of keys wait in a list state until the watermark has passed them, and each key's are then taken in the order
+    of (ts, event_id): files may arrive in any order within the delay, and the outcome is that of a batch. One timer a bucket, for
+    what is due first. A call of the state store costs much more than a row, so there are a few of them a bucket, not a key."""
+
+    #: What is held of a key, as columns beside it.
+    held: str
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts long, event_id long")
+        self.waiting = handle.getListState("waiting", "key array<string>, ts array<long>, event_id array<long>")
         self.timer = handle.getValueState("timer", "at long")
-        self.state = self.open(handle)
+        self.state = handle.getListState("held", f"key string, {self.held}")
 
-    def open(self, handle: StatefulProcessorHandle) -> Any:
-        """The state variable that fold() reads and updates."""
+    def fold(self, key: str | None, rows: list[tuple[int, int]], held: tuple | None, out: list) -> tuple | None:
+        """Takes a key's rows (ts in microseconds, event_id) in their order, adds what they give to out; what is then held of the key."""
         raise NotImplementedError
 
-    def fold(self, key: tuple, rows: list[tuple[int, int]], now: int) -> pd.DataFrame | None:
-        """Takes rows (ts in microseconds, event_id) in their order; what they give. now: the watermark in milliseconds."""
-        raise NotImplementedError
+    def due(self, held: tuple) -> int | None:
+        """The watermark in milliseconds at which what is held of a key can go."""
+        return None
 
     def _wait(self, at: int) -> None:
         """One timer, at `at` milliseconds or where an earlier one stands."""
@@ -48,7 +57,9 @@ class InOrder(StatefulProcessor):
         least = None
         for pdf in rows:
             micros = pdf["ts"].to_numpy("datetime64[us]").astype("int64")
-            self.waiting.appendList([(int(t), int(e)) for t, e in zip(micros, pdf["event_id"], strict=True)])
+            named = pdf["key"].astype(object).where(pdf["key"].notna(), None)
+            new = list(zip(named.tolist(), micros.tolist(), pdf["event_id"].tolist(), strict=True))
+            self.waiting.appendList(_pieces(new))
             least = int(micros.min()) if least is None else min(least, int(micros.min()))
         if least is not None:
             self._wait(least // 1000 + 1)
@@ -57,83 +68,88 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         self.timer.clear()
-        rows = sorted((r[0], r[1]) for r in self.waiting.get())
-        ready = [r for r in rows if r[0] // 1000 + 1 <= now]
-        later = rows[len(ready) :]
+        ready: dict[str | None, list[tuple[int, int]]] = {}
+        later, least = [], None
+        for piece in self.waiting.get():
+            for name, ts, event in zip(*piece, strict=True):
+                if ts // 1000 + 1 <= now:
+                    ready.setdefault(name, []).append((ts, event))
+                else:
+                    later.append((name, ts, event))
+                    least = ts // 1000 + 1 if least is None else min(least, ts // 1000 + 1)
         if later:
-            self.waiting.put(later)
-            self._wait(later[0][0] // 1000 + 1)
+            self.waiting.put(_pieces(later))
         else:
             self.waiting.clear()
-        out = self.fold(key, ready, now)
-        if out is not None and len(out):
-            yield out
+        held, out = {r[0]: tuple(r[1:]) for r in self.state.get()}, []
+        for name, rows in ready.items():
+            held[name] = self.fold(name, sorted(rows), held.get(name), out)
+        gone = {name: self.due(x) for name, x in held.items() if x is not None}
+        left = [(name, *held[name]) for name, at in gone.items() if at is None or at > now]
+        if left:
+            self.state.put(left)
+        else:
+            self.state.clear()
+        least = min([at for at in gone.values() if at is not None and at > now] + [least] * (least is not None), default=None)
+        if least is not None:
+            self._wait(least)
+        if out:
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in self.schema.split(", ")])
 
     def close(self) -> None:
         pass
 
 
+def _pieces(rows: list[tuple]) -> list[tuple]:
+    """Rows as elements of a list state: the columns of PIECE rows each."""
+    return [tuple(map(list, zip(*rows[at : at + PIECE], strict=True))) for at in range(0, len(rows), PIECE)]
+
+
 class ResponseCache(InOrder):
     """An entry lives ttl seconds from the miss that made it; a hit doesn't renew it. A timer drops it when it has expired."""
 
     schema = "key string, event_id long, hit boolean"
+    held = "made long"
 
     def __init__(self, ttl: int) -> None:
         self.live = ttl * 1_000_000
 
-    def open(self, handle: StatefulProcessorHandle) -> Any:
-        return handle.getValueState("made", "made long")
-
-    def fold(self, key: tuple, rows: list[tuple[int, int]], now: int) -> pd.DataFrame | None:
-        made = self.state.get()[0] if self.state.exists() else None
-        hits = []
-        for ts, _ in rows:
-            hits.append(made is not None and ts - made < self.live)
-            made = made if hits[-1] else ts
-        if made is not None:
-            gone = (made + self.live) // 1000 + 1
-            if gone <= now:
-                self.state.clear()
-            else:
-                self.state.update((made,))
-                self._wait(gone)
-        return pd.DataFrame({"key": [key[0]] * len(rows), "event_id": [e for _, e in rows], "hit": hits})
+    def fold(self, key: str | None, rows: list[tuple[int, int]], held: tuple | None, out: list) -> tuple | None:
+        made = held[0] if held else None
+        for ts, event in rows:
+            hit = made is not None and ts - made < self.live
+            made = made if hit else ts
+            out.append((key, event, hit))
+        return (made,)
+
+    def due(self, held: tuple) -> int | None:
+        return (held[0] + self.live) // 1000 + 1
 
 
 class ThresholdCounter(InOrder):
     """Collects a key's events until there are `every`, gives the group with its number, and begins anew."""
 
     schema = "key string, event_id long, firing long, members array<long>"
+    held = "fired long, members array<long>"
 
     def __init__(self, every: int) -> None:
         self.every = every
 
-    def open(self, handle: StatefulProcessorHandle) -> Any:
-        self.fired = handle.getValueState("fired", "n long")
-        return handle.getListState("members", "event_id long")
-
-    def fold(self, key: tuple, rows: list[tuple[int, int]], now: int) -> pd.DataFrame | None:
-        held = [r[0] for r in self.state.get()] if self.state.exists() else []
-        firing = self.fired.get()[0] if self.fired.exists() else 0
-        out = []
+    def fold(self, key: str | None, rows: list[tuple[int, int]], held: tuple | None, out: list) -> tuple | None:
+        firing, members = (held[0], list(held[1])) if held else (0, [])
         for _, event in rows:
-            held.append(event)
-            if len(held) == self.every:
+            members.append(event)
+            if len(members) == self.every:
                 firing += 1
-                out.append((key[0], event, firing, held))
-                held = []
-        if held:
-            self.state.put([(e,) for e in held])
-        else:
-            self.state.clear()
-        if out:
-            self.fired.update((firing,))
-        return pd.DataFrame(out, columns=["key", "event_id", "firing", "members"]) if out else None
+                out.append((key, event, firing, members))
+                members = []
+        return firing, members
 
 
 def _keyed(events: DataFrame, processor: InOrder, delay: str) -> DataFrame:
-    rows = events.select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id").withWatermark("ts", delay).groupBy("key")
-    return rows.transformWithStateInPandas(processor, processor.schema, "Append", "EventTime")
+    key = F.col("key").cast("string")
+    rows = events.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket"), key.alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return rows.withWatermark("ts", delay).groupBy("bucket").transformWithStateInPandas(processor, processor.schema, "Append", "EventTime")
 
 
 def cache_stream(requests: DataFrame, ttl: int = 3600, delay: str = "1 hour") -> DataFrame:
@@ -158,9 +174,9 @@ def run_available(spark: SparkSession, source: Callable[[SparkSession], DataFram
 
 
 def replay(table: DataFrame, build: Callable[[DataFrame], DataFrame], parts: int = 3) -> DataFrame:
-    """A batch's events (key, ts, event_id) through a stream: `parts` files by time, in which every 13th event comes half a day late,
-    and one row of a far future that lets the watermark pass them all. The first run sees the first file only; the second
-    takes up its checkpoint and the others, a batch each."""
+    """A batch's events (key, ts, event_id) through a stream: `parts` folders by time, in which every 13th event comes half a day late,
+    and one row of a far future that lets the watermark pass them all. Each is one batch and one run, which takes up the
+    checkpoint of the run before."""
     spark = table.sparkSession
     at = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
     rows = table.select("key", F.col("ts").cast("timestamp").alias("ts"), "event_id")
@@ -171,11 +187,10 @@ def replay(table: DataFrame, build: Callable[[DataFrame], DataFrame], parts: int
     part = F.least(F.lit(parts - 1), F.floor((F.unix_micros("ts") + late - lo) * parts / F.lit(hi - lo + 1))).cast("int")
     rows = rows.withColumn("part", part)
     schema = rows.drop("part").schema
-    source = lambda s: s.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{at}/in")
+    source = lambda s: s.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{at}/in")
     for k in range(parts):
-        rows.where(F.col("part") == k).drop("part").coalesce(1).write.parquet(f"{at}/in/{k}")
-        if k == 0:
-            run_available(spark, source, build, f"{at}/out", f"{at}/checkpoint")
+        rows.where(F.col("part") == k).drop("part").write.parquet(f"{at}/in/{k}")
+        run_available(spark, source, build, f"{at}/out", f"{at}/checkpoint")
     end = rows.limit(1).select(F.col("key"), F.timestamp_micros(F.lit(hi + 10**15)).alias("ts"), F.lit(-1).cast("long").alias("event_id"))
     end.coalesce(1).write.parquet(f"{at}/in/{parts}")
     run_available(spark, source, build, f"{at}/out", f"{at}/checkpoint")

@@ -44,3 +44,74 @@ def test_autosaver_counts_a_batch_once(spark, tmp_path):
 def test_autosaved(spark):
     out = state.autosaved(spark.range(1000).select(F.col("id").alias("event_id")), "event_id % 4", 4, 400)
     assert sorted((r.total, r.rows) for r in out.collect()) == [(500, 250), (1000, 250)]
+
+
+class States:
+    """A handle whose list and value states are counted lists."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def getListState(self, name, schema):
+        return State(self)
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class State:
+    def __init__(self, owner):
+        self.owner, self.rows = owner, []
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        self.owner.calls += 1
+        return self.rows
+
+    def put(self, rows):
+        self.owner.calls += 1
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        self.owner.calls += 1
+        self.rows = [*self.rows, *rows]
+
+    def update(self, row):
+        self.rows = row
+
+    def clear(self):
+        self.rows = []
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def rows_of(n, late=0):
+    import pandas as pd
+
+    return pd.DataFrame({"bucket": 0, "key": [None if i % 7 == 0 else f"k{i % 5000}" for i in range(n)], "ts": pd.to_datetime([1_000_000 * (i % 3 + 1 + late) for i in range(n)], unit="us"), "event_id": range(n)})
+
+
+def test_cache_takes_few_calls_for_many_keys():
+    """A stream of many keys called the state store several times for each."""
+    handle, cache = States(), state.ResponseCache(3600)
+    cache.init(handle)
+    list(cache.handleInputRows((0,), iter([rows_of(10_000)]), None))
+    out = list(cache.handleExpiredTimer((0,), Clock(10_000), None))
+    assert len(out) == 1 and len(out[0]) == 10_000 and handle.calls < 10
+    assert (~out[0]["hit"]).sum() == out[0]["key"].nunique(dropna=False)  # one miss a key
+    assert len(cache.state.rows) == out[0]["key"].nunique(dropna=False) and handle.timers == {1_001, 3_601_001}  # the first has fired
+    list(cache.handleExpiredTimer((0,), Clock(10_000_000), None))
+    assert cache.state.rows == [] and cache.waiting.rows == []
