@@ -115,3 +115,13 @@ def test_cache_takes_few_calls_for_many_keys():
     assert len(cache.state.rows) == out[0]["key"].nunique(dropna=False) and handle.timers == {1_001, 3_601_001}  # the first has fired
     list(cache.handleExpiredTimer((0,), Clock(10_000_000), None))
     assert cache.state.rows == [] and cache.waiting.rows == []
+
+
+def test_counter_takes_few_calls_for_many_keys():
+    handle, counter = States(), state.ThresholdCounter(2)
+    counter.init(handle)
+    for late in (0, 10):
+        list(counter.handleInputRows((0,), iter([rows_of(10_000, late)]), None))
+    first, second = (list(counter.handleExpiredTimer((0,), Clock(now), None))[0] for now in (5_000, 20_000))
+    assert handle.calls < 12 and {len(m) for m in [*first["members"], *second["members"]]} == {2}
+    assert counter.waiting.rows == [] and sum(len(r[2]) for r in counter.state.rows) + 2 * (len(first) + len(second)) == 20_000
