@@ -12,6 +12,7 @@ from lectern.functions.boundary import embed
 from lectern.functions.classify import answer_type, route, threshold, visual_query, visual_text
 from lectern.operators import citations, evaluation, graph, library, retrieval
 from lectern.operators.chunking import Chunker, chunk_documents
+from lectern.session import written
 
 
 @dataclass(frozen=True)
@@ -55,8 +56,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config = Config(), k
 
 
 def search(queries: DataFrame, chunks: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008
-    """retrieve, grade, rerank: hits with the verdict and the mode that the router gives each query."""
-    hits = retrieve(queries, chunks, config)
+    """retrieve, grade, rerank: hits with the verdict and the mode that the router gives each query. The hits are written once."""
+    hits = written(retrieve(queries, chunks, config), "hits")
     verdicts = retrieval.grade(queries, hits)
     ranked = retrieval.rerank(queries, hits, config.top_k, config.rerank_threshold)
     modes = queries.select("query_id", route(F.col("text")).alias("mode"))

@@ -140,3 +140,31 @@ def test_insert_counts_words_without_a_shuffle(spark, tmp_path, request):
         assert have == sorted((r.chunk_id, r.token, r.tf) for r in retrieval.postings(table).groupBy("chunk_id", "token").agg(F.sum("tf").alias("tf")).collect())
     parts = {r.f for r in spark.read.parquet(str(tmp_path / "ix0" / "postings" / "0")).select("_metadata.file_name").distinct().toDF("f").collect()}
     assert len(parts) == docs.rdd.getNumPartitions()
+
+
+def test_insert_splits_texts_into_words_once(spark, tmp_path):
+    """Each text was split into words for its length, for a filter and for its counts."""
+    split = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        split.add(1)
+        return text
+
+    docs = spark.createDataFrame([(i, f"w{i % 7} w1" if i % 9 else None) for i in range(200)], "chunk_id long, text string")
+    index = TextIndex(spark, str(tmp_path / "once"))
+    index.insert(docs.withColumn("text", seen("text")))
+    assert split.value <= 400 and index.stats() == (200, 2.0)  # once for the words, once for which texts are null
+
+
+def test_steps_give_what_may_be_best_only(spark, tmp_path, monkeypatch):
+    """A step gave its own k best, however far below those of the steps before."""
+    monkeypatch.setattr(textindex, "STEP", 10)
+    docs = spark.createDataFrame([(i, "w1 " * (1 if i else 9) + "x " * 20) for i in range(400)] + [(400 + i, "y") for i in range(600)], "chunk_id long, text string").coalesce(1)
+    index = TextIndex(spark, str(tmp_path / "few"))
+    index.insert(docs)
+    found = index.search(spark.createDataFrame([(1, "w1")], "query_id long, text string"), 1)
+    assert [r.chunk_id for r in retrieval.top_k(found, 1).collect()] == [0]
+    monkeypatch.setattr(textindex, "CELLS", 1)
+    again = index.search(spark.createDataFrame([(1, "w1 y")], "query_id long, text string"), 3)
+    assert best(again, 3) == best(retrieval.bm25(spark.createDataFrame([(1, "w1 y")], "query_id long, text string"), docs), 3)
