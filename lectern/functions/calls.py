@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lectern.session import shared_folder
+
+#: Bytes of texts that a task is given at a time, about.
+TASK_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -54,7 +61,10 @@ def attempt(call: Callable[[list], list], texts: list, limits: Limits, bucket: B
 
 def call_service(rows: DataFrame, text: str, call: Callable[[list], list], kind: str = "string", limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """rows with answer (of type `kind`), attempts and error. Each of `tasks` tasks makes its share of the calls a second, so
-    that all keep to the rate, and holds one batch at a time; null texts aren't sent and get null. A task that is run again asks again."""
+    that all keep to the rate, and holds one batch at a time; null texts aren't sent and get null. A task that is run again asks again.
+
+    Texts of more than TASK_BYTES a task are called for here, in rounds of `tasks` tasks one after another: the rows are dealt out
+    to the rounds by one write, and each round's answers are written to the shared folder."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, answer {kind}, attempts int, error string"
     share = limits.rate / limits.tasks if limits.rate else None
 
@@ -68,4 +78,13 @@ def call_service(rows: DataFrame, text: str, call: Callable[[list], list], kind:
                 given = iter(answers)
                 yield part.assign(answer=[next(given) if s else None for s in sent], attempts=[tried if s else 0 for s in sent], error=[error if s else None for s in sent])
 
-    return rows.repartition(limits.tasks).mapInPandas(run, schema)
+    size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    rounds = -(-size // (TASK_BYTES * limits.tasks))
+    if rounds <= 1:
+        return rows.repartition(limits.tasks).mapInPandas(run, schema)
+    spark, at = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/calls-{uuid.uuid4().hex}"
+    rows.withColumn("__round", F.floor(F.rand(1) * rounds).cast("int")).write.partitionBy("__round").parquet(f"{at}/in")
+    for k in range(rounds):
+        part = spark.read.parquet(f"{at}/in").where(F.col("__round") == k).drop("__round")  # a folder a round
+        part.repartition(limits.tasks).mapInPandas(run, schema).write.parquet(f"{at}/out/{k}")
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{at}/out")

@@ -58,6 +58,25 @@ def test_call_service(spark, tmp_path):
     assert all(r.answer == f"<{r.t}>" for r in got.values() if r.error is None and r.t) and (got[7].attempts, got[7].answer) in ((2, "<7>"), (3, None))
 
 
+def test_call_service_in_rounds(spark, tmp_path, monkeypatch):
+    """However many texts there were, each of `tasks` tasks read its share of them at once."""
+    monkeypatch.setattr(calls, "TASK_BYTES", 2000)
+    folder = str(tmp_path)
+
+    def call(texts):
+        from pyspark import TaskContext
+
+        with open(os.path.join(folder, f"{TaskContext.get().taskAttemptId()}"), "a") as f:
+            f.write(f"{sum(map(len, texts))}\n")
+        return [t[:4] for t in texts]
+
+    rows = spark.range(900).select("id", F.when(F.col("id") % 5 > 0, F.format_string("%04d%s", "id", F.lit("x" * 46))).alias("t"))
+    got = calls.call_service(rows, "t", call, limits=calls.Limits(batch=10, tasks=2)).collect()
+    assert sorted((r.id, r.answer, r.attempts) for r in got) == [(i, f"{i:04d}" if i % 5 else None, 1 if i % 5 else 0) for i in range(900)]
+    read = [sum(map(int, (tmp_path / name).read_text().split())) for name in os.listdir(folder)]
+    assert len(read) >= 18 and max(read) < 6000 and sum(read) == 720 * 50
+
+
 def test_paged_search(spark, tmp_path):
     rows = [(i, f"text {i % 3}", "de" if i % 2 else "en") for i in range(95)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "t"))
