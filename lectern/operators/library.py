@@ -69,10 +69,14 @@ def document_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(F.coalesce("file_name", F.lit("unknown")).alias("file_name")).agg(F.count("*").alias("chunk_count"), F.min("added_time").alias("added_time"), F.min_by(url, F.when(url.isNotNull(), order)).alias("github_url"))
 
 
+def named_text(chunks: DataFrame) -> DataFrame:
+    """Chunks that ordered_text() joins."""
+    return chunks.where((F.coalesce("file_name", F.lit("unknown")) != "unknown") & ~tx.blank("text"))
+
+
 def ordered_text(chunks: DataFrame, least: int = 1, separator: str = "\n\n") -> DataFrame:
     """Each paper's chunks joined in the order of their ids; blank ones and papers named unknown are left out."""
-    good = chunks.where((F.coalesce("file_name", F.lit("unknown")) != "unknown") & (F.length(tx.strip("text")) > 0))
-    return good.groupBy("file_name").agg(F.count("*").alias("chunks"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), separator).alias("text")).where(F.col("chunks") >= least)
+    return named_text(chunks).groupBy("file_name").agg(F.count("*").alias("chunks"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), separator).alias("text")).where(F.col("chunks") >= least)
 
 
 def latest_versions(files: DataFrame) -> DataFrame:

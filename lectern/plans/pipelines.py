@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from lectern.operators import citations, evaluation, graph, library, retrieval
 from lectern.operators.chunking import Chunker, chunk_documents
 from lectern.session import written
 
+SAMPLE = pa.schema([(c, pa.string()) for c in ("file_name", "question", "answer", "reference")])
+
 
 @dataclass(frozen=True)
 class Config:
@@ -164,13 +170,37 @@ def predict_alone(questions: DataFrame, predictions: DataFrame, answer) -> DataF
     return library.upsert(predictions, new, ["question_id"])
 
 
-def evaluate_testset(chunks: DataFrame, ask, metrics: dict, least: int = 5) -> tuple[DataFrame, DataFrame]:
+def read_testset(chunks: DataFrame, ask: Callable[[Iterator[str]], Iterable[tuple[str, str, str]]], least: int = 5) -> DataFrame:
+    """(file_name, question, answer, reference) that ask() gives for each text of testset(), which it gets in pieces, one after
+    another: a paper is read as its chunks come off the sort, so that it is never held whole, be it larger than a row or a task."""
+    from lectern.functions.classify import is_main_content
+
+    good = library.named_text(chunks.where(is_main_content(F.col("text")))).select("file_name", "chunk_id", "text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
+        for name, own in groupby(rows, itemgetter(0)):
+            texts = (t for _, t in own)
+            first = list(islice(texts, least))
+            if len(first) == least:
+                pieces = (piece for n, t in enumerate(chain(first, texts)) for piece in (("\n\n", t) if n else (t,)))
+                yield pa.RecordBatch.from_pylist([dict(zip(SAMPLE.names, (name, *s), strict=True)) for s in ask(pieces)], SAMPLE)
+
+    ordered = good.repartition("file_name").sortWithinPartitions("file_name", "chunk_id", "text")
+    return ordered.mapInArrow(read, "file_name string, question string, answer string, reference string")
+
+
+def evaluate_testset(chunks: DataFrame, ask, metrics: dict, least: int = 5, in_pieces: bool = False) -> tuple[DataFrame, DataFrame]:
     """A test set from the papers' whole texts, answered, filtered and scored: samples with their metrics, and the summary.
 
-    ask(text) gives array<struct<question, answer, reference>>; metrics: name -> (question, answer, reference) -> Column."""
+    ask(text) gives array<struct<question, answer, reference>>, and with in_pieces is that of read_testset(), for papers that are
+    no row's size; metrics: name -> (question, answer, reference) -> Column."""
     from lectern.functions.classify import is_low_quality
 
-    rows = testset(chunks, least).select("file_name", F.explode(ask(F.col("text"))).alias("s")).select("file_name", "s.*")
+    if in_pieces:
+        rows = read_testset(chunks, ask, least)
+    else:
+        rows = testset(chunks, least).select("file_name", F.explode(ask(F.col("text"))).alias("s")).select("file_name", "s.*")
     rows = rows.where(~is_low_quality(F.col("question")))
     scored = rows.withColumns({name: f(F.col("question"), F.col("answer"), F.col("reference")) for name, f in metrics.items()})
     return scored, evaluation.metric_summary(scored, list(metrics))

@@ -129,3 +129,15 @@ def test_embedding(spark):
     assert len(v) == 64 and abs(sum(x * x for x in v) - 1) < 1e-6
     with pytest.raises(ValueError):
         boundary.embed(F.lit("x"), 65)
+
+
+def test_name_lines_between_white_space(spark):
+    """White space around a name line is passed by its pattern; blank() says what strip() leaves."""
+    from lectern.functions import classify
+    from lectern.functions import text as tx
+
+    spaced = ["\u3000Ada Bo\u0085", "\x1cAda\u2003Bo", "\tAda Bo \r", "Ada", "Ada Bo x", "ada Bo", "\u00a0", "", "\n\u2028", "Ada\u00a0Bo"]
+    df = spark.createDataFrame([(i, f"{x}\nÉa Bo\nrest", x) for i, x in enumerate(spaced)], "i int, text string, line string").repartition(3)
+    got = {r.i: (r.main, r.blank) for r in df.select("i", classify.is_main_content(F.col("text")).alias("main"), tx.blank("line").alias("blank")).collect()}
+    assert [i for i in got if not got[i][0]] and sorted(i for i in got if not got[i][0]) == [0, 2]
+    assert sorted(i for i in got if got[i][1]) == [6, 7, 8]

@@ -103,3 +103,21 @@ def test_testset_run_of_long_name_lines(spark):
     ask = lambda text: F.array(F.struct(F.lit("Which method works best?").alias("question"), F.md5(text).alias("answer"), F.md5(text).alias("reference")))
     _, summary = pipelines.evaluate_testset(c, ask, {"kept": lambda question, answer, reference: (answer == reference).cast("double")})
     assert [(r.metric, r.n, r.mean) for r in summary.collect()] == [("kept", 1, 1.0)]
+
+
+def test_testset_run_in_pieces(spark):
+    """A paper's text is read in pieces, none of which holds more than a chunk, and gives what the whole one does."""
+    from lectern.plans import pipelines
+
+    rows = [(i % 90, f"{'ab'[i % 2]}.pdf", f"{'Ada Lovelace' * (i % 3)}\nmethod {i}") for i in range(200)] + [(i, "c.pdf", "few") for i in range(4)] + [(900, None, "x"), (901, "a.pdf", " \n"), (902, "a.pdf", None)]
+    c = spark.createDataFrame(rows, "chunk_id long, file_name string, text string").repartition(7)
+
+    def ask(pieces):
+        pieces = list(pieces)
+        return [("Which method works best?", "".join(pieces), str(max(map(len, pieces))))]
+
+    whole = {r.file_name: r.text for r in pipelines.testset(c).collect()}
+    read = pipelines.read_testset(c, ask).collect()
+    assert len(whole) == 2 and {r.file_name: r.answer for r in read} == whole and all(int(r.reference) < 40 for r in read)
+    scored, summary = pipelines.evaluate_testset(c, ask, {"kept": lambda question, answer, reference: (answer != reference).cast("double")}, in_pieces=True)
+    assert scored.count() == 2 and [(r.metric, r.n, r.mean) for r in summary.collect()] == [("kept", 2, 1.0)]
