@@ -8,17 +8,18 @@ import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import bounded, small, stage
 
-#: Pages of a layout of a host that are aligned.
-SAMPLE = 6
+#: Shapes of subtrees and alignments that a reference page's matcher keeps, and reference pages that a task keeps.
+SHAPES, REFERENCES = 1 << 14, 64
 #: Elements that make up a layout, and how deep in body they count.
 FRAME, DEEP = set("article div main section table tbody td tr".split()), 2
 #: Cells of an alignment's table that are held at a time.
@@ -90,7 +91,8 @@ class _Builder(HTMLParser):
         if tag in VOID:
             return
         hidden = "hidden" in values or values.get("aria-hidden") == "true" or values.get("role") in ROLES
-        readers, boiler = (any(p.search(values.get(k, "")) for k in ("class", "id")) for p in (READERS, BOILER))
+        names = [values[k] for k in ("class", "id") if values.get(k)]
+        readers, boiler = (any(map(p.search, names)) for p in (READERS, BOILER)) if names else (False, False)
         named = (readers or boiler) and tag not in PLAIN
         if tag in INLINE and not (hidden or named):
             return
@@ -136,6 +138,9 @@ class _Builder(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.open[-1].parts.append(data)
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # lines aren't counted
+
 
 def _weigh(n: Node, sizes: dict[int, int]) -> int:
     """Characters of text in and below a node that isn't left out, without white space; readers' comments only count as their own."""
@@ -214,6 +219,7 @@ class _Matcher:
         self.signs: list[str] = []
         self.sizes: list[int] = []
         self.known: dict[tuple[int, int], int] = {}
+        self.aligned: dict[tuple[tuple, tuple], list[tuple[int, int]]] = {}
 
     def shape(self, n: Node, of: dict[int, int]) -> int:
         own = tuple(self.shape(c, of) for c in n.children)
@@ -293,7 +299,13 @@ class _Matcher:
     def pairs(self, a: Node, b: Node, of: dict[int, int], out: list) -> None:
         out.append((a, b))
         x, y = a.children, b.children
-        for i, j in self.align(tuple(of[id(c)] for c in x), tuple(of[id(c)] for c in y)):
+        key = tuple(of[id(c)] for c in x), tuple(of[id(c)] for c in y)
+        places = self.aligned.get(key)
+        if places is None:
+            places = self.align(*key)
+            if len(x) + len(y) < 64:
+                self.aligned[key] = places
+        for i, j in places:
             self.pairs(x[i], y[j], of, out)
 
 
@@ -350,50 +362,96 @@ def _mark(path: str, text: str) -> str:
     return hashlib.blake2b(f"{path}\0{text}".encode(), digest_size=8).hexdigest()
 
 
+class Reference:
+    """The first page of a layout, which every other one is aligned with: its nodes in page order, with their paths and texts."""
+
+    def __init__(self, html: str | None) -> None:
+        self.tree = _kept(parse(html))
+        self.at: dict[int, int] = {}
+        self.paths: list[str] = []
+        self.texts: list[str] = []
+        for n, path in _walk(self.tree):
+            self.at[id(n)] = len(self.paths)
+            self.paths.append(path)
+            self.texts.append(n.text())
+        self.zeros = [_DIGITS.sub("0", t) for t in self.texts]
+        self.exact = set(zip(self.paths, self.texts, strict=True))
+        self.counted: dict[tuple[str, str], int] = {}
+        for i, key in enumerate(zip(self.paths, self.zeros, strict=True)):
+            self.counted.setdefault(key, i)
+        self.renew()
+
+    def renew(self) -> None:
+        self.matcher, self.of = _Matcher(), {}
+        self.top = self.matcher.shape(self.tree, self.of)
+
+    def compare(self, html: str | None) -> tuple[list[int], str | None]:
+        """What another page shows: 3 i for each node i that holds the same text there, 3 i + 1 for one that differs in digits at
+        most, 3 i + 2 if such a text stands elsewhere at its path; and the path, ended by "/", that the parents of all texts lie in
+        of which the reference has none alike at the same path (None: there is no such text)."""
+        if len(self.matcher.kids) + len(self.matcher.aligned) > SHAPES:
+            self.renew()
+        tree, of, pairs = _kept(parse(html)), dict(self.of), []
+        if self.matcher.size(self.top, self.matcher.shape(tree, of)):
+            self.matcher.pairs(self.tree, tree, of, pairs)
+        hits: list[int] = []
+        for x, y in pairs:
+            i = self.at[id(x)]
+            if self.texts[i]:
+                t = y.text()
+                if t == self.texts[i]:
+                    hits += [3 * i, 3 * i + 1]
+                elif _DIGITS.sub("0", t) == self.zeros[i]:
+                    hits.append(3 * i + 1)
+        other, low, high = set(), None, None
+        for n, path in _walk(tree):
+            if (t := n.text()) and (path, t) not in self.exact:
+                if (i := self.counted.get((path, _DIGITS.sub("0", t)))) is not None:
+                    other.add(3 * i + 2)
+                else:
+                    above = path.rpartition("/")[0] + "/"
+                    low, high = min(low or above, above), max(high or above, above)
+        return hits + sorted(other), None if low is None else _within(low, high)
+
+    def wrapper(self, counts: dict[int, int], others: int, vary: str | None) -> tuple[list[str], str]:
+        """Marks of template nodes and the content slot, by how many of the `others` gave each number of compare()."""
+        least = CONSTANT * others
+        # the tag speaks for content: there, a text has to stand in three pages to be template, so that a pair of copies is not
+        constant = {i for i in range(len(self.paths)) if counts.get(3 * i, 0) >= (max(least, 2) if CONTENT.search(self.paths[i]) else least)}
+        marks = {(self.paths[i], self.texts[i]) for i in constant}
+        counters = {(self.paths[i], self.zeros[i]) for i in range(len(self.paths)) if counts.get(3 * i + 1, 0) >= least and _DIGITS.search(self.texts[i])}
+        for i, (path, t, zero) in enumerate(zip(self.paths, self.texts, self.zeros, strict=True)):
+            if (path, zero) not in counters and (counts.get(3 * i + 2) or t and (path, t) not in marks):
+                above = path.rpartition("/")[0] + "/"
+                vary = above if vary is None else _within(min(vary, above), max(vary, above))
+        return sorted(_mark(*m) for m in marks), "" if vary is None else vary[:-1] or "/"
+
+
+def _walk(tree: Node) -> Iterator[tuple[Node, str]]:
+    """Nodes in page order, with their paths."""
+    todo = [(tree, "")]
+    while todo:
+        n, at = todo.pop()
+        yield n, at
+        todo += [(c, f"{at}/{c.sign}") for c in reversed(n.children)]
+
+
+def _within(low: str, high: str) -> str:
+    """The path that all paths from the least to the greatest lie in, each ended by "/"."""
+    same = next((i for i, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))
+    return low[: low.rfind("/", 0, same) + 1]
+
+
 def induce(pages: list[str | None]) -> tuple[list[str], str]:
-    """The wrapper of a layout from some of its pages: marks of template nodes (path and text), path of the content slot,
+    """The wrapper of a layout from its pages: marks of template nodes (path and text), path of the content slot,
     which is the lowest one that all parents of varying text lie in ("/" for the whole page). A text that varies in its digits
     only, such as a counter or a date, doesn't widen the slot."""
-    trees = [_kept(parse(p)) for p in pages]
-    if len(trees) < 2:
+    if len(pages) < 2:
         return [], ""
-    path: dict[int, str] = {}
-
-    def walk(n: Node, at: str) -> None:
-        path[id(n)] = at
-        for c in n.children:
-            walk(c, f"{at}/{c.sign}")
-
-    walk(trees[0], "")
-    same: dict[int, int] = {}
-    alike: Counter[int] = Counter()
-    nodes: dict[int, Node] = {}
-    for other in trees[1:]:
-        pairs: list[tuple[Node, Node]] = []
-        simple_tree_matching(trees[0], other, pairs)
-        for a, b in pairs:
-            nodes[id(a)] = a
-            if (t := a.text()) and t == b.text():
-                same[id(a)] = same.get(id(a), 0) + 1
-            alike[id(a)] += bool(t) and _DIGITS.sub("0", t) == _DIGITS.sub("0", b.text())
-    least = CONSTANT * (len(trees) - 1)
-    # the tag speaks for content: there, a text has to stand in three pages to be template, so that a pair of copies is not
-    constant = sorted({_mark(path[i], nodes[i].text()) for i, n in same.items() if n >= (max(least, 2) if CONTENT.search(path[i]) else least)})
-    marks = set(constant)
-    counters = {_mark(path[i], _DIGITS.sub("0", nodes[i].text())) for i, n in alike.items() if n >= least and _DIGITS.search(nodes[i].text())}
-    slot: list[str] | None = None
-
-    def vary(n: Node, at: str, above: str) -> None:
-        nonlocal slot
-        if (t := n.text()) and _mark(at, t) not in marks and _mark(at, _DIGITS.sub("0", t)) not in counters:
-            own = above.split("/")
-            slot = own if slot is None else slot[: next((i for i, (x, y) in enumerate(zip(slot, own, strict=False)) if x != y), min(len(slot), len(own)))]
-        for c in n.children:
-            vary(c, f"{at}/{c.sign}", at)
-
-    for tree in trees:
-        vary(tree, "", "")
-    return constant, "" if slot is None else "/".join(slot) or "/"
+    first = Reference(pages[0])
+    shown = [first.compare(p) for p in pages[1:]]
+    paths = [v for _, v in shown if v is not None]
+    return first.wrapper(Counter(h for hits, _ in shown for h in hits), len(shown), _within(min(paths), max(paths)) if paths else None)
 
 
 def main_text(html: str | None, constant: frozenset[str] = frozenset(), slot: str = "") -> str:
@@ -459,10 +517,10 @@ def main_text(html: str | None, constant: frozenset[str] = frozenset(), slot: st
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of every page, by a wrapper for each layout of a host.
 
-    Returns page_id, url, text, n_chars. From each layout of a host (pages of the same outer containers; layouts of a single
-    page are put together) up to 6 different pages, chosen by a hash, are aligned with the first of them by simple tree
-    matching of whole trees; matched nodes of equal text become template, all other text is varying, and the lowest element
-    around all of it is the content slot. All pages are then read by their layout's wrapper: article and
+    Returns page_id, url, text, n_chars. All different pages of a layout of a host (pages of the same outer containers; layouts
+    of a single page are put together) are aligned with the first of them, by a hash, by simple tree matching of whole trees;
+    matched nodes of equal text become template, all other text is varying, and the lowest element around all of it is the
+    content slot. All pages are then read by their layout's wrapper: article and
     main elements give the region only, template text goes from there too (text that stands in 60 % of the other pages, in
     two of them at least).
     Navigation, headers, footers, asides, scripts, styles and elements whose role says so are left out everywhere; so are forms,
@@ -487,18 +545,32 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     # different pages only: copies would agree in everything
     different = stage(rows.where("html is not null").select("host", "layout", F.xxhash64("html").alias("n")).distinct(), "pages")
     many = stage(different.groupBy("host", "layout").agg(F.count("*").alias("many")).where("many > 1").select("host", "layout", F.lit(True).alias("many")), "layouts")
-    common = F.when(F.col("many"), F.col("layout"))  # null: the layouts of one page, put together
-    keys = different.join(small(many, 100), ["host", "layout"], "left").select("host", "layout", "n", common.alias("common"))
-    keys = keys.withColumn("k", F.row_number().over(Window.partitionBy("host", "common").orderBy("n"))).where(F.col("k") <= SAMPLE)
-    chosen = raw.join(small(stage(keys.drop("k", "layout"), "sample"), 100), ["host", "n"]).groupBy("host", "common", "n").agg(F.first("html").alias("html"))
-
-    def wrap(key, pdf):
-        import pandas as pd
+    common = F.coalesce(F.when(F.col("many"), F.col("layout")), F.lit(0)).alias("common")  # 0: the layouts of one page, put together
+    keys = different.join(small(many, 100), ["host", "layout"], "left").select("host", "n", common).groupBy("host", "common").agg(F.min("n").alias("n"), F.count("*").alias("pages")).where("pages > 1")
+    first = stage(raw.join(small(stage(keys, "keys"), 100), ["host", "n"]).groupBy("host", "common", F.col("n").alias("first"), "pages").agg(F.first("html").alias("reference")), "references")
+    size = first.agg(F.max(F.octet_length("reference") + F.length("host") + 64)).first()[0] or 0
 
-        constant, slot = induce(pdf.sort_values("n")["html"].tolist())
-        return pd.DataFrame({"host": [key[0]], "common": pd.array([pdf["common"].iloc[0]], "Int64"), "constant": [constant], "slot": [slot]})
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reference = lru_cache(REFERENCES)(Reference)
+        for batch in batches:
+            found = [reference(r).compare(h) for h, r in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.string())], names=["host", "common", "n", "hits", "vary"])
+
+    # every page is compared where it stands, and goes on as the numbers of the nodes that it shares; copies go then
+    paged = rows.where("html is not null").join(small(many, 100), ["host", "layout"], "left").select("host", common, F.xxhash64("html").alias("n"), "html")
+    paged = paged.join(small(first, size), ["host", "common"]).where("n <> first").select("host", "common", "n", "html", "reference")
+    shown = stage(paged.mapInArrow(compare, "host string, common long, n long, hits array<int>, vary string").dropDuplicates(["host", "common", "n"]), "shown")
+    counts = shown.select("host", "common", F.explode("hits").alias("hit")).groupBy("host", "common", "hit").agg(F.count("*").alias("many"))
+    counts = counts.groupBy("host", "common").agg(F.collect_list(F.struct("hit", "many")).alias("counts"))  # three a node of the reference
+    paths = shown.groupBy("host", "common").agg(F.min("vary").alias("low"), F.max("vary").alias("high"))
+
+    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Reference(x["reference"]).wrapper({c["hit"]: c["many"] for c in x["counts"] or ()}, x["pages"] - 1, None if x["low"] is None else _within(x["low"], x["high"])) for x in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.list_(pa.string())), pa.array([x for _, x in found], pa.string())], names=["host", "common", "constant", "slot"])
 
-    wrappers = chosen.withColumn("common", F.coalesce("common", F.lit(0))).groupBy("host", "common").applyInPandas(wrap, "host string, common long, constant array<string>, slot string")
+    whole = first.join(counts, ["host", "common"], "left").join(paths, ["host", "common"], "left").select("host", "common", "reference", "pages", "counts", "low", "high")
+    wrappers = whole.mapInArrow(wrap, "host string, common long, constant array<string>, slot string")
     wrappers = stage(wrappers.where("size(constant) > 0 or slot <> ''"), "wrappers")
     widest = wrappers.agg(F.max(F.size("constant") * 40 + F.length("slot") + F.length("host") + 64)).first()[0] or 0
 
@@ -507,6 +579,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [main_text(h, frozenset(c or ()), s or "") for h, c, s in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    rows = rows.join(small(many, 100), ["host", "layout"], "left").withColumn("common", F.coalesce(common, F.lit(0)))
+    rows = rows.join(small(many, 100), ["host", "layout"], "left").withColumn("common", common)
     joined = rows.join(small(wrappers, widest), ["host", "common"], "left").select("page_id", "url", "html", "constant", "slot")
     return joined.mapInArrow(read, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -173,3 +173,26 @@ def test_hostile_pages_take_time_in_proportion():
 def test_scrub():
     assert wrapper.scrub("a<!-- x -->b<SCRIPT>if (a<b) '<!--'</Script >c<!-->d<style>s</style>e<!--f") == "abcde"
     assert wrapper.scrub(None) == "" and wrapper.scrub("x < y <b") == "x < y " and wrapper.scrub("a < 3") == "a < 3"
+
+
+def test_counts_come_from_all_pages(spark):
+    """The content slot follows all pages of a layout, not some of them: a text that varies on one page of forty widens it."""
+    page = lambda i, notice, lead: f"<html><body><div class='top'><p>Lead {lead}</p><section><p>{notice}</p><p>body {chr(97 + i // 26)}{chr(97 + i % 26)}</p></section></div></body></html>"
+    for seed in range(3):
+        rows = [(i, f"http://h{k}.org/{i}", page(i, "Sign up now" if i % 40 < 26 else f"own {chr(97 + i % 26)}", "rare" if i == seed else "same")) for k in range(2) for i in range(40)]
+        got = {(r.page_id, r.url.split(".")[0]): r.text for r in wrapper.extract(spark.createDataFrame([*rows, *rows[:9]], "page_id long, url string, html string").repartition(5)).collect()}
+        assert {x[0] for x in got if "Lead rare" in got[x]} == {seed}, got  # the slot holds what varies anywhere
+
+
+def test_wrapper_of_counts(spark):
+    """Counts of parts of the pages, added up, give the wrapper of all pages."""
+    pages = [f"<div><p>Same</p><b>n</b><section><p>views {i}</p><p>{'abcdefgh'[i] * 3}</p></section></div>" for i in range(8)]
+    first = wrapper.Reference(pages[0])
+    shown = [first.compare(p) for p in pages[1:]]
+    counts = {}
+    for hits, _ in shown:
+        for h in hits:
+            counts[h] = counts.get(h, 0) + 1
+    paths = [v for _, v in shown if v]
+    assert first.wrapper(counts, 7, wrapper._within(min(paths), max(paths))) == wrapper.induce(pages)
+    assert wrapper.main_text(pages[3], frozenset(wrapper.induce(pages)[0]), wrapper.induce(pages)[1]) == "views 3 ddd"
