@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.retrieval import ROWS_A_STEP, best_of, by_length, query_blocks, top_k
+from lectern.operators.retrieval import ROWS_A_STEP, best_of, by_length, knn, query_blocks, top_k
+from lectern.session import written
 
 #: Rows that the first centroids are drawn from, and rounds of moving them.
 SEEDS_A_LIST, ROUNDS = 8, 6
@@ -109,6 +110,7 @@ class VectorIndex:
 
             def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 ids, q, asked = shared.value
+                floor = np.full(len(ids), -np.inf)
                 for batch in batches:
                     for lo in range(0, batch.num_rows, ROWS_A_STEP):
                         part = batch.slice(lo, ROWS_A_STEP)
@@ -116,9 +118,10 @@ class VectorIndex:
                         for own, x in by_length(part.column(1)):
                             for number in np.unique(of[own]):
                                 rows, wants = np.flatnonzero(of[own] == number), np.flatnonzero(asked[number])
-                                score = x[rows] @ q[wants].T
-                                d, j = best_of(score, k)
-                                yield pa.RecordBatch.from_arrays([pa.array(ids[wants[j]]), part.column(0).take(pa.array(own[rows[d]])), pa.array(np.clip(score[d, j], -1, 1))], names=names)
+                                reached = floor[wants]
+                                for d, j, score in best_of(x[rows], q[wants], k, reached):
+                                    yield pa.RecordBatch.from_arrays([pa.array(ids[wants[j]]), part.column(0).take(pa.array(own[rows[d]])), pa.array(score)], names=names)
+                                floor[wants] = reached
 
             wanted = stored.where(F.col("list").isin(np.flatnonzero(asked.any(axis=1)).tolist()))  # other lists' folders are not read
             found = wanted.mapInArrow(task, f"query_id long, `{self.ident}` long, score double")
@@ -127,9 +130,13 @@ class VectorIndex:
             out = self.spark.createDataFrame([], f"query_id long, `{self.ident}` long, score double")
         return top_k(out, k, self.ident)
 
-    def measure(self, queries: DataFrame, vectors: DataFrame, k: int, probes: int) -> tuple[float, float]:
+    def exact(self, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+        """What the exact search finds, written once for any number of measurements."""
+        return written(top_k(knn(queries, vectors, k, self.ident, self.vector).drop("rank"), k, self.ident).select("query_id", self.ident), "exact")
+
+    def measure(self, queries: DataFrame, vectors: DataFrame, k: int, probes: int, exact: DataFrame | None = None) -> tuple[float, float]:
         """(recall of the k best, share of the rows that a query is held against), by exact search for the given queries."""
-        exact = top_k(_exact(queries, vectors, k, self), k, self.ident).select("query_id", self.ident)
+        exact = self.exact(queries, vectors, k) if exact is None else exact
         found = self.search(queries, k, probes).select("query_id", self.ident)
         total = exact.count()
         hit = exact.join(found, ["query_id", self.ident], "left_semi").count()
@@ -141,19 +148,14 @@ class VectorIndex:
                 read += [sum(sizes.get(int(c), 0) for c in row) for row in near]
         return hit / total if total else 1.0, float(np.mean(read)) / max(1, sum(sizes.values())) if read else 0.0
 
-    def probes_for(self, queries: DataFrame, vectors: DataFrame, k: int, recall: float = 0.9) -> int:
+    def probes_for(self, queries: DataFrame, vectors: DataFrame, k: int, recall: float = 0.9, exact: DataFrame | None = None) -> int:
         """The fewest probes, by doubling and halving, that reach the recall on the given sample of queries."""
+        exact = self.exact(queries, vectors, k) if exact is None else exact
         lo, hi = 0, 1
-        while hi < len(self.centroids) and self.measure(queries, vectors, k, hi)[0] < recall:
+        while hi < len(self.centroids) and self.measure(queries, vectors, k, hi, exact)[0] < recall:
             lo, hi = hi, hi * 2
         hi = min(hi, len(self.centroids))
         while hi - lo > max(1, hi // 8):
             mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if self.measure(queries, vectors, k, mid)[0] >= recall else (mid, hi)
+            lo, hi = (lo, mid) if self.measure(queries, vectors, k, mid, exact)[0] >= recall else (mid, hi)
         return hi
-
-
-def _exact(queries: DataFrame, vectors: DataFrame, k: int, index: VectorIndex) -> DataFrame:
-    from lectern.operators.retrieval import knn
-
-    return knn(queries, vectors, k, index.ident, index.vector).drop("rank")

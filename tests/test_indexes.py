@@ -168,3 +168,22 @@ def test_steps_give_what_may_be_best_only(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(textindex, "CELLS", 1)
     again = index.search(spark.createDataFrame([(1, "w1 y")], "query_id long, text string"), 3)
     assert best(again, 3) == best(retrieval.bm25(spark.createDataFrame([(1, "w1 y")], "query_id long, text string"), docs), 3)
+
+
+def test_best_of_in_steps(monkeypatch):
+    """Matrices are bounded by rows and queries, however many there are; later slices give only what may still be best."""
+    monkeypatch.setattr(retrieval, "QUERIES_A_STEP", 7)
+    rng = np.random.default_rng(4)
+    x, q = np.round(rng.standard_normal((300, 5)), 1), rng.standard_normal((33, 5))
+    floor, got, given = np.full(33, -np.inf), {}, []
+    for lo in range(0, 300, 40):
+        for d, j, score in retrieval.best_of(x[lo : lo + 40], q, 6, floor):
+            assert j.max() - j.min() < 7
+            given.append(len(d))
+            for row, query, value in zip(d + lo, j, score, strict=True):
+                got.setdefault(query, []).append((-value, row))
+    whole = np.clip(x @ q.T, -1, 1)
+    for query in range(33):
+        at_least = np.sort(x @ q[query])[-6] - 1e-12
+        assert set(np.flatnonzero(x @ q[query] >= at_least)) <= {r for _, r in got[query]} and all(abs(-v - whole[r, query]) < 1e-12 for v, r in got[query])
+    assert sum(given) < 33 * 6 * 8 * 0.7
