@@ -17,6 +17,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 #: Keys are dealt out to this many buckets, whose states are read and written as a whole; a checkpoint is bound to the number.
 BUCKETS = 1024
+#: Rows of a whole stream that a partition of its state is meant for.
+PARTITION_ROWS = 250_000
 #: Waiting rows that one element of a list state holds.
 PIECE = 4096
 
@@ -163,12 +165,20 @@ def threshold_stream(events: DataFrame, every: int = 10, delay: str = "1 hour")
     return _keyed(events, ThresholdCounter(every), delay)
 
 
-def run_available(spark: SparkSession, source: Callable[[SparkSession], DataFrame], build: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
+def partitions_for(rows: int, cores: int, most: int) -> int:
+    """Partitions of keyed state for so many rows: one a core, or one for PARTITION_ROWS rows, `most` at most. Each opens and commits
+    its state store in every batch, which takes longer than thousands of rows."""
+    return max(1, min(most, max(cores, -(-rows // PARTITION_ROWS))))
+
+
+def run_available(spark: SparkSession, source: Callable[[SparkSession], DataFrame], build: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, partitions: int | None = None, idle: bool = True) -> None:
     """Streams what the source holds now through build() into Parquet files at out, and ends; called again with the same
-    checkpoint it goes on where it stopped, with the state it had."""
+    checkpoint it goes on where it stopped, with the state it had. partitions: of the state, the session's if not given; a checkpoint
+    keeps its first number. Without idle, what the last rows make due waits for the next run."""
     own = spark.newSession()
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(idle).lower())
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.shuffle.partitions", str(partitions or spark.conf.get("spark.sql.shuffle.partitions")))
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     build(source(own)).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
@@ -180,7 +190,7 @@ def replay(table: DataFrame, build: Callable[[DataFrame], DataFrame], parts: int
     spark = table.sparkSession
     at = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
     rows = table.select("key", F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    lo, hi = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    lo, hi, many = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")), F.count("*")).first()
     if lo is None:
         return spark.createDataFrame([], build(rows).schema)
     late = F.when(F.col("event_id") % 13 == 0, 43_200_000_000).otherwise(0)
@@ -188,12 +198,13 @@ def replay(table: DataFrame, build: Callable[[DataFrame], DataFrame], parts: int
     rows = rows.withColumn("part", part)
     schema = rows.drop("part").schema
     source = lambda s: s.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{at}/in")
+    partitions = partitions_for(many, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for k in range(parts):
         rows.where(F.col("part") == k).drop("part").write.parquet(f"{at}/in/{k}")
-        run_available(spark, source, build, f"{at}/out", f"{at}/checkpoint")
+        run_available(spark, source, build, f"{at}/out", f"{at}/checkpoint", partitions, idle=False)
     end = rows.limit(1).select(F.col("key"), F.timestamp_micros(F.lit(hi + 10**15)).alias("ts"), F.lit(-1).cast("long").alias("event_id"))
     end.coalesce(1).write.parquet(f"{at}/in/{parts}")
-    run_available(spark, source, build, f"{at}/out", f"{at}/checkpoint")
+    run_available(spark, source, build, f"{at}/out", f"{at}/checkpoint", partitions)
     return spark.read.parquet(f"{at}/out").where("event_id >= 0")
 
 

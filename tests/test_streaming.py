@@ -125,3 +125,9 @@ def test_counter_takes_few_calls_for_many_keys():
     first, second = (list(counter.handleExpiredTimer((0,), Clock(now), None))[0] for now in (5_000, 20_000))
     assert handle.calls < 12 and {len(m) for m in [*first["members"], *second["members"]]} == {2}
     assert counter.waiting.rows == [] and sum(len(r[2]) for r in counter.state.rows) + 2 * (len(first) + len(second)) == 20_000
+
+
+def test_partitions_of_state():
+    """Small streams don't pay for as many state stores as a session has shuffle partitions; large ones have more."""
+    assert [state.partitions_for(n, 12, 100) for n in (0, 100_000, 3_000_000, 6_000_000, 10**9)] == [12, 12, 12, 24, 100]
+    assert state.partitions_for(10, 12, 8) == 8
