@@ -18,7 +18,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: Keys are dealt out to this many buckets, whose states are read and written as a whole; a checkpoint is bound to the number.
 BUCKETS = 1024
 #: Rows of a whole stream that a partition of its state is meant for.
-PARTITION_ROWS = 250_000
+PARTITION_ROWS = 100_000
 #: Waiting rows that one element of a list state holds.
 PIECE = 4096
 

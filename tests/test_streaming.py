@@ -129,5 +129,5 @@ def test_counter_takes_few_calls_for_many_keys():
 
 def test_partitions_of_state():
     """Small streams don't pay for as many state stores as a session has shuffle partitions; large ones have more."""
-    assert [state.partitions_for(n, 12, 100) for n in (0, 100_000, 3_000_000, 6_000_000, 10**9)] == [12, 12, 12, 24, 100]
+    assert [state.partitions_for(n, 12, 100) for n in (0, 100_000, 1_200_000, 6_000_000, 10**9)] == [12, 12, 12, 60, 100]
     assert state.partitions_for(10, 12, 8) == 8
