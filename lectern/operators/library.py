@@ -74,9 +74,12 @@ def named_text(chunks: DataFrame) -> DataFrame:
     return chunks.where((F.coalesce("file_name", F.lit("unknown")) != "unknown") & ~tx.blank("text"))
 
 
-def ordered_text(chunks: DataFrame, least: int = 1, separator: str = "\n\n") -> DataFrame:
-    """Each paper's chunks joined in the order of their ids; blank ones and papers named unknown are left out."""
-    return named_text(chunks).groupBy("file_name").agg(F.count("*").alias("chunks"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), separator).alias("text")).where(F.col("chunks") >= least)
+def ordered_text(chunks: DataFrame, least: int = 1, separator: str = "\n\n", every: bool = False) -> DataFrame:
+    """Each paper's chunks joined in the order of their ids; blank ones and papers named unknown are left out. every: all rows
+    count, those without a name as one paper, and all texts are joined but null ones."""
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"])
+    joined = F.when(F.count("text") > 0, F.array_join(texts, separator))
+    return (chunks if every else named_text(chunks)).groupBy("file_name").agg(F.count("*").alias("chunks"), joined.alias("text")).where(F.col("chunks") >= least)
 
 
 def latest_versions(files: DataFrame) -> DataFrame:

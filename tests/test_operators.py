@@ -365,3 +365,13 @@ def test_clause_split_of_blank_texts(spark, tmp_path):
     got, sql = against_sql(spark, tmp_path, "clause_split")
     assert got == sql
     assert [n for _, n, _ in sorted(got)[:4]] == [0, 0, None, 3]
+
+
+def test_ordered_concat_of_blank_texts(spark, tmp_path):
+    """Blank texts count and are joined, null ones count only, and rows without an id are a paper, as in the SQL."""
+    texts = {0: "", 37: " \n", 1: None, 74: None, 3: " "}
+    rows = [(i, texts.get(i, f"text {i}")) for i in range(37 * 5) if i % 37 < 4] + [(37 * k + 9, None) for k in range(5)] + [(None, "same")] * 6
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got, sql = against_sql(spark, tmp_path, "ordered_concat")
+    assert got == sql and len(got) == 6
+    assert ("paper9.pdf", 5, None) in got
