@@ -117,9 +117,10 @@ def metric_summary(results: DataFrame, metrics: list[str], by: str | None = None
     return out.withColumn("grade", F.when(F.col("mean").isNull(), "invalid").otherwise(grade(F.col("mean"))))
 
 
-def weak_samples(results: DataFrame, metric: str = "faithfulness", under: float = 0.5, k: int = 10) -> DataFrame:
-    """The k weakest by metric, question and answer, so that rows of equal metric and question don't come as the tasks end."""
-    return results.where(F.col(metric) < under).orderBy(metric, "question", "answer").limit(k).select(F.substring("question", 1, 80).alias("question"), F.substring("answer", 1, 60).alias("answer"), metric)
+def weak_samples(results: DataFrame, metric: str = "faithfulness", under: float = 0.5, k: int = 10, then: str = "answer") -> DataFrame:
+    """The k weakest by metric, question and `then`, nulls last, so that rows of equal metric and question don't come as the tasks end."""
+    weak = results.where(F.col(metric) < under).orderBy(metric, *[F.asc_nulls_last(c) for c in ("question", then)]).limit(k)
+    return weak.select(F.substring("question", 1, 80).alias("question"), F.substring("answer", 1, 60).alias("answer"), metric)
 
 
 def evidence_sentences(sources: DataFrame, queries: DataFrame, per_source: int = 2, most: int = 500) -> DataFrame:

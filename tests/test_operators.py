@@ -375,3 +375,15 @@ def test_ordered_concat_of_blank_texts(spark, tmp_path):
     got, sql = against_sql(spark, tmp_path, "ordered_concat")
     assert got == sql and len(got) == 6
     assert ("paper9.pdf", 5, None) in got
+
+
+def test_weak_samples_of_nulls_and_ties(spark, tmp_path):
+    """Null props come last and rows without an id don't count, as in the SQL; ties go by id."""
+    odd = [(i, "click", 1.0, None) for i in range(20, 23)] + [(None, "view", 0.5, "a")] * 3
+    tied = [(i, "zyxwvutsrqpo"[i % 12], 1.0, "b") for i in range(36, 80)]
+    for part, rows in (("nulls", odd + tied[:8]), ("ties", tied[::-1])):
+        spark.createDataFrame(rows, "event_id long, event_type string, value double, props string").write.parquet(str(tmp_path / part / "events.parquet"))
+    got, sql = against_sql(spark, tmp_path / "nulls", "weak_samples")
+    assert got == sql and len(got) == 10
+    got, _ = against_sql(spark, tmp_path / "ties", "weak_samples")
+    assert [r[1] for r in got] == sorted("zyxwvutsrq")
